@@ -41,6 +41,10 @@ def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str
     return b.select(F.xxhash64(F.transform("gram", lambda w: F.xxhash64(w))).alias("h"), "gram", F.size("gram").alias("len"), "items")
 
 
+def _windows_of(n: int, ends: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), ends), lambda i: F.struct(i.alias("k"), F.lit(n).alias("len"), F.xxhash64(F.slice("hw", i, n)).alias("h")))
+
+
 def _probes(docs: DataFrame, text_col: str, lengths: list[int]) -> DataFrame:
     """(rid, n_words, pos, len, h, block): all windows of all documents.
 
@@ -54,9 +58,9 @@ def _probes(docs: DataFrame, text_col: str, lengths: list[int]) -> DataFrame:
     kind = "array<struct<k:int,len:int,h:bigint>>"
     parts = [F.when(F.col("at") == 0, F.array(F.struct(F.lit(1).alias("k"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("h")))).otherwise(F.array()).cast(kind)]
     for n in lengths:
-        ends = F.least(F.size("block") - (n - 1), F.lit(BLOCK))
-        wins = F.transform(F.sequence(F.lit(1), ends), lambda i, n=n: F.struct(i.alias("k"), F.lit(n).alias("len"), F.xxhash64(F.slice("hw", i, n)).alias("h")))
-        parts.append(F.when(ends >= 1, wins).otherwise(F.array().cast(kind)))
+        # hw is named twice, so that it stays a column of its own and is made once a block
+        ends = F.least(F.size("hw") - (n - 1), F.lit(BLOCK))
+        parts.append(F.when(ends >= 1, _windows_of(n, ends)).otherwise(F.array().cast(kind)))
     d = d.select("rid", "n_words", "at", "block", F.explode(F.concat(*parts)).alias("p"))
     return d.select("rid", "n_words", (F.col("at") + F.col("p.k") - 1).alias("pos"), F.col("p.k").alias("k"), F.col("p.len").alias("plen"), F.col("p.h").alias("ph"), "block")
 
