@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules
+from . import decontaminate, packing, quality_rules, secret_scan
 from .common import table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the vocabulary file of a public tokenizer lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, packed into windows of up to 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of all documents, in plain text or wrapped."""
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of all documents under policy v1."""
     led = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -23,7 +40,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op8_quality_rules": op8_quality_rules, "op9_decontaminate": op9_decontaminate}
+    return {f.__name__: f for f in (op4_packing, op8_quality_rules, op9_decontaminate, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
