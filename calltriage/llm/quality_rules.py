@@ -90,9 +90,9 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ).drop("__h")
     d = d.withColumn("__rep", F.size(F.array_distinct("__win")) < F.size("__win"))
     d = d.withColumn("__sorted", F.when(F.col("__rep"), F.sort_array(F.transform("__win", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("__win")
-    d = d.withColumn("__sh", F.col("__sorted.h"))
-    same = lambda k: (F.get("__sh", k - 1) == F.get("__sh", k)) | (F.get("__sh", k + 1) == F.get("__sh", k))
-    d = d.withColumn("__at", F.when(F.col("__rep"), F.sort_array(F.transform(F.filter("__sorted", lambda x, k: F.coalesce(same(k), F.lit(False))), lambda x: x["i"])))).drop("__sorted", "__sh")
+    hash_at = lambda k: F.get("__sorted", k)["h"]
+    same = lambda k: (hash_at(k - 1) == hash_at(k)) | (hash_at(k + 1) == hash_at(k))
+    d = d.withColumn("__at", F.when(F.col("__rep"), F.sort_array(F.transform(F.filter("__sorted", lambda x, k: F.coalesce(same(k), F.lit(False))), lambda x: x["i"])))).drop("__sorted")
     # windows start at __at: each covers the words up to the next start, the last one all of its words
     steps = F.zip_with(F.slice("__at", 1, F.greatest(F.size("__at") - 1, F.lit(0))), F.slice("__at", 2, F.greatest(F.size("__at") - 1, F.lit(0))), lambda a, b: F.least(b - a, F.lit(WINDOW)))
     covered = F.aggregate(steps, F.lit(WINDOW), lambda acc, x: acc + x)
