@@ -47,11 +47,39 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def split_words(text: Column, separator_class: str, separators: str) -> Column:
-    """Array of the maximal runs of characters outside ``separator_class``.
+def with_words(df: DataFrame, text_col: str, out: str, separator_class: str) -> DataFrame:
+    """Adds the array of the maximal runs of characters outside a regex class.
 
-    ``separator_class`` is the body of a regex class, ``separators`` the same
-    characters as a string (to trim the ends). No words: an empty array.
+    ``text_col`` must not be null. No words: an empty array.
     """
-    trimmed = F.btrim(text, F.lit(separators))
-    return F.when(F.length(trimmed) > 0, F.split(trimmed, f"[{separator_class}]+")).otherwise(F.array().cast("array<string>"))
+    df = df.withColumn("__split", F.split(text_col, f"[{separator_class}]+"))
+    # only the first and the last part can be empty
+    ends = (F.element_at("__split", 1) == "") | (F.element_at("__split", -1) == "")
+    return df.withColumn(out, F.when(ends, F.filter("__split", lambda w: w != "")).otherwise(F.col("__split"))).drop("__split")
+
+
+def with_window_hashes(df: DataFrame, hashes: str, out: str, n: int) -> DataFrame:
+    """Adds one 64-bit hash for each run of ``n`` consecutive values of an array.
+
+    ``hashes`` is an array of longs; with fewer than ``n`` values the result is
+    an empty array. Runs double in length step by step, so that each step
+    handles an element once, whatever ``n`` is.
+    """
+
+    def joined(a: str, b: str, shift: int, name: str) -> None:
+        nonlocal df
+        m = F.greatest(F.least(F.size(a), F.size(b) - shift), F.lit(0))
+        df = df.withColumn(name, F.zip_with(F.slice(a, 1, m), F.slice(b, shift + 1, m), lambda x, y: F.xxhash64(x, y)))
+
+    powers, k = {1: hashes}, 1
+    while 2 * k <= n:
+        joined(powers[k], powers[k], k, f"__run{2 * k}")
+        k *= 2
+        powers[k] = f"__run{k}"
+    have, name = k, powers[k]
+    while have < n:
+        k = max(p for p in powers if p <= n - have)
+        joined(name, powers[k], have, f"__run{have + k}")
+        have, name = have + k, f"__run{have + k}"
+    made = [c for c in df.columns if c.startswith("__run")]
+    return df.withColumn(out, F.col(name)).drop(*made)

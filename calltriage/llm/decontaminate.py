@@ -11,38 +11,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, split_words
+from .common import ascii_lower, with_window_hashes, with_words
 
 #: Separators of words: ASCII without digits and letters (after lower-casing).
 SEPARATOR_CLASS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
-SEPARATORS = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 NGRAM = 10
 BLOCK = 32
 #: The set of windows is broadcast up to this many; more are joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text, lower-cased A-Z; null gives none."""
-    return split_words(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATOR_CLASS, SEPARATORS)
+def add_words(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """Adds the words of a text, lower-cased A-Z; null gives none."""
+    low = df.withColumn("__low", ascii_lower(F.coalesce(F.col(text_col), F.lit(""))))
+    return with_words(low, "__low", out, SEPARATOR_CLASS).drop("__low")
 
 
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", n: int = NGRAM) -> DataFrame:
-    """(h, gram, len, items): the distinct windows of all items.
+    """(gram, len, items): the distinct windows of all items.
 
     An item of fewer than ``n`` words, but not none, is one window. ``items``
     lists the ids, as strings, of the items that hold the window. Items
     without words or with a null id have no windows.
     """
-    b = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).filter(F.col("item").isNotNull() & (F.size("w") > 0))
+    b = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("t"))
+    b = add_words(b, "t", "w").filter(F.col("item").isNotNull() & (F.size("w") > 0))
     b = b.withColumn("starts", F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))))
     b = b.select("item", F.explode(F.transform("starts", lambda i: F.slice("w", i, n))).alias("gram"))
     b = b.groupBy("gram").agg(F.collect_set("item").alias("items"))
-    return b.select(F.xxhash64(F.transform("gram", lambda w: F.xxhash64(w))).alias("h"), "gram", F.size("gram").alias("len"), "items")
+    return b.select("gram", F.size("gram").alias("len"), "items")
 
 
-def _windows_of(n: int, ends: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), ends), lambda i: F.struct(i.alias("k"), F.lit(n).alias("len"), F.xxhash64(F.slice("hw", i, n)).alias("h")))
+def _hashed(windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """Adds ``h``, the hash that a document's window of the same words has."""
+    w = windows.withColumn("hw", F.transform("gram", lambda x: F.xxhash64(x)))
+    for n in lengths:
+        w = with_window_hashes(w, "hw", f"h{n}", n)
+    h = F.coalesce(*[F.when(F.col("len") == n, F.get(f"h{n}", F.lit(0))) for n in lengths])
+    return w.select(h.alias("h"), "gram", "len", "items")
+
+
+def _windows_of(n: int) -> Column:
+    return F.transform(F.slice(f"h{n}", 1, BLOCK), lambda h, i: F.struct((i + 1).alias("k"), F.lit(n).alias("len"), h.alias("h")))
 
 
 def _probes(docs: DataFrame, text_col: str, lengths: list[int]) -> DataFrame:
@@ -52,15 +62,14 @@ def _probes(docs: DataFrame, text_col: str, lengths: list[int]) -> DataFrame:
     with len 0 and no hash, so that documents without a hit stay.
     """
     over = max(lengths) - 1
-    d = docs.select("rid", words_of(F.col(text_col)).alias("w"))
+    d = add_words(docs.select("rid", F.col(text_col).alias("t")), "t", "w")
     d = d.select("rid", F.size("w").alias("n_words"), F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(BLOCK)), lambda s: F.struct(s.alias("at"), F.slice("w", s + 1, BLOCK + over).alias("block")))).alias("b"))
     d = d.select("rid", "n_words", "b.at", "b.block").withColumn("hw", F.transform("block", lambda w: F.xxhash64(w)))
     kind = "array<struct<k:int,len:int,h:bigint>>"
     parts = [F.when(F.col("at") == 0, F.array(F.struct(F.lit(1).alias("k"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("h")))).otherwise(F.array()).cast(kind)]
     for n in lengths:
-        # hw is named twice, so that it stays a column of its own and is made once a block
-        ends = F.least(F.size("hw") - (n - 1), F.lit(BLOCK))
-        parts.append(F.when(ends >= 1, _windows_of(n, ends)).otherwise(F.array().cast(kind)))
+        d = with_window_hashes(d, "hw", f"h{n}", n)
+        parts.append(_windows_of(n))
     d = d.select("rid", "n_words", "at", "block", F.explode(F.concat(*parts)).alias("p"))
     return d.select("rid", "n_words", (F.col("at") + F.col("p.k") - 1).alias("pos"), F.col("p.k").alias("k"), F.col("p.len").alias("plen"), F.col("p.h").alias("ph"), "block")
 
@@ -76,6 +85,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", n: int =
     # the lengths are at most n values; the number of windows decides how they are joined
     stats = wins.groupBy("len").count().collect()
     lengths = sorted({r["len"] for r in stats} | {n})
+    wins = _hashed(wins, lengths)
     side = F.broadcast(wins) if sum(r["count"] for r in stats) <= BROADCAST_WINDOWS else wins
     p = _probes(docs, text_col, lengths)
     j = p.join(side, (p.ph == side.h) & (p.plen == side.len) & (F.slice(p.block, p.k, p.plen) == side.gram), "left").filter("plen = 0 or items is not null")

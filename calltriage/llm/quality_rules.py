@@ -13,11 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_words
+from .common import with_window_hashes, with_words
 
 #: White space that separates words.
 SPACE_CLASS = r"\x20\x09-\x0D"
-SPACES = " \t\n\x0b\f\r"
 SYMBOL_CLASS = "[#*$%&|<>]"
 WINDOW = 8
 
@@ -70,12 +69,12 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_upper", "n_repeat_words")
     keep = [c for c in docs.columns if c not in names]
     d = docs.select(*keep, t.alias("__text"))
-    d = d.withColumn("__words", split_words(F.col("__text"), SPACE_CLASS, SPACES))
+    d = with_words(d, "__text", "__words", SPACE_CLASS)
     d = d.withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]")))
     d = d.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
-            "word_chars": (F.length("__text") - F.regexp_count("__text", F.lit(f"[{SPACE_CLASS}]"))).cast("long"),
+            "word_chars": F.length(F.array_join("__words", "")).cast("long"),
             "n_symbols": F.regexp_count("__text", F.lit(SYMBOL_CLASS)).cast("long"),
             "n_upper": F.regexp_count("__text", F.lit("[A-Z]")).cast("long"),
             "n_lines": F.size("__lines").cast("long"),
@@ -84,10 +83,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         }
     ).drop("__text", "__words", "__lines")
     # one 64-bit value a window; most texts have no window twice and stop here
-    d = d.withColumn(
-        "__win",
-        F.when(F.size("__h") > WINDOW, F.transform(F.sequence(F.lit(1), F.size("__h") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__h", i, WINDOW)))),
-    ).drop("__h")
+    d = with_window_hashes(d, "__h", "__win", WINDOW).drop("__h")
     d = d.withColumn("__rep", F.size(F.array_distinct("__win")) < F.size("__win"))
     d = d.withColumn("__sorted", F.when(F.col("__rep"), F.sort_array(F.transform("__win", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("__win")
     hash_at = lambda k: F.get("__sorted", k)["h"]
