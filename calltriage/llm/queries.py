@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_rules, secret_scan
+from . import decontaminate, lm_scoring, packing, quality_rules, secret_scan
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under the unigram and the context tree."""
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of all documents, in plain text or wrapped."""
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
@@ -40,7 +45,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_packing, op8_quality_rules, op9_decontaminate, op10_secret_scan)}
+    return {f.__name__: f for f in (op4_packing, op5_lm_scoring, op8_quality_rules, op9_decontaminate, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
