@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm_scoring, packing, quality_rules, secret_scan
+from . import chat_format, decontaminate, lm_scoring, packing, quality_rules, secret_scan
 from .common import table
 
 
@@ -26,6 +26,17 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts hold the marks of a common template.
+MARKED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the marked one, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.createDataFrame(MARKED, "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.format_conversations(turns.unionByName(marked)))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of all documents, in plain text or wrapped."""
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
@@ -45,7 +56,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_packing, op5_lm_scoring, op8_quality_rules, op9_decontaminate, op10_secret_scan)}
+    return {f.__name__: f for f in (op4_packing, op5_lm_scoring, op7_chat_format, op8_quality_rules, op9_decontaminate, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
