@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, lm_scoring, packing, quality_rules, secret_scan
+from . import chat_format, decontaminate, lm_scoring, near_dedup, packing, quality_rules, secret_scan
 from .common import table
 
 
@@ -16,6 +16,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents, on four-word shingles."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, packed into windows of up to 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -56,7 +61,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_packing, op5_lm_scoring, op7_chat_format, op8_quality_rules, op9_decontaminate, op10_secret_scan)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op4_packing, op5_lm_scoring, op7_chat_format, op8_quality_rules, op9_decontaminate, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
