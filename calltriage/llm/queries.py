@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, lm_scoring, near_dedup, packing, quality_rules, secret_scan
+from . import chat_format, decontaminate, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, toxicity
 from .common import table
 
 
@@ -16,6 +16,21 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of all documents that an earlier document or place holds."""
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The severity of all documents."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expected rating of all documents."""
+    return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents, on four-word shingles."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
@@ -61,7 +76,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op4_packing, op5_lm_scoring, op7_chat_format, op8_quality_rules, op9_decontaminate, op10_secret_scan)}
+    ops = (
+        op1_substring_dedup, op2_minhash_near_dedup, op3_toxicity, op4_packing, op5_lm_scoring,
+        op6_quality_classifier, op7_chat_format, op8_quality_rules, op9_decontaminate, op10_secret_scan,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
