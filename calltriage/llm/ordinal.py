@@ -29,8 +29,8 @@ PENALTY = 3e-5
 STEPS = 600
 CHUNK = 2 << 20
 
-#: Texts -> (text number, feature) pairs, without repeats.
-Features = Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]
+#: (texts, which buckets matter or None for all) -> (text number, feature) pairs, without repeats.
+Features = Callable[[list[str | None], np.ndarray | None], tuple[np.ndarray, np.ndarray]]
 
 
 def hashed(names: list[bytes]) -> np.ndarray:
@@ -38,6 +38,21 @@ def hashed(names: list[bytes]) -> np.ndarray:
     return np.fromiter((zlib.crc32(x) for x in names), np.int64, len(names)) % BUCKETS
 
 
+def of_words(texts: list[str | None], names: Callable[[bytes], list[bytes]], keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of texts and the features that ``names`` gives to their words."""
+    words, owner, token = word_ids(texts)
+    each = [names(w) for w in words]
+    word = np.repeat(np.arange(len(words)), [len(x) for x in each])
+    bucket = hashed([x for xs in each for x in xs])
+    if keep is not None:
+        word, bucket = word[keep[bucket]], bucket[keep[bucket]]
+    first = np.searchsorted(word, np.arange(len(words) + 1))
+    n = np.diff(first)[token]
+    owner, token, n = owner[n > 0], token[n > 0], n[n > 0]
+    at = np.repeat(first[token] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return distinct_pairs(np.repeat(owner, n), bucket[at])
+
+
 def distinct_pairs(owner: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pair = np.unique(owner * BUCKETS + feature)
     return pair // BUCKETS, pair % BUCKETS
@@ -114,7 +129,7 @@ def train(docs: DataFrame, graded: DataFrame, features: Features, sample: int =
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                owner, feature = features(part.column("text").to_pylist())
+                owner, feature = features(part.column("text").to_pylist(), None)
                 ends = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), lists], ["doc_id", "grade", "features"])
@@ -132,13 +147,14 @@ def score(docs: DataFrame, model: Model, features: Features) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        keep = m.weights != 0
         for batch in batches:
             lens = np.cumsum(np.array(batch.column("text").to_pandas().str.len().fillna(0), np.int64))
             at = 0
             while at < batch.num_rows:
                 end = max(at + 1, int(np.searchsorted(lens, (lens[at - 1] if at else 0) + CHUNK)))
                 part = batch.slice(at, end - at)
-                owner, feature = features(part.column("text").to_pylist())
+                owner, feature = features(part.column("text").to_pylist(), keep)
                 tails = m.tails(np.bincount(owner, weights=m.weights[feature], minlength=part.num_rows))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(tails.sum(axis=1)), pa.array(list(tails), pa.list_(pa.float64()))], ["doc_id", "expected", "tails"])
                 at = end

@@ -21,7 +21,7 @@ def _shape(word: bytes) -> bytes:
     return _RUN.sub(rb"\1", word)[:12]
 
 
-def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: list[str | None], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A text's words, and how large a share of them has each shape, in steps of two.
 
     Also its number of words and its share of distinct ones, in such steps.
@@ -43,7 +43,9 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     distinct = np.bincount(np.unique(owner * len(words) + token) // len(words), minlength=len(texts))
     sizes = ordinal.hashed([b"n%d" % np.log2(x) for x in n[there]])
     fresh = ordinal.hashed([b"d%d" % (8 * d / x) for d, x in zip(distinct[there], n[there], strict=True)])
-    return ordinal.distinct_pairs(np.concatenate((owner, who, there, there)), np.concatenate((plain, share, sizes, fresh)))
+    owner, feature = np.concatenate((owner, who, there, there)), np.concatenate((plain, share, sizes, fresh))
+    use = slice(None) if keep is None else keep[feature]
+    return ordinal.distinct_pairs(owner[use], feature[use])
 
 
 def rating(labels: DataFrame) -> DataFrame:

@@ -11,11 +11,15 @@ from . import ordinal
 _STRIP = b".,;:!?\"'()[]*#$%&|<>-"
 
 
-def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Which words a text holds: lower case (A-Z), without marks at the ends."""
-    words, owner, token = ordinal.word_ids(texts)
-    bucket = ordinal.hashed([w.lower().strip(_STRIP) for w in words])
-    return ordinal.distinct_pairs(owner, bucket[token]) if len(token) else (owner.astype(np.int64), token)
+def _names(word: bytes) -> list[bytes]:
+    """The word in lower case (A-Z), without marks at its ends, and its beginnings."""
+    word = word.lower().strip(_STRIP)
+    return [word, *(b"%b~" % word[:n] for n in range(4, 10) if n <= len(word))]
+
+
+def features(texts: list[str | None], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which words, and beginnings of words (4 to 9 bytes), a text holds."""
+    return ordinal.of_words(texts, _names, keep)
 
 
 def severity(labels: DataFrame) -> DataFrame:
@@ -24,7 +28,7 @@ def severity(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade.alias("grade"))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = ordinal.SAMPLE) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = ordinal.SAMPLE) -> DataFrame:
     """Per row: doc_id, expected_severity, p_toxic = P(severity >= 1) and the verdict.
 
     Null and empty texts have no features and get the base rate. Without any
