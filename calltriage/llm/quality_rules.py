@@ -110,7 +110,10 @@ def verdict(policy: str) -> Column:
 
 def keep(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass the policy, with their own columns."""
-    kept = ledger(docs.withColumns({f"__own_{c}": F.col(c) for c in docs.columns}), text_col).filter(verdict(policy))
+    led = ledger(docs.withColumns({f"__own_{c}": F.col(c) for c in docs.columns}), text_col)
+    # a filter on the measurements would be pushed below them, which would make
+    # each of them anew wherever it is named; a row number keeps it above
+    kept = led.withColumn("__row", F.monotonically_increasing_id()).filter(verdict(policy) & (F.col("__row") >= 0))
     return kept.select(*[F.col(f"__own_{c}").alias(c) for c in docs.columns])
 
 
