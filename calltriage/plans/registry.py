@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scoring
+from . import corpora, evaluation, scoring
 
-MODULES = [scoring]
+MODULES = [scoring, corpora, evaluation]
 
 
 def queries() -> dict:
