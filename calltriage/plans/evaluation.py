@@ -63,10 +63,10 @@ def tpr_fpr(spark, sf_dir):
     return evaluate.confusion(rows(spark, sf_dir), "config").select("config", F.round("tpr", 9).alias("tpr"), F.round("fpr", 9).alias("fpr"))
 
 
-@query(f"WITH {PRED_SQL} SELECT call_id, config, (label = 1) = predicted AS correct, round_even(round(risk, 9), 4) AS score FROM rows_")
+@query(f"WITH {PRED_SQL} SELECT call_id, config, (label = 1) = predicted AS correct, (v // 100000 + CASE WHEN v % 100000 > 50000 OR (v % 100000 = 50000 AND (v // 100000) % 2 = 1) THEN 1 ELSE 0 END) / 10000.0::DOUBLE AS score FROM (SELECT *, CAST(round(risk * 1e9) AS BIGINT) AS v FROM rows_)")
 def eval_records(spark, sf_dir):
     r = rows(spark, sf_dir, "risk")
-    return r.select("call_id", "config", ((F.col("label") == 1) == F.col("predicted")).alias("correct"), F.bround(F.round("risk", 9), 4).alias("score"))
+    return r.select("call_id", "config", ((F.col("label") == 1) == F.col("predicted")).alias("correct"), F.bround(F.round("risk", 9).cast("decimal(18,9)"), 4).cast("double").alias("score"))
 
 
 @query(f"WITH {PRED_SQL} SELECT config, call_id, CASE WHEN label = 1 THEN 'fn' ELSE 'fp' END AS kind FROM rows_ WHERE (label = 1) <> predicted")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpora, evaluation, scoring
+from . import corpora, evaluation, models, scoring
 
-MODULES = [scoring, corpora, evaluation]
+MODULES = [scoring, corpora, evaluation, models]
 
 
 def queries() -> dict:
