@@ -28,6 +28,8 @@ MIN_SHARE = 0.02
 PENALTY = 3e-5
 STEPS = 600
 CHUNK = 2 << 20
+#: Numbers of words with the same feature that count as features of their own.
+COUNTS = (2, 4, 8)
 
 #: (texts, which buckets matter or None for all) -> (text number, feature) pairs, without repeats.
 Features = Callable[[list[str | None], np.ndarray | None], tuple[np.ndarray, np.ndarray]]
@@ -39,18 +41,36 @@ def hashed(names: list[bytes]) -> np.ndarray:
 
 
 def of_words(texts: list[str | None], names: Callable[[bytes], list[bytes]], keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of texts and the features that ``names`` gives to their words."""
+    """Pairs of texts and the features that ``names`` gives to their words.
+
+    A feature of two, four or eight words of a text also counts as one of its
+    own for that number.
+    """
     words, owner, token = word_ids(texts)
     each = [names(w) for w in words]
     word = np.repeat(np.arange(len(words)), [len(x) for x in each])
     bucket = hashed([x for xs in each for x in xs])
     if keep is not None:
-        word, bucket = word[keep[bucket]], bucket[keep[bucket]]
+        wanted = keep[bucket] | np.any([keep[often(bucket, c)] for c in COUNTS], axis=0)
+        word, bucket = word[wanted], bucket[wanted]
     first = np.searchsorted(word, np.arange(len(words) + 1))
     n = np.diff(first)[token]
     owner, token, n = owner[n > 0], token[n > 0], n[n > 0]
     at = np.repeat(first[token] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    return distinct_pairs(np.repeat(owner, n), bucket[at])
+    pair, count = np.unique(np.repeat(owner, n) * BUCKETS + bucket[at], return_counts=True)
+    who, what = pair // BUCKETS, pair % BUCKETS
+    owners, features = [who], [what]
+    for c in COUNTS:
+        owners.append(who[count >= c])
+        features.append(often(what[count >= c], c))
+    owner, feature = np.concatenate(owners), np.concatenate(features)
+    use = slice(None) if keep is None else keep[feature]
+    return distinct_pairs(owner[use], feature[use])
+
+
+def often(bucket: np.ndarray, count: int) -> np.ndarray:
+    """The bucket of "this feature, ``count`` times or more"."""
+    return (bucket * 40_503 + count * 7_919 + 1) % BUCKETS
 
 
 def distinct_pairs(owner: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
