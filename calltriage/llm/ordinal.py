@@ -88,25 +88,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -500, 500)))
 
 
-def _select(owner: np.ndarray, feature: np.ndarray, grade: np.ndarray, top: int) -> np.ndarray:
+def _select(df: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The features that tell grades apart; ``df[g]`` counts them in the ``rows[g]`` rows of grade g."""
     keep = np.zeros(BUCKETS, bool)
-    for k in range(1, top + 1):
-        high = grade >= k
-        n1, n0 = high.sum(), (~high).sum()
+    for k in range(1, len(rows)):
+        n1, n0 = rows[k:].sum(), rows[:k].sum()
         if not n1 or not n0:
             continue
-        d1 = np.bincount(feature[high[owner]], minlength=BUCKETS)
-        d0 = np.bincount(feature[~high[owner]], minlength=BUCKETS)
+        d1, d0 = df[k:].sum(axis=0), df[:k].sum(axis=0)
         p = (d1 + d0 + 1) / (n1 + n0 + 2)
         tells = np.abs(d1 / n1 - d0 / n0) >= MIN_Z * np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
         keep |= tells & (np.maximum(d1 / n1, d0 / n0) >= MIN_SHARE)
-    return np.flatnonzero(keep)
+    return keep
 
 
 def fit(owner: np.ndarray, feature: np.ndarray, grade: np.ndarray) -> Model:
     """Fits by Adam on all rows at once; grades are 0, 1, ..."""
     top = max(1, int(grade.max(initial=0)))
-    chosen = _select(owner, feature, grade, top)
+    df = np.bincount(grade[owner] * BUCKETS + feature, minlength=(top + 1) * BUCKETS).reshape(-1, BUCKETS)
+    chosen = np.flatnonzero(_select(df, np.bincount(grade, minlength=top + 1)))
     column = np.full(BUCKETS, -1)
     column[chosen] = np.arange(len(chosen))
     use = column[feature] >= 0
@@ -145,17 +145,37 @@ def train(docs: DataFrame, graded: DataFrame, features: Features, sample: int =
     clean = graded.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     chosen = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # SAMPLE rows at most
+    texts = texts.select(F.col("doc_id").cast("long"), F.col("grade").cast("int"), "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
+                grade = part.column("grade").to_numpy().astype(np.int64)
                 owner, feature = features(part.column("text").to_pylist(), None)
+                pair, n = np.unique(grade[owner] * BUCKETS + feature, return_counts=True)
+                rows, m = np.unique(grade, return_counts=True)
+                cells = np.concatenate((pair // BUCKETS, rows)), np.concatenate((pair % BUCKETS, np.full(len(rows), -1))), np.concatenate((n, m))
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cells, (np.int32, np.int32, np.int64), strict=True)], ["grade", "feature", "n"])
+
+    # counts of features by grade (BUCKETS for each grade at most) choose what is sent to the fit
+    cells = texts.mapInArrow(count, "grade int, feature int, n long").groupBy("grade", "feature").agg(F.sum("n").alias("n")).toArrow()
+    g, f, n = (cells.column(c).to_numpy() for c in ("grade", "feature", "n"))
+    df, total = np.zeros((max(2, int(g.max(initial=0)) + 1), BUCKETS), np.int64), np.zeros(max(2, int(g.max(initial=0)) + 1), np.int64)
+    df[g[f >= 0], f[f >= 0]], total[g[f < 0]] = n[f >= 0], n[f < 0]
+    keep = _select(df, total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                owner, feature = features(part.column("text").to_pylist(), keep)
                 ends = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), lists], ["doc_id", "grade", "features"])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # SAMPLE rows at most
-    got = texts.select(F.col("doc_id").cast("long"), F.col("grade").cast("int"), "text").mapInArrow(run, "doc_id long, grade int, features array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    got = texts.mapInArrow(run, "doc_id long, grade int, features array<int>").toArrow().sort_by("doc_id").combine_chunks()
     lists = got.column("features").combine_chunks()
     owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())) if len(lists) else np.zeros(0, np.int64)
     return fit(owner, lists.values.to_numpy().astype(np.int64) if len(lists) else np.zeros(0, np.int64), got.column("grade").to_numpy().astype(np.int64))
