@@ -82,3 +82,27 @@ def test_scores(spark):
 
 def test_empty_table(spark):
     assert L.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_no_context_is_dropped(spark, monkeypatch):
+    """More contexts than any cap: the scores equal those of one tree over all of them."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join("".join(w) for w in rng.choice(list("abcdefghijklmnop"), (1500, 7))) for _ in range(14)]
+    rows = [(i, texts[i % 14]) for i in range(42)] + [(100, None), (101, "zebra quiz " * 9)]
+    learned, held_out = ([t for i, t in rows if (zlib.crc32(str(i).encode()) % 7 == 2) == h] for h in (False, True))
+    assert held_out
+    keys, n = np.unique(L._grams(*L._stream([L.tokens(t) for t in learned])[:2]), return_counts=True)
+    tables = []
+    for d in range(L.DEPTH + 1):
+        k, inverse = np.unique(keys >> 8 * (L.DEPTH - d + 1) << 8 | keys & 255, return_inverse=True)
+        tables.append(pa.table({"ctx": k >> 8, "sym": k & 255, "n": np.bincount(inverse, weights=n).astype(np.int64)}))
+    assert sum(len(np.unique(t.column("ctx"))) for t in tables) > 100_000
+    tree = L.build_tree(tables)
+    want = {i: tree.score(*L._stream([L.tokens(t)])[:2]).sum() for i, t in rows[:4] + rows[-2:-1]}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in L.score_documents(df).collect()}
+    assert all(abs(got[i] - x) < 0.01 * abs(x) + 0.01 for i, x in want.items())
+    monkeypatch.setattr(L, "COMMON_GRAMS", 50)  # now nearly all grams are joined
+    monkeypatch.setattr(L, "BLOCK", 1000)
+    again = {r.doc_id: r.score for r in L.score_documents(df).collect()}
+    assert got.keys() == again.keys() and all(abs(got[i] - again[i]) < 1e-6 * abs(got[i]) for i in got)
