@@ -3,21 +3,23 @@
 Every text is scanned as it stands. Then URL escapes, Unicode escapes and
 base64 runs (plain, or holding gzip, zlib, bzip2, xz or zstd data) are
 unwrapped; each new layer is scanned as well and unwrapped again, until no new
-layer comes up. Layers already seen are not visited twice, which also ends
-cycles. Each layer carries, for every character, the span of the original text
+layer comes up. No layer is dropped for what it holds: bytes that aren't UTF-8
+become single characters. Base64 runs are also read across line ends and in all
+four phases, and compressed data is looked for wherever it begins in a run; it
+is unfolded as a stream of overlapping pieces. Layers already seen are not
+visited twice, which also ends cycles. Each layer carries, for every character, the span of the original text
 that it came from, so that a finding inside nested layers is reported there.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +36,12 @@ HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Bytes that one compressed run may unfold to; a longer one is left as it is.
-MAX_UNFOLDED = 16 << 20
+#: Base64 over two lines or more.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={0,2}\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+#: How gzip, zlib, bzip2, xz and zstd data begins in base64.
+PACKED = re.compile(r"H4sI|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])|Qlpo|[/_]Td6WFo|KLUv[/_]")
+#: Characters of unfolded data that are scanned at a time; pieces overlap by half.
+PIECE = 8 << 20
 
 Span = tuple[str, int, int]
 
@@ -56,75 +62,107 @@ def _ordered(spans) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _url(run: str):
-    try:
-        s = bytes.fromhex(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
-    ends = 3 * np.cumsum([len(c.encode()) for c in s])
+def _text(raw: bytes):
+    """(text, first byte and end of each character); a byte that isn't UTF-8 is a character of its own."""
+    s = raw.decode("utf-8", "surrogateescape")
+    if len(s) == len(raw):
+        return s, np.arange(len(s)), np.arange(1, len(s) + 1)
+    cp = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum(np.where((cp >= 0xDC80) & (cp <= 0xDCFF), 1, 1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000)))
     return s, np.concatenate(([0], ends[:-1])), ends
 
 
+def _url(run: str):
+    s, starts, ends = _text(bytes.fromhex(run.replace("%", "")))
+    return s, 3 * starts, 3 * ends
+
+
 def _escapes(run: str):
     wide = run[1] == "u"
     step = 6 if wide else 4
     units = [int(run[i + 2 : i + step], 16) for i in range(0, len(run), step)]
-    try:
-        s = b"".join(u.to_bytes(2, "little") for u in units).decode("utf-16-le") if wide else bytes(units).decode()
-    except UnicodeDecodeError:
-        return None
-    ends = step * np.cumsum([len(c.encode("utf-16-le")) // 2 if wide else len(c.encode()) for c in s])
+    if not wide:
+        s, starts, ends = _text(bytes(units))
+        return s, step * starts, step * ends
+    s = b"".join(u.to_bytes(2, "little") for u in units).decode("utf-16-le", "surrogatepass")
+    ends = step * np.cumsum([1 + (c > "\uffff") for c in s])
     return s, np.concatenate(([0], ends[:-1])), ends
 
 
-def _unfold(raw: bytes) -> bytes | None:
-    """What compressed bytes hold, None if they aren't compressed or hold too much."""
+def _raw(body: str) -> bytes:
+    """Base64 without padding; a last character that is no byte is left out."""
+    body = body[: len(body) - (len(body) % 4 == 1)].replace("-", "+").replace("_", "/")
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _unfold(raw: bytes) -> Iterator[bytes]:
+    """What compressed bytes hold, part by part, as far as they can be read."""
     try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-            d = zlib.decompressobj(wbits=47)
-            out = d.decompress(raw, MAX_UNFOLDED)
-            return out if d.eof else None
-        if raw[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            out = d.decompress(raw, MAX_UNFOLDED)
-            return out if d.eof else None
-        if raw[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor(memlimit=1 << 27)
-            out = d.decompress(raw, MAX_UNFOLDED)
-            return out if d.eof else None
         if raw[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            d = zstandard.ZstdDecompressor().stream_reader(raw)
-            out = d.read(MAX_UNFOLDED)
-            return None if d.read(1) else out
+            d = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
+            while out := d.read(1 << 20):
+                yield out
+        while raw:  # streams may follow one another
+            if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
+                d = zlib.decompressobj(wbits=47)
+            elif raw[:3] == b"BZh":
+                d = bz2.BZ2Decompressor()
+            elif raw[:6] == b"\xfd7zXZ\x00":
+                d = lzma.LZMADecompressor(memlimit=1 << 27)
+            else:
+                return
+            out = d.decompress(raw, 1 << 20)
+            while out or not d.eof:
+                yield out
+                if d.eof:
+                    break
+                if isinstance(getattr(d, "unconsumed_tail", None), bytes):
+                    more = d.unconsumed_tail
+                elif d.needs_input:
+                    return
+                else:
+                    more = b""
+                was, out = out, d.decompress(more, 1 << 20)
+                if not (was or out):
+                    return
+            raw = d.unused_data
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
+        return
     except Exception as e:  # zstandard raises a class of its own
         if type(e).__name__ != "ZstdError":
             raise
-    return None
+
+
+def _pieces(parts: Iterator[bytes]) -> Iterator[str]:
+    """The parts as texts of PIECE characters or less, each with half of the one before."""
+    decode = codecs.getincrementaldecoder("utf-8")("surrogateescape").decode
+    held, size, fresh = [], 0, False
+    for part in parts:
+        held.append(decode(part))
+        size, fresh = size + len(held[-1]), fresh or bool(held[-1])
+        if size >= PIECE:
+            text = "".join(held)
+            yield text
+            held, size, fresh = [text[-(PIECE // 2) :]], PIECE // 2, False
+    held.append(decode(b"", True))
+    if fresh or held[-1]:
+        yield "".join(held)
 
 
 def _base64(run: str):
+    """Only a run that is UTF-8 takes the run's place; Layer.pieces has the others."""
     body = run.rstrip("=")
     if len(body) % 4 == 1:
         return None
+    raw = _raw(body)
     try:
-        raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return None
-    folded = _unfold(raw)
-    try:
-        s = (raw if folded is None else folded).decode()
+        raw.decode()
     except UnicodeDecodeError:
         return None
-    if not s or not all(c.isprintable() or c in "\t\n\r" for c in s):
-        return None
-    if folded is not None:  # a character of compressed data comes from the whole run
-        return s, np.zeros(len(s), np.int64), np.full(len(s), len(run))
-    ends = np.cumsum([len(c.encode()) for c in s])
-    return s, np.concatenate(([0], ends[:-1])) * 8 // 6, -(-ends * 8 // 6)
+    s, starts, ends = _text(raw)
+    return s, starts * 8 // 6, -(-ends * 8 // 6)
 
 
 DECODERS = ((lambda t: "%" in t, URL, _url), (lambda t: "\\" in t, ESCAPES, _escapes), (lambda t: True, BASE64, _base64))
@@ -156,21 +194,62 @@ class Layer:
             at = j
         return Layer("".join([*texts, self.text[at:]]), np.concatenate([*starts, s0[at:]]), np.concatenate([*ends, e0[at:]]))
 
+    def runs(self) -> Iterator[tuple[str, np.ndarray, int]]:
+        """Base64 runs, in one line and across lines: (characters, their places, end)."""
+        for rx in (BASE64, WRAPPED):
+            for m in rx.finditer(self.text):
+                chars = np.frombuffer(m[0].encode(), np.uint8)
+                at = np.flatnonzero(~np.isin(chars, np.frombuffer(b"=\r\n\t ", np.uint8)))
+                yield chars[at].tobytes().decode(), at + m.start(), m.end()
+
+    def inner(self) -> Iterator[Layer]:
+        """All layers that are one step further in."""
+        for wanted, rx, decode in DECODERS:
+            if wanted(self.text) and (new := self.unwrap(rx, decode)) is not None:
+                yield new
+        texts, starts, ends = [], [], []
+        for body, at, _ in self.runs():
+            for phase in range(4):
+                s, a, b = _text(_raw(body[phase:]))
+                a, b = at[phase + a * 8 // 6], at[phase - (-b * 8 // 6) - 1]
+                texts += [s, "\0"]
+                starts += [self._firsts(a), self._firsts(a[-1:])]
+                ends += [self._lasts(b), self._lasts(b[-1:])]
+        if texts:
+            yield Layer("".join(texts), np.concatenate(starts), np.concatenate(ends))
+        for body, at, end in self.runs():
+            for m in PACKED.finditer(body):
+                # most that begin alike aren't compressed; a zstd block gives nothing before its end
+                if m[0][:4] != "KLUv" and next(_unfold(_raw(body[m.start() : m.start() + 4096])), None) is None:
+                    continue
+                a, b = self.origin(int(at[m.start()]), end)
+                for text in _pieces(_unfold(_raw(body[m.start() :]))):
+                    yield Layer(text, np.broadcast_to(a, len(text)), np.broadcast_to(b, len(text)))
+
+    def _firsts(self, at: np.ndarray) -> np.ndarray:
+        return at if self.starts is None else self.starts[at]
+
+    def _lasts(self, at: np.ndarray) -> np.ndarray:
+        return at + 1 if self.ends is None else self.ends[at]
+
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
     """(spans of the text itself, those and the spans of all its layers)."""
     text = text or ""
     base = _ordered(scan(text))
-    spans, seen, todo = set(base), set(), deque([Layer(text)])
+    # layers are made one by one, so that of a long stream only a piece is held
+    spans, seen, todo = set(base), set(), [Layer(text).inner()]
     while todo:
-        layer = todo.popleft()
-        for wanted, rx, decode in DECODERS:
-            if wanted(layer.text) and (new := layer.unwrap(rx, decode)) is not None:
-                key = hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                if key not in seen:
-                    seen.add(key)
-                    spans.update((k, *new.origin(a, b)) for k, a, b in scan(new.text))
-                    todo.append(new)
+        new = next(todo[-1], None)
+        if new is None:
+            todo.pop()
+        elif new.text:
+            # the same text may stand in several places
+            key = hashlib.blake2b(repr(new.origin(0, len(new.text))).encode() + new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            if key not in seen:
+                seen.add(key)
+                spans.update((k, *new.origin(a, b)) for k, a, b in scan(new.text))
+                todo.append(new.inner())
     return base, _ordered(spans)
 
 

@@ -1,6 +1,9 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
+import textwrap
 import urllib.parse
 import zlib
 
@@ -46,3 +49,30 @@ def test_query_and_redaction(spark):
     red = {(r.doc_id, r.text, r.spans) for r in S.redact(df).collect()}
     assert red == {(1, None, "a"), (2, "", "a"), (3, "k [access] z", "a"), (4, "clean", None)}
     assert S.scan_documents(df.limit(0)).count() == 0 and S.redact(df.limit(0)).count() == 0
+
+
+def test_no_layer_is_dropped():
+    secret = f"password={'q' * 8} {KEY} " + " ".join(hashlib.sha256(bytes([i])).hexdigest()[:9] for i in range(90))
+    found = lambda t: {k for k, _, _ in S.find(t)[1]}
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    for odd in ("\u00a0", "\u3000", "\ufeff", "\u200b", "\f", "\x1b", "\0"):
+        for raw in ((odd + secret).encode(), gzip.compress((secret + odd).encode())):
+            assert {"assign", "access"} <= found(f"a {b64(raw)} z"), repr(odd)
+    for raw in (b"\xff" + secret.encode(), zlib.compress(secret.encode() + b"\xe9"), gzip.compress(b"x" * 99) + gzip.compress(secret.encode())):
+        assert {"assign", "access"} <= found(f"a {b64(raw)} z")
+    assert "access" in found("%E9" + "".join(f"%{ord(c):02X}" for c in KEY)) and "access" in found("\\xe9" + "".join(f"\\x{ord(c):02x}" for c in KEY))
+    for raw in (secret.encode(), gzip.compress(secret.encode()), zlib.compress(secret.encode()), bz2.compress(secret.encode()), lzma.compress(secret.encode())):
+        for end in ("\n", "\r\n"):
+            lines = end.join(textwrap.wrap(b64(raw), 64))
+            for t in (lines, f"-----BEGIN CERTIFICATE-----{end}{lines}{end}-----END CERTIFICATE-----"):
+                assert {"assign", "access"} <= found(t)
+        for glued in ("x", "xy", "xyz", "path/"):
+            assert {"assign", "access"} <= found(f"a {glued}{b64(raw)} z")
+    t = f"{b64(gzip.compress(secret.encode()))} and {b64(gzip.compress(secret.encode()))}"
+    assert len([k for k, _, _ in S.find(t)[1] if k == "access"]) >= 2
+
+
+def test_long_stream_is_read_to_its_end():
+    long = zlib.compress(b"a b " * (5 << 20) + KEY.encode() + b" z")
+    t = f"x {base64.b64encode(long).decode()} y"
+    assert ("access", 2, len(t) - 2) in S.find(t)[1]
