@@ -64,13 +64,13 @@ def logreg_score(docs: DataFrame, weights: DataFrame, coefficients: DataFrame, i
 
 
 def as_vectors(weights: DataFrame, vocab: DataFrame, labels: DataFrame, id_col: str, size: int) -> DataFrame:
-    """(id, label, weight, features) for Spark ML; weights balance the classes."""
+    """(id, label, weight, features) for Spark ML; weights balance the classes. A row without a known term has an empty vector."""
     place = vocab.withColumn("i", F.row_number().over(Window.orderBy(F.desc("total"), "term")) - 1)  # a bounded vocabulary
-    make = F.udf(lambda xs: SparseVector(size, sorted((x["i"], x["w"]) for x in xs)), VectorUDT())
+    make = F.udf(lambda xs: SparseVector(size, sorted((x["i"], x["w"]) for x in xs or [])), VectorUDT())
     rows = weights.join(F.broadcast(place.select("term", "i")), "term").groupBy(id_col).agg(F.collect_list(F.struct("i", "w")).alias("xs"))
     totals = labels.groupBy("label").agg(F.count("*").alias("c")).withColumn("n", F.sum("c").over(Window.partitionBy()))
     balanced = labels.join(F.broadcast(totals), "label").withColumn("weight", F.col("n") / (2 * F.col("c")))
-    return balanced.join(rows, id_col).select(id_col, F.col("label").cast("double").alias("label"), "weight", make("xs").alias("features"))
+    return balanced.join(rows, id_col, "left").select(id_col, F.col("label").cast("double").alias("label"), "weight", make("xs").alias("features"))
 
 
 def fit_logreg(train: DataFrame, c: float, max_iter: int = 2000):

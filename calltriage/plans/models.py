@@ -11,7 +11,8 @@ from . import fixtures as fx
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-LIMIT = 300  # the vocabulary's size is the operator's feature
+LIMIT = 300  # of the queries that have SQL
+FAMILY_TERMS = 30_000  # of each family of terms that the models learn from
 
 
 def query(sql=None, name=None):
@@ -84,9 +85,20 @@ def tfidf_l2(spark, sf_dir):
     return weights(spark, sf_dir)[0].select("id", "term", F.round("w", 6).alias("w"))
 
 
+def _families(spark, sf_dir):
+    """(family, terms, vocabulary) of words and of characters; a term begins with its family."""
+    t = turns(spark, sf_dir)
+    for family, made in (("word", textmodel.word_ngrams(t, "id", "text")), ("char", textmodel.char_ngrams(t, "id", "text"))):
+        made = made.withColumn("term", F.concat(F.lit(f"{family}:"), "term"))
+        yield family, made, textmodel.vocabulary(made, 2, FAMILY_TERMS)
+
+
 def _vectors(spark, sf_dir):
-    w, v = weights(spark, sf_dir)
-    return textmodel.as_vectors(w, v, turns(spark, sf_dir).select("id", "label"), "id", LIMIT)
+    """Vectors of both families, each normalised by itself."""
+    t = turns(spark, sf_dir)
+    n, found = t.count(), list(_families(spark, sf_dir))
+    w = [textmodel.tfidf(terms, vocab, n, "id") for _, terms, vocab in found]
+    return textmodel.as_vectors(w[0].unionByName(w[1]), found[0][2].unionByName(found[1][2]), t.select("id", "label"), "id", 2 * FAMILY_TERMS)
 
 
 @query()
@@ -133,9 +145,10 @@ def top_features(spark, sf_dir):
 
 @query()
 def model_persist(spark, sf_dir):
-    """Coefficients written as a table and read back."""
+    """Coefficients of both families written as a table and read back."""
     path = files.scratch_path(spark, "model")
-    _coefficients(spark, sf_dir).write.parquet(path)
+    (words, chars) = [v.select(F.lit(family).alias("family"), F.expr(f"substring(term, {len(family) + 2})").alias("term")) for family, _, v in _families(spark, sf_dir)]
+    words.unionByName(chars).withColumn("coef", F.expr(f"cast({_COEF} as double)")).write.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from calltriage.config import Settings
 from calltriage.functions import risk
 from calltriage.operators import audio, corpus, evaluate, explain, normalize, sessions, signatures, textmodel
-from calltriage.plans import fixtures as fx
+from calltriage.plans import fixtures as fx, models
 from calltriage.streaming import sessions as live
 
 from .conftest import SF
@@ -113,3 +113,20 @@ def test_settings():
     assert Settings().override(high=0.9).high == 0.9
     with pytest.raises(TypeError):
         Settings().override(unknown=1)
+
+
+def test_rows_without_terms_stay(spark):
+    w = spark.createDataFrame([(1, "a", 1.0)], "id long, term string, w double")
+    v = spark.createDataFrame([("a", 2, 3)], "term string, df long, total long")
+    rows = textmodel.as_vectors(w, v, spark.createDataFrame([(1, 0), (2, 1)], "id long, label int"), "id", 5).collect()
+    assert {r.id: (r.features.size, r.features.numNonzeros()) for r in rows} == {1: (5, 1), 2: (5, 0)}
+
+
+def test_models_learn_from_all_turns_and_both_families(spark):
+    d = models._vectors(spark, SF).cache()
+    assert d.count() == models.turns(spark, SF).count()
+    assert d.first().features.size == 60_000
+    x = [r.features for r in d.collect()]
+    assert sum(v.numNonzeros() for v in x) > 0 and max(v.norm(2) for v in x) > 1.4  # each family has length one
+    n = {r.family: r["count"] for r in models.QUERIES["model_persist"](spark, SF).groupBy("family").count().collect()}
+    assert set(n) == {"word", "char"} and n["char"] > 300 and n["word"] > 300
