@@ -12,7 +12,7 @@ from ..config import Settings
 
 DAY_MS = 24 * 3600 * 1000
 CHUNKS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-OUTPUT = "session_id long, seq long, risk_score double, level string, alert boolean, n_chars int"
+OUTPUT = "session_id long, seq long, risk_score double, level string, alert boolean, n_chars int, late boolean"
 STATE = "transcript string, level string, seq long"
 
 
@@ -34,7 +34,7 @@ def next_transcript(transcript: str, chunk: str, s: Settings = Settings()) -> st
 
 
 def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Chunks of one session in a micro-batch, in order; repeated or late ones are dropped."""
+    """Chunks of one session in a micro-batch, in order; repeated or late ones are reported with the level as it stands."""
     if state.hasTimedOut:
         state.remove()
         return
@@ -43,14 +43,15 @@ def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     chunks = pd.concat(list(batches)).sort_values("seq")
     for r in chunks.itertuples():
         if r.seq <= last:
+            rows.append((key[0], r.seq, r.risk_score, level, False, len(transcript), True))
             continue
         transcript, was, level, last = next_transcript(transcript, r.chunk), level, next_level(level, r.risk_score), r.seq
-        rows.append((key[0], r.seq, r.risk_score, level, level == "high" and was != "high", len(transcript)))
+        rows.append((key[0], r.seq, r.risk_score, level, level == "high" and was != "high", len(transcript), False))
     state.update((transcript, level, last))
     # sessions that nobody continues for a day of event time are forgotten
     until = max(int(chunks["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + DAY_MS
     state.setTimeoutTimestamp(until)
-    yield pd.DataFrame(rows, columns=["session_id", "seq", "risk_score", "level", "alert", "n_chars"])
+    yield pd.DataFrame(rows, columns=["session_id", "seq", "risk_score", "level", "alert", "n_chars", "late"])
 
 
 def score_stream(chunks: DataFrame) -> DataFrame:
@@ -60,7 +61,8 @@ def score_stream(chunks: DataFrame) -> DataFrame:
 
 def read_chunks(spark: SparkSession, folder: str, glob: str = "events.parquet") -> DataFrame:
     """The events as a stream of chunks."""
-    events = spark.readStream.schema(CHUNKS).option("pathGlobFilter", glob).option("maxFilesPerTrigger", 1000).parquet(folder)
+    # a glob of the whole path finds a single file and a folder of part files
+    events = spark.readStream.schema(CHUNKS).parquet(f"{folder.rstrip('/')}/{glob[:-1]}[{glob[-1]}]")
     return events.selectExpr("user_id as session_id", "event_id as seq", "ts", "concat(event_type, ' number ', event_id) as chunk", "(event_id * 37 % 101) / 100.0D as risk_score")
 
 

@@ -130,3 +130,16 @@ def test_models_learn_from_all_turns_and_both_families(spark):
     assert sum(v.numNonzeros() for v in x) > 0 and max(v.norm(2) for v in x) > 1.4  # each family has length one
     n = {r.family: r["count"] for r in models.QUERIES["model_persist"](spark, SF).groupBy("family").count().collect()}
     assert set(n) == {"word", "char"} and n["char"] > 300 and n["word"] > 300
+
+
+def test_stream_reads_a_folder_of_parts_and_reports_late_chunks(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("event_id")))
+    sf, out, state = str(tmp_path / "sf"), str(tmp_path / "out"), str(tmp_path / "state")
+    later = F.col("event_id") >= events.count() // 2
+    events.filter(later).repartition(3).write.parquet(f"{sf}/events.parquet")
+    live.run_once(live.score_stream(live.read_chunks(spark, sf)), out, state)
+    assert spark.read.parquet(out).count() == events.filter(later).count() > 0
+    events.filter(~later).repartition(2).write.mode("append").parquet(f"{sf}/events.parquet")
+    live.run_once(live.score_stream(live.read_chunks(spark, sf)), out, state)
+    got = spark.read.parquet(out)
+    assert sorted(r.seq for r in got.collect()) == sorted(r.event_id for r in events.collect()) and got.filter("late").count() > 0
