@@ -42,6 +42,16 @@ def scratch_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The columns as c0, c1, ..., so that no name clashes with one of an operator, and ``rid``, which tells rows apart."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("rid", F.monotonically_increasing_id())
+
+
+def renamed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of ``numbered`` columns with the columns of ``docs`` again."""
+    return rows.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)
