@@ -1,9 +1,10 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Test items become windows of consecutive words. The windows' hashes form a
-broadcast set that the windows of every document probe; a probe that hits is
-verified on the words themselves. Documents are cut into blocks of words, so
-that a row stays small however long a text is.
+Test items become windows of consecutive words, and documents blocks of words,
+so that a row stays small however long a text is. The hashes of all windows of
+a block are looked up in the set of the items' hashes, which goes to all tasks;
+only windows of blocks with a hit become rows. These are joined to the items'
+windows and verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -11,14 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, with_window_hashes, with_words
+from .common import ascii_lower, numbered, renamed, scratch_table, with_window_hashes, with_words
 
 #: Separators of words: ASCII without digits and letters (after lower-casing).
 SEPARATOR_CLASS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 NGRAM = 10
 BLOCK = 32
-#: The set of windows is broadcast up to this many; more are joined by a shuffle.
-BROADCAST_WINDOWS = 1_000_000
+#: The set of hashes goes to all tasks up to this many; with more, all windows of documents become rows.
+HASH_SET = 50_000
+#: What is broadcast to a join has this many bytes at most; more is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+#: As an estimate: what a row of a broadcast holds besides its strings.
+ROW_BYTES = 100
 
 
 def add_words(df: DataFrame, text_col: str, out: str) -> DataFrame:
@@ -55,41 +60,56 @@ def _windows_of(n: int) -> Column:
     return F.transform(F.slice(f"h{n}", 1, BLOCK), lambda h, i: F.struct((i + 1).alias("k"), F.lit(n).alias("len"), h.alias("h")))
 
 
-def _probes(docs: DataFrame, text_col: str, lengths: list[int]) -> DataFrame:
-    """(rid, n_words, pos, len, h, block): all windows of all documents.
+def _probes(docs: DataFrame, text_col: str, lengths: list[int], known: dict[int, list[int]] | None) -> DataFrame:
+    """(rid, n_words, pos, k, plen, ph, block): the windows of all documents, or of the blocks with a ``known`` hash.
 
     ``pos`` is the window's first word, from 0. Each document also has one row
-    with len 0 and no hash, so that documents without a hit stay.
+    with length 0 and a hash of its row alone, so that documents without a hit stay.
     """
     over = max(lengths) - 1
     d = add_words(docs.select("rid", F.col(text_col).alias("t")), "t", "w")
     d = d.select("rid", F.size("w").alias("n_words"), F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(BLOCK)), lambda s: F.struct(s.alias("at"), F.slice("w", s + 1, BLOCK + over).alias("block")))).alias("b"))
     d = d.select("rid", "n_words", "b.at", "b.block").withColumn("hw", F.transform("block", lambda w: F.xxhash64(w)))
     kind = "array<struct<k:int,len:int,h:bigint>>"
-    parts = [F.when(F.col("at") == 0, F.array(F.struct(F.lit(1).alias("k"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("h")))).otherwise(F.array()).cast(kind)]
+    none = F.array().cast(kind)
+    parts, hit = [], F.lit(False)
     for n in lengths:
         d = with_window_hashes(d, "hw", f"h{n}", n)
         parts.append(_windows_of(n))
-    d = d.select("rid", "n_words", "at", "block", F.explode(F.concat(*parts)).alias("p"))
+        if known and known.get(n):
+            hit = hit | F.expr(f"exists(h{n}, h -> h in ({', '.join(f'{h}L' for h in known[n])}))")
+    windows = F.concat(*parts)
+    # inside the explode, as a filter on the hashes would be pushed below them and make them anew
+    windows = windows if known is None else F.when(hit, windows).otherwise(none)
+    own = F.when(F.col("at") == 0, F.array(F.struct(F.lit(1).alias("k"), F.lit(0).alias("len"), F.xxhash64("rid").alias("h")))).otherwise(F.array()).cast(kind)
+    d = d.select("rid", "n_words", "at", "block", F.explode(F.concat(own, windows)).alias("p"))
     return d.select("rid", "n_words", (F.col("at") + F.col("p.k") - 1).alias("pos"), F.col("p.k").alias("k"), F.col("p.len").alias("plen"), F.col("p.h").alias("ph"), "block")
 
 
+def _probed(docs: DataFrame, benchmark: DataFrame, text_col: str, n: int) -> DataFrame:
+    """``_probes`` with the items of each verified window; windows without items are left out."""
+    wins = scratch_table(item_windows(benchmark, n=n), "leak-windows")
+    # the lengths are n values at most
+    stats = wins.groupBy("len").agg(F.count("*").alias("n"), F.sum(F.length(F.array_join("gram", " ")) + F.length(F.array_join("items", " ")) + ROW_BYTES).alias("bytes")).collect()
+    lengths = sorted({r["len"] for r in stats} | {n})
+    wins = _hashed(wins, lengths)
+    known = None
+    if sum(r["n"] for r in stats) <= HASH_SET:
+        found = wins.select("len", "h").collect()  # HASH_SET rows at most
+        known = {m: sorted({r["h"] for r in found if r["len"] == m}) for m in lengths}
+    side = F.broadcast(wins) if sum(r["bytes"] for r in stats) <= BROADCAST_BYTES else wins
+    p = _probes(docs, text_col, lengths, known)
+    return p.join(side, (p.ph == side.h) & (p.plen == side.len) & (F.slice(p.block, p.k, p.plen) == side.gram), "left").filter("plen = 0 or items is not null")
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", n: int = NGRAM) -> DataFrame:
-    """One row per row of ``docs``: rid, n_words, n_hit, starts, items.
+    """One row per row of ``docs``: rid, n_words, n_hit, spans, items.
 
     ``docs`` needs a unique ``rid``. ``items`` are the ids of the items with a
     window in the text, sorted as strings; ``spans`` the verified windows as
     (first word, words). An empty benchmark gives documents without hits.
     """
-    wins = item_windows(benchmark, n=n)
-    # the lengths are at most n values; the number of windows decides how they are joined
-    stats = wins.groupBy("len").count().collect()
-    lengths = sorted({r["len"] for r in stats} | {n})
-    wins = _hashed(wins, lengths)
-    side = F.broadcast(wins) if sum(r["count"] for r in stats) <= BROADCAST_WINDOWS else wins
-    p = _probes(docs, text_col, lengths)
-    j = p.join(side, (p.ph == side.h) & (p.plen == side.len) & (F.slice(p.block, p.k, p.plen) == side.gram), "left").filter("plen = 0 or items is not null")
-    g = j.groupBy("rid").agg(
+    g = _probed(docs, benchmark, text_col, n).groupBy("rid").agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.collect_list(F.when(F.col("items").isNotNull(), F.struct(F.col("pos"), F.col("plen").alias("len")))).alias("spans"),
         F.flatten(F.collect_set("items")).alias("items"),
@@ -102,12 +122,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Per row of ``docs``: its id and how much of it occurs in the benchmark.
 
     Null or empty texts have no words and are clean. Rows that share an id are
-    reported one by one.
+    reported one by one. An empty table gives no rows; other columns don't
+    matter, whatever their names.
     """
-    d = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    d = d.withColumn("rid", F.struct(F.monotonically_increasing_id().alias("m"), F.col("__id").alias("id")))
-    h = hits(d, benchmark, "__text", n)
-    return h.select(
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    d = d.withColumn("rid", F.struct(F.monotonically_increasing_id().alias("m"), "id"))
+    return hits(d, benchmark, "t", n).select(
         F.col("rid.id").alias(id_col),
         "n_words",
         "n_hit",
@@ -118,6 +138,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", n: int = NGRAM) -> DataFrame:
-    """The rows of ``docs`` without any benchmark window; all columns stay."""
-    d = docs.select(F.struct(F.monotonically_increasing_id().alias("m"), F.struct(*docs.columns).alias("doc")).alias("rid"), F.col(text_col).alias("__text"))
-    return hits(d, benchmark, "__text", n).filter("n_hit = 0").select("rid.doc.*")
+    """The rows of ``docs`` without any benchmark window; all columns stay, whatever their names.
+
+    Null or empty texts stay. Whether a row goes follows from its text alone,
+    so what is shuffled is the digests of contaminated texts.
+    """
+    d = numbered(docs).drop("rid")
+    text = f"c{docs.columns.index(text_col)}"
+    digest = F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+    found = _probed(d.select(digest.alias("rid"), F.col(text).alias("t")), benchmark, "t", n).filter("plen > 0")
+    dirty = scratch_table(found.select("rid").distinct(), "leak-texts")
+    few = dirty.count() <= BROADCAST_BYTES // ROW_BYTES
+    return renamed(d.withColumn("md5", digest).join(F.broadcast(dirty) if few else dirty, F.col("md5") == F.col("rid"), "left_anti"), docs)

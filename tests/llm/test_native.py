@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from calltriage.llm import decontaminate, near_dedup, quality_rules, secret_scan
 
 SF = "/root/testdata/sf0.001"
@@ -31,7 +32,11 @@ def test_measures(spark):
     assert a["few_words"][0] == 10 and a["repeated_windows"] == (1, 1)
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize(("hash_set", "bytes_"), [(50_000, 1 << 26), (0, 1 << 26), (50_000, 0), (0, 0)])
+def test_contamination(spark, monkeypatch, hash_set, bytes_):
+    """Every way of looking windows up gives the same."""
+    monkeypatch.setattr(decontaminate, "HASH_SET", hash_set)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bytes_)
     item = "one two three four five six seven eight nine ten eleven twelve"
     bench = [(1, item), (2, "Short item"), (3, None), (4, "..."), (10, item)]
     docs = [*ODD, (20, f"x {item.upper()}, y"), (21, "a SHORT, item; and short item"), (22, item[: item.index(" ten")]), (23, ("pad " * 29) + item + " pad" * 40), (24, item[4:])]
