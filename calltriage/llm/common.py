@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +43,16 @@ def scratch_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop_scratch(table: DataFrame) -> None:
+    """Deletes the files of a ``scratch_table`` that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -52,6 +65,16 @@ def renamed(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
+def slices(batch: pa.RecordBatch, text: str, chars: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(first row, slice) with about ``chars`` characters of a column each; one row at least."""
+    lens = np.cumsum(np.array(pc.coalesce(pc.utf8_length(batch.column(text)), 0), np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(lens, (lens[at - 1] if at else 0) + chars)))
+        yield at, batch.slice(at, end - at)
+        at = end
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

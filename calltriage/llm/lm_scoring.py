@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_table
+from .common import scratch_table, slices
 
 DEPTH = 5
 #: Grams whose log probabilities are sent to the tasks; the others are joined.
@@ -80,18 +80,6 @@ def _grams(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (key << 8) | buf[at]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows in groups of about CHUNK characters."""
-    for batch in batches:
-        lens = np.cumsum(np.array(batch.column("text").to_pandas().str.len().fillna(0), np.int64))
-        at = 0
-        while at < batch.num_rows:
-            base = lens[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(lens, base + CHUNK)))
-            yield batch.slice(at, end - at).to_pydict()
-            at = end
-
-
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
     keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     return [(keys, np.bincount(inverse, weights=np.concatenate([n for _, n in parts])).astype(np.int64))]
@@ -111,7 +99,7 @@ def count(docs: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[i : i + 100_000])], ["kind", "key", "n"])
                 found[kind].clear()
 
-        for rows in _chunks(batches):
+        for rows in (part.to_pydict() for batch in batches for _, part in slices(batch, "text", CHUNK)):
             docs, words = ([], []), Counter()
             for text, held_out in zip(rows["text"], rows["held_out"], strict=True):
                 docs[held_out].append(tokens(text))
@@ -426,7 +414,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 empty = [pa.nulls(len(p), k) for k in kinds[4:]]
                 yield pa.RecordBatch.from_arrays([pa.array(rid[p // len(key)]), pa.array(np.full(len(p), kind, np.int32)), pa.array(key[p % len(key)]), pa.array(n[i : i + 100_000].astype(np.int32)), *empty], names)
 
-        for rows in _chunks(batches):
+        for rows in (part.to_pydict() for batch in batches for _, part in slices(batch, "text", CHUNK)):
             docs = [tokens(t) for t in rows["text"]]
             m = len(docs)
             buf, at, doc = _stream(docs)

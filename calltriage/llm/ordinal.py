@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Labelled rows that a model is fitted on, at most: the first by the hash of their id.
 SAMPLE = 20_000
 BUCKETS = 1 << 18
@@ -150,8 +152,7 @@ def train(docs: DataFrame, graded: DataFrame, features: Features, sample: int =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for _, part in slices(batch, "text", CHUNK):
                 grade = part.column("grade").to_numpy().astype(np.int64)
                 owner, feature = features(part.column("text").to_pylist(), None)
                 pair, n = np.unique(grade[owner] * BUCKETS + feature, return_counts=True)
@@ -168,8 +169,7 @@ def train(docs: DataFrame, graded: DataFrame, features: Features, sample: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for _, part in slices(batch, "text", CHUNK):
                 owner, feature = features(part.column("text").to_pylist(), keep)
                 ends = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))
@@ -189,15 +189,10 @@ def score(docs: DataFrame, model: Model, features: Features) -> DataFrame:
         m = shared.value
         keep = m.weights != 0
         for batch in batches:
-            lens = np.cumsum(np.array(batch.column("text").to_pandas().str.len().fillna(0), np.int64))
-            at = 0
-            while at < batch.num_rows:
-                end = max(at + 1, int(np.searchsorted(lens, (lens[at - 1] if at else 0) + CHUNK)))
-                part = batch.slice(at, end - at)
+            for _, part in slices(batch, "text", CHUNK):
                 owner, feature = features(part.column("text").to_pylist(), keep)
                 tails = m.tails(np.bincount(owner, weights=m.weights[feature], minlength=part.num_rows))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(tails.sum(axis=1)), pa.array(list(tails), pa.list_(pa.float64()))], ["doc_id", "expected", "tails"])
-                at = end
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, expected double, tails array<double>")
 

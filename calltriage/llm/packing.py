@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 CONTEXT = 1024
 #: Tiers with windows of their own; shorter rests wait in the last tier.
 TIERS = (1024, 512, 256, 128)
@@ -37,6 +39,8 @@ TIERS = (1024, 512, 256, 128)
 STEP_TOKENS = 16 * 1024
 #: Ids that wait for a window in one task.
 WAITING_TOKENS = 1 << 20
+#: Characters that are encoded at a time.
+CHUNK = 2 << 20
 #: Encoded words kept by one Python worker, twice at most; longer ones aren't kept.
 CACHED_WORDS = 600_000
 LONGEST_WORD = 64
@@ -242,8 +246,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         waiting = Windows(emit)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512).to_pydict()
+            for _, texts in slices(batch, "text", CHUNK):
+                part = texts.to_pydict()
                 for doc, ids in zip(part["doc_id"], encoder.encode([t or "" for t in part["text"]]), strict=True):
                     view = memoryview(ids + end)
                     total = len(view) // 4

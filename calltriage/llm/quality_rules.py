@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_window_hashes, with_words
+from .common import numbered, renamed, with_window_hashes, with_words
 
 #: White space that separates words.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -109,12 +109,15 @@ def verdict(policy: str) -> Column:
 
 
 def keep(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass the policy, with their own columns."""
-    led = ledger(docs.withColumns({f"__own_{c}": F.col(c) for c in docs.columns}), text_col)
+    """The rows of ``docs`` that pass the policy, with their own columns, whatever their names.
+
+    Null and empty texts go; repeated rows stay or go together.
+    """
     # a filter on the measurements would be pushed below them, which would make
-    # each of them anew wherever it is named; a row number keeps it above
-    kept = led.withColumn("__row", F.monotonically_increasing_id()).filter(verdict(policy) & (F.col("__row") >= 0))
-    return kept.select(*[F.col(f"__own_{c}").alias(c) for c in docs.columns])
+    # each of them anew wherever it is named; the row number keeps it above
+    led = ledger(numbered(docs), f"c{docs.columns.index(text_col)}")
+    kept = led.withColumn("row", F.monotonically_increasing_id()).filter(verdict(policy) & (F.col("row") >= 0))
+    return renamed(kept, docs)
 
 
 def ablation(led: DataFrame, policy: str = "v1") -> DataFrame:

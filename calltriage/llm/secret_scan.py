@@ -7,8 +7,9 @@ layer comes up. No layer is dropped for what it holds: bytes that aren't UTF-8
 become single characters. Base64 runs are also read across line ends and in all
 four phases, and compressed data is looked for wherever it begins in a run; it
 is unfolded as a stream of overlapping pieces. Layers already seen are not
-visited twice, which also ends cycles. Each layer carries, for every character, the span of the original text
-that it came from, so that a finding inside nested layers is reported there.
+visited twice, which also ends cycles. Each layer carries, for every character,
+the span of the original text that it came from, so that a finding inside nested
+layers is reported there.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered, renamed, slices
+
 #: Kinds of secrets, in the order in which spans that begin together are listed.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -42,6 +45,8 @@ WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={0,2}\r?\n[\
 PACKED = re.compile(r"H4sI|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])|Qlpo|[/_]Td6WFo|KLUv[/_]")
 #: Characters of unfolded data that are scanned at a time; pieces overlap by half.
 PIECE = 8 << 20
+#: Characters of documents that are scanned before their findings are given out.
+CHUNK = 4 << 20
 
 Span = tuple[str, int, int]
 
@@ -266,8 +271,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for _, part in slices(batch, "text", CHUNK):
                 found = [find(t.as_py()) for t in part.column(1)]
                 counts = [pa.array([sum(k == x for x, _, _ in b) for b, _ in found], pa.int64()) for k in KINDS]
                 digests = pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b, _ in found], pa.string())
@@ -280,9 +284,10 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every secret's span replaced by its kind in brackets.
 
     Overlapping spans are replaced together, under the first one's kind. A null
-    text stays null. All columns stay; no row is dropped.
+    text stays null. All columns stay, whatever their names; no row is dropped.
     """
     at = docs.columns.index(text_col)
+    rows = numbered(docs).drop("rid")
 
     def clean(text: str | None) -> str | None:
         if text is None:
@@ -296,9 +301,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
+            for _, part in slices(batch, f"c{at}", CHUNK):
                 texts = pa.array([clean(t.as_py()) for t in part.column(at)], pa.string())
-                yield part.set_column(at, part.schema.names[at], texts)
+                yield part.set_column(at, f"c{at}", texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    return renamed(rows.mapInArrow(run, rows.schema), docs)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import numbered, renamed, scratch_table
+from .common import numbered, renamed, scratch_table, slices
 from .near_dedup import _BASE, _BYTE_VALUES, _INVERSE, _mix
 
 CUT = 4
@@ -95,18 +95,14 @@ def _unit_rows(docs: DataFrame, min_words: int, line_words: int | None) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lens = np.cumsum(np.array(batch.column("text").to_pandas().str.len().fillna(0), np.int64))
             rids, ids = batch.column("rid"), batch.column("doc_id")
-            at = 0
-            while at < batch.num_rows:
-                end = max(at + 1, int(np.searchsorted(lens, (lens[at - 1] if at else 0) + CHUNK)))
-                doc, digest, a, b, w, x = units(batch.column("text").slice(at, end - at).to_pylist(), min_words, line_words)
+            for at, part in slices(batch, "text", CHUNK):
+                doc, digest, a, b, w, x = units(part.column("text").to_pylist(), min_words, line_words)
                 chars, words = a << 32 | b, w << 32 | x << 1 | _again(doc, digest, w, x)
                 for i in range(0, len(doc), 100_000):
                     s = slice(i, i + 100_000)
                     who = pa.array(doc[s] + at)
                     yield pa.RecordBatch.from_arrays([rids.take(who), ids.take(who), *[pa.array(x[s]) for x in (digest, chars, words)]], ["rid", "doc_id", "digest", "chars", "words"])
-                at = end
 
     return docs.mapInArrow(run, schema)
 

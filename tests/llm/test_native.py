@@ -52,6 +52,14 @@ def test_contamination(spark, monkeypatch, hash_set, bytes_):
     assert decontaminate.decontaminate(d, b.limit(0)).filter("contaminated").count() == 0 and decontaminate.decontaminate(d.limit(0), b).count() == 0
 
 
+def test_odd_column_names(spark):
+    t = "one two three four five six seven eight nine ten eleven twelve"
+    df = spark.createDataFrame([(1, t, 1, 2, 3), (2, " ".join(f"w{i}" for i in range(30)), 1, 2, 3)], ["doc_id", "te xt", "__text", "a.b", "Te xt."])
+    b = spark.createDataFrame([(1, t)], "item_id long, text string")
+    for out in (decontaminate.drop_contaminated(df, b, "te xt"), quality_rules.keep(df, "base", "te xt"), secret_scan.redact(df, "te xt")):
+        assert out.columns == df.columns and 2 in {r[0] for r in out.collect()}
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, docs.count()
