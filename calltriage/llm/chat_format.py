@@ -22,9 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+from .packing import encoder
+
 #: Tokens of a window, and of the history that it repeats.
 BUDGET = 512
 HISTORY = 96
+#: Characters of turns that are counted at a time.
+CHUNK = 2 << 20
 #: Strings that mark turns here or in common templates: never left as they are inside a text.
 CONTROL = ("<|turn|>", "<|end|>", "<|endoftext|>", "<|im_start|>", "<|im_end|>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>")
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROL))
@@ -54,9 +59,14 @@ def parse(text: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(text)]
 
 
-def count_tokens(text: str) -> int:
-    """A token for each four UTF-8 bytes, the last ones included, and two for the marks."""
-    return -(-len(text.encode("utf-8", "surrogatepass")) // 4) + 2
+def count_tokens(turns: list[str], tokenizer_path: str | None = None) -> list[int]:
+    """The tokens of each formatted turn; without a tokenizer, one for each four UTF-8 bytes, the last ones included.
+
+    A formatted turn ends with a line end, so the tokens of a window are those of its turns.
+    """
+    if tokenizer_path is None:
+        return [-(-len(t.encode("utf-8", "surrogatepass")) // 4) for t in turns]
+    return [len(ids) // 4 for ids in encoder(tokenizer_path).encode(turns)]
 
 
 @dataclass
@@ -79,8 +89,8 @@ class _Windows:
         self.context, self.span = context, []
         self.tokens = sum(t.tokens for t in context)
 
-    def add(self, role: str, text: str) -> Iterator[tuple]:
-        t = _Turn(role, text, count_tokens(text))
+    def add(self, role: str, text: str, tokens: int) -> Iterator[tuple]:
+        t = _Turn(role, text, tokens)
         if self.span and self.tokens + t.tokens > BUDGET:
             yield self.close()
             while self.history and self.tokens + t.tokens > BUDGET:  # room for the turn goes before history
@@ -113,13 +123,15 @@ class _Windows:
         return row
 
 
-def format_conversations(turns: DataFrame) -> DataFrame:
+def format_conversations(turns: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """One row per window, see ``WINDOW_SCHEMA``.
 
     ``turns`` has conv_id, turn, role and text. Null roles and texts count as
     empty; rows of equal turn numbers are ordered by role and text, and repeated
     rows stay. A null conv_id is a conversation of its own, null turns come
-    first. A turn longer than the budget is a window of its own and exceeds it.
+    first. A turn longer than the budget is a window of its own and exceeds it,
+    and so does every window of a conversation whose system turn is that long.
+    An empty table gives no rows; other columns don't matter.
     """
     e = F.lit("")
     t = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", e).alias("role"), F.coalesce("text", e).alias("text"))
@@ -128,15 +140,17 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, rows = None, []
         for batch in batches:
-            cols = batch.to_pydict()
-            for conv, role, text in zip(cols["conv_id"], cols["role"], cols["text"], strict=True):
-                if open_ is None or open_.conv != conv:
-                    rows += [open_.close()] if open_ else []
-                    open_ = _Windows(conv)
-                rows += open_.add(role, text)
-                if len(rows) >= 500:
-                    yield _window_batch(rows)
-                    rows = []
+            for _, part in slices(batch, "text", CHUNK):
+                convs, roles, texts = (part.column(c).to_pylist() for c in ("conv_id", "role", "text"))
+                tokens = count_tokens([render(r, t)[0] for r, t in zip(roles, texts, strict=True)], tokenizer_path)
+                for conv, role, text, n in zip(convs, roles, texts, tokens, strict=True):
+                    if open_ is None or open_.conv != conv:
+                        rows += [open_.close()] if open_ else []
+                        open_ = _Windows(conv)
+                    rows += open_.add(role, text, n)
+                    if len(rows) >= 500:
+                        yield _window_batch(rows)
+                        rows = []
         rows += [open_.close()] if open_ else []
         if rows:
             yield _window_batch(rows)

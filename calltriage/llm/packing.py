@@ -224,7 +224,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path)
+        encoder = encoder(tokenizer_path)
         base = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
         steps = Steps(base, rows)
@@ -269,7 +269,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One encoder for each Python worker."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)

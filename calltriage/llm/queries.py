@@ -54,7 +54,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the marked one, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marked = spark.createDataFrame(MARKED, "conv_id long, turn long, role string, text string")
-    return chat_format.read_back(chat_format.format_conversations(turns.unionByName(marked)))
+    return chat_format.read_back(chat_format.format_conversations(turns.unionByName(marked), tokenizer_path()))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

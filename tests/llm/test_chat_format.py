@@ -1,6 +1,7 @@
 import hashlib
 from collections import defaultdict
 
+import public_tokenizers
 import pytest
 
 from calltriage.llm import chat_format as C
@@ -24,9 +25,10 @@ def turns():
     return rows
 
 
-def test_windows_and_read_back(spark):
+@pytest.mark.parametrize("tokenizer", [None, public_tokenizers.path("byte_bpe_50k.json")])
+def test_windows_and_read_back(spark, tokenizer):
     df = spark.createDataFrame(turns(), "conv_id long, turn long, role string, text string").selectExpr("*", "1 as window", "'z' as loss_start")
-    windows = C.format_conversations(df)
+    windows = C.format_conversations(df, tokenizer)
     got = {r.conv_id: r for r in C.read_back(windows).collect()}
     want = defaultdict(list)
     for c, t, r, x in turns():
@@ -35,7 +37,9 @@ def test_windows_and_read_back(spark):
     for w in windows.collect():
         formatted[w.conv_id] += len(w.text)
         own = C.parse(w.text)[w.n_context :]
-        assert sum(C.count_tokens(x) for _, x in C.parse(w.text)) <= C.BUDGET or len(own) == 1
+        assert C.count_tokens([w.text], tokenizer)[0] <= C.BUDGET or len(own) == 1
+        if tokenizer:  # a window has the tokens of its turns
+            assert C.count_tokens([w.text], tokenizer)[0] == sum(C.count_tokens([C.render(*t)[0] for t in C.parse(w.text)], tokenizer))
         if w.conv_id == 1:
             assert C.parse(w.text)[0] == ("system", "be brief")
     assert set(got) == set(want)

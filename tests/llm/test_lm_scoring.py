@@ -7,6 +7,8 @@ import pyarrow as pa
 
 from calltriage.llm import lm_scoring as L
 
+from .tree import build_tree
+
 
 def brute_tree(counts, depth):
     """Plain recursion: weighted log probability of the root, and the estimates."""
@@ -54,14 +56,14 @@ def test_tree_equals_plain_recursion(monkeypatch):
             by[(sum(c << (8 * (d - 1 - j)) for j, c in enumerate(ctx[:d])), sym)] += n
         ctx, sym = zip(*sorted(by), strict=True)
         tables.append(pa.table({"ctx": np.array(ctx, np.int64), "sym": np.array(sym, np.int64), "n": np.array([by[k] for k in sorted(by)], np.int64)}))
-    tree = L.build_tree(tables)
+    tree = build_tree(tables)
     prob = brute_tree([(c, s, n) for (c, s), n in grams.items()], 2)
     for i, got in zip(at, tree.score(buf, at), strict=True):
         s, ctx = int(buf[i]), (int(buf[i - 1]), int(buf[i - 2]))
         want = sum(math.log10(p if (s >> (7 - b)) & 1 else 1 - p) for b in range(8) for p in [prob(ctx, (256 | s) >> (8 - b))])
-        assert abs(got - want) < 0.01
+        assert abs(got - want) < 1e-7
     p = 10.0 ** tree.log10.astype(float)
-    assert np.allclose(p[:, :-1].sum(axis=1) + (256 - p.shape[1] + 1) * p[:, -1], 1, atol=0.01)
+    assert np.allclose(p[:, :-1].sum(axis=1) + (256 - p.shape[1] + 1) * p[:, -1], 1, atol=1e-7)
 
 
 def test_scores(spark):
@@ -97,12 +99,14 @@ def test_no_context_is_dropped(spark, monkeypatch):
         k, inverse = np.unique(keys >> 8 * (L.DEPTH - d + 1) << 8 | keys & 255, return_inverse=True)
         tables.append(pa.table({"ctx": k >> 8, "sym": k & 255, "n": np.bincount(inverse, weights=n).astype(np.int64)}))
     assert sum(len(np.unique(t.column("ctx"))) for t in tables) > 100_000
-    tree = L.build_tree(tables)
+    tree = build_tree(tables)
     want = {i: tree.score(*L._stream([L.tokens(t)])[:2]).sum() for i, t in rows[:4] + rows[-2:-1]}
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.score for r in L.score_documents(df).collect()}
-    assert all(abs(got[i] - x) < 0.01 * abs(x) + 0.01 for i, x in want.items())
+    got = {r.doc_id: r for r in L.score_documents(df).collect()}
+    assert all(abs(got[i].score - x) < 1e-6 * abs(x) for i, x in want.items())
     monkeypatch.setattr(L, "COMMON_GRAMS", 50)  # now nearly all grams are joined
     monkeypatch.setattr(L, "BLOCK", 1000)
-    again = {r.doc_id: r.score for r in L.score_documents(df).collect()}
-    assert got.keys() == again.keys() and all(abs(got[i] - again[i]) < 1e-6 * abs(got[i]) for i in got)
+    monkeypatch.setattr(L, "COMMON_WORDS", 3)  # and nearly all words
+    again = {r.doc_id: r for r in L.score_documents(df).collect()}
+    assert got.keys() == again.keys() and all(abs(got[i].score - again[i].score) < 1e-6 * abs(got[i].score) for i in got)
+    assert all(abs(got[i].base_score - again[i].base_score) < 1e-6 * abs(got[i].base_score) and got[i].n_known == again[i].n_known for i in got)
