@@ -224,7 +224,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder(tokenizer_path)
+        of = encoder(tokenizer_path)
         base = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
         steps = Steps(base, rows)
@@ -248,7 +248,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             for _, texts in slices(batch, "text", CHUNK):
                 part = texts.to_pydict()
-                for doc, ids in zip(part["doc_id"], encoder.encode([t or "" for t in part["text"]]), strict=True):
+                for doc, ids in zip(part["doc_id"], of.encode([t or "" for t in part["text"]]), strict=True):
                     view = memoryview(ids + end)
                     total = len(view) // 4
                     full = total - total % CONTEXT
