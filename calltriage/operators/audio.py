@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,49 +15,33 @@ def fit_window(samples: Column, length: int | None = None) -> Column:
     return F.when(n < want, F.concat(samples, F.array_repeat(zero, F.greatest(want - n, F.lit(0))))).when(n > want, F.slice(samples, F.greatest(F.floor((n - want) / 2), F.lit(0)).cast("int") + 1, want)).otherwise(samples)
 
 
+def crop_start(n: Column, key: Column, epoch: int, length: int, seed: int = 42) -> Column:
+    """Where the stretch of ``length`` of n samples begins, from 0: a hash of key, epoch and seed."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(epoch)), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    return h % F.greatest(n - length + 1, F.lit(1))
+
+
 def random_crop(samples: Column, key: Column, epoch: int, length: int, seed: int = 42) -> Column:
     """A stretch of a long waveform that follows from key, epoch and seed alone."""
-    n = F.size(samples)
-    start = F.pmod(F.xxhash64(key, F.lit(epoch), F.lit(seed)), F.greatest(n - length + 1, F.lit(1)).cast("long")).cast("int")
-    return F.when(n > length, F.slice(samples, start + 1, length)).otherwise(fit_window(samples, length))
+    start = crop_start(F.size(samples), key, epoch, length, seed).cast("int")
+    return F.when(F.size(samples) > length, F.slice(samples, start + 1, length)).otherwise(fit_window(samples, length))
 
 
 def mono_mixdown(left: Column, right: Column) -> Column:
     return F.zip_with(left, right, lambda a, b: ((a + b) / 2).cast("float"))
 
 
-def resample_linear(rate_in: int, rate_out: int) -> Callable[[Column], Column]:
-    """Linear interpolation to another rate, the last point left out."""
-
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda x: None if x is None else _resampled(np.asarray(x, float), rate_in, rate_out))
-
-    return run
-
-
-def _resampled(x: np.ndarray, rate_in: int, rate_out: int) -> np.ndarray:
-    n = int(round(len(x) / rate_in * rate_out))
-    if not len(x) or not n:
-        return np.zeros(0, np.float32)
-    return np.interp(np.linspace(0, len(x), n, endpoint=False), np.arange(len(x)), x).astype(np.float32)
-
+def resample_linear(samples: Column, rate_in: int, rate_out: int) -> Column:
+    """Linear interpolation to another rate, the last point left out; beyond the last sample its value holds."""
+    n = F.size(samples)
+    m = F.bround(n / F.lit(rate_in) * rate_out).cast("int")
+    at = lambda i: F.get(samples, F.least(i, n - 1).cast("int")).cast("double")
 
-def guarded_scorer(score: Callable[[np.ndarray], float]) -> Callable[[Column], Column]:
-    """A pluggable model as a column function: nulls and failures give null."""
+    def value(k: Column) -> Column:
+        x = k * n / m
+        low = F.floor(x)
+        return (at(low) + (at(low + 1) - at(low)) * (x - low)).cast("float")
 
-    def one(x) -> float | None:
-        if x is None or not len(x):
-            return None
-        try:
-            return float(score(np.asarray(x)))
-        except Exception:  # a model that fails counts as a missing signal
-            return None
+    return F.when(m > 0, F.transform(F.sequence(F.lit(0), m - 1), value)).when(samples.isNotNull(), F.array().cast("array<float>"))
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([one(x) for x in s], dtype="float64").astype(object).where(lambda v: v.notna(), None)
 
-    return run

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,12 +15,34 @@ FIELDS = ("id", "source", "text", "label", "scam_type", "origin")
 RATIOS = (0.8, 0.1)
 
 
-def adapt(df: DataFrame, slug: str, origin: str, text: str, label: str, split: str, index: Column, tag: str | None = None) -> DataFrame:
-    """A source's rows in the common schema; ids are slug-split-index."""
-    lab = F.col(label).cast("int")
-    kind = unify_type(F.col(tag) if tag else F.lit(None).cast("string"), lab)
+@dataclass(frozen=True)
+class Source:
+    """How a source names its columns. ``tag`` is None where it has no types."""
+
+    slug: str
+    text: str = "dialogue"
+    label: str = "label"
+    tag: str | None = "type"
+    origin: str = "synthetic"
+
+
+# The sources' column names and origins.
+SOURCES = (
+    Source("dialogues"),
+    Source("multi-agent", label="labels"),
+    Source("single-agent", label="labels"),
+    Source("conversations", text="conversation", tag=None),
+    Source("real-calls", label="labels", origin="real"),
+)
+
+
+def adapt(df: DataFrame, source: Source, split: str | Column, index: Column) -> DataFrame:
+    """A source's rows in the common schema; ids are slug-split-index. Columns that the source doesn't name are left out."""
+    lab = F.col(source.label).cast("int")
+    kind = unify_type(F.col(source.tag) if source.tag else F.lit(None).cast("string"), lab)
+    split = F.lit(split) if isinstance(split, str) else split
     return df.select(
-        F.concat_ws("-", F.lit(slug), F.lit(split), index.cast("string")).alias("id"), F.lit(slug).alias("source"), normalize_speakers(F.col(text)).alias("text"), lab.alias("label"), kind.alias("scam_type"), F.lit(origin).alias("origin")
+        F.concat_ws("-", F.lit(source.slug), split, index.cast("string")).alias("id"), F.lit(source.slug).alias("source"), normalize_speakers(F.col(source.text)).alias("text"), lab.alias("label"), kind.alias("scam_type"), F.lit(source.origin).alias("origin")
     )
 
 
@@ -36,13 +60,30 @@ def dedup_keep_first(df: DataFrame, text: str, *order: str) -> DataFrame:
 def stratified_split(df: DataFrame, strata: list[str], id_col: str, seed: int = 42) -> DataFrame:
     """Adds ``split``: in each stratum, 80 % / 10 % / 10 % by the hash of the id (sizes rounded half to even).
 
-    Exact sizes need a rank in each stratum; ``hash_split`` does without.
+    Exact sizes need the ids at two ranks of each stratum. A stratum is counted
+    by the first digits of the hash, and only the rows of the two buckets that
+    hold these ranks are ranked; texts aren't moved. ``hash_split`` does without
+    ranks.
     """
-    w = Window.partitionBy(*strata)
-    n = F.count("*").over(w)
-    rank = F.row_number().over(w.orderBy(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}"))), id_col))
-    a, b = F.bround(n * RATIOS[0]), F.bround(n * RATIOS[1])
-    return df.withColumn("split", F.when(rank <= a, "train").when(rank <= a + b, "val").otherwise("test"))
+    digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")))
+    keys = df.select(*[F.col(c).alias(f"s{i}") for i, c in enumerate(strata)], F.struct(digest.alias("h"), F.col(id_col).alias("id")).alias("k")).withColumn("b", F.substring("k.h", 1, 3))
+    s = [f"s{i}" for i in range(len(strata))]
+    # 4096 buckets for each stratum at most
+    sizes = keys.groupBy(*s, "b").agg(F.count("*").alias("c"))
+    run = Window.partitionBy(*s).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.withColumns({"upto": F.sum("c").over(run), "n": F.sum("c").over(Window.partitionBy(*s))})
+    first = F.bround(F.col("n") * RATIOS[0])
+    cuts = F.array(first, first + F.bround(F.col("n") * RATIOS[1]))
+    wanted = sizes.select(*[F.col(c).alias(f"of_{c}") for c in (*s, "b")], F.posexplode(cuts).alias("which", "at"), (F.col("upto") - F.col("c")).alias("before"), "upto").filter("at > before and at <= upto")
+    ranked = keys.join(wanted, reduce(and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*s, "b")]))
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*s, "which").orderBy("k"))).filter("r = at - before")
+    limits = ranked.groupBy(*s).agg(F.max(F.when(F.col("which") == 0, F.col("k"))).alias("train_upto"), F.max(F.when(F.col("which") == 1, F.col("k"))).alias("val_upto"))
+    d = df.withColumn("__k", F.struct(digest.alias("h"), F.col(id_col).alias("id")))
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{x}")) for c, x in zip(strata, s, strict=True)])
+    limits = limits.select(*[F.col(c).alias(f"__{c}") for c in s], "train_upto", "val_upto")
+    d = d.join(limits, on, "left")  # one row for each stratum
+    split = F.when(F.col("__k") <= F.col("train_upto"), "train").when(F.col("__k") <= F.col("val_upto"), "val").otherwise("test")
+    return d.select(*df.columns, split.alias("split"))
 
 
 def hash_split(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
@@ -51,6 +92,11 @@ def hash_split(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     return df.withColumn("split", F.when(u < 800, "train").when(u < 900, "val").otherwise("test"))
 
 
+def shuffled(df: DataFrame, split: str, id_col: str, seed: int = 42) -> DataFrame:
+    """Rows in the order of split and a seeded hash of the id, which is added as ``place``."""
+    return df.withColumn("place", F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")))).orderBy(split, "place", id_col)
+
+
 def counts(df: DataFrame) -> DataFrame:
     """(split, facet, value, n): rows, labels, sources and types per split, in one pass."""
     sets = df.groupingSets([["split"], ["split", "label"], ["split", "source"], ["split", "scam_type"]], "split", "label", "source", "scam_type").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
@@ -75,22 +121,71 @@ def violations(df: DataFrame, text: str = "text") -> DataFrame:
     return one.select(F.explode(F.create_map(*[x for k in bad for x in (F.lit(k), F.coalesce(F.col(k), F.lit(0)))])).alias("rule", "n"))
 
 
+def statistics(splits: DataFrame, pooled: DataFrame, text: str, seed: int = 42) -> DataFrame:
+    """(split, facet, value, n) of a corpus: counts, words, and (split ``_meta``) what dedup dropped, seed and ratios.
+
+    ``pooled`` are the rows before dedup, ``splits`` those after it.
+    """
+    words = length_stats(splits, text).select("split", F.lit("words").alias("facet"), F.explode(F.create_map(F.lit("mean"), F.col("mean_words"), F.lit("median"), F.col("median_words"))).alias("value", "n"))
+    sizes = pooled.select(F.lit(1).alias("p"), F.lit(0).alias("k")).unionByName(splits.select(F.lit(0).alias("p"), F.lit(1).alias("k"))).agg(F.sum("p").alias("p"), F.sum("k").alias("k"))
+    meta = {"pooled": F.col("p"), "dropped": F.col("p") - F.col("k"), "seed": F.lit(seed), "train": F.lit(RATIOS[0]), "val": F.lit(RATIOS[1])}
+    made = sizes.select(F.lit("_meta").alias("split"), F.lit("corpus").alias("facet"), F.explode(F.create_map(*[x for k, v in meta.items() for x in (F.lit(k), v.cast("double"))])).alias("value", "n"))
+    return counts(splits).withColumn("n", F.col("n").cast("double")).unionByName(words).unionByName(made)
+
+
+def leaks(splits: DataFrame, held_out: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
+    """(rule, n): rows to learn from that come from a held-out source, and those with the text of a held-out row."""
+    names = held_out.select(source).distinct()
+    texts = held_out.select(F.sha2(text, 256).alias("__k")).distinct()
+    by_source = splits.join(names, source, "left_semi").agg(F.lit("source").alias("rule"), F.count("*").alias("n"))
+    by_text = splits.withColumn("__k", F.sha2(text, 256)).join(texts, "__k", "left_semi").agg(F.lit("text").alias("rule"), F.count("*").alias("n"))
+    return by_source.unionByName(by_text)
+
+
+def scenario_violations(rows: DataFrame, id_col: str, family: str, label: str) -> DataFrame:
+    """(rule, n): repeated ids, families with both labels, and how many more rows one label has than the other."""
+    ids = rows.groupBy(id_col).agg(F.count("*").alias("c")).agg(F.lit("repeated_id").alias("rule"), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n"))
+    mixed = rows.groupBy(family).agg((F.min(label) != F.max(label)).alias("m")).agg(F.lit("mixed_label").alias("rule"), F.count_if("m").alias("n"))
+    uneven = rows.agg(F.lit("uneven").alias("rule"), F.abs(F.count_if(F.col(label) == 1) - F.count_if(F.col(label) == 0)).alias("n"))
+    return ids.unionByName(mixed).unionByName(uneven)
+
+
+def require(violations: DataFrame, *rules: str) -> DataFrame:
+    """The (rule, n) rows, if none of the rules named (all, if none is) is broken; otherwise raises."""
+    bad = violations.filter(F.col("n") > 0).filter(F.col("rule").isin(*rules) if rules else F.lit(True)).collect()  # a few rules
+    if bad:
+        raise ValueError("; ".join(f"{r['rule']}: {r['n']} rows" for r in bad))
+    return violations
+
+
 def first_strategy(rows: DataFrame, priority: str) -> DataFrame:
     """The rows of the first strategy that found any."""
     least = rows.agg(F.min(priority).alias("__least"))  # one row
     return rows.join(F.broadcast(least), F.col(priority) == F.col("__least")).drop("__least")
 
 
-def expand_templates(templates: DataFrame, slots: dict[str, list[str]], attempts: int, keep: int, seed: int = 13) -> DataFrame:
-    """Fills ``{slot}`` places by hashed choices; distinct texts, ``keep`` for each scenario at most.
+def pick(n: int, *keys: Column) -> Column:
+    """A number below n that follows from the keys (by md5, as other engines have it)."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *keys)), 1, 8), 16, 10).cast("long") % n
+
+
+def expand_templates(attempts: DataFrame, families: list[tuple[str, list[tuple[str, list[str]]]]], pools: dict[str, list[str]], keep: int, seed: int = 13) -> DataFrame:
+    """(scenario, attempt, text): transcripts made of templates.
 
-    ``templates`` has scenario and template. Each attempt chooses one value a slot.
+    ``attempts`` has (scenario, attempt). A family's turns are (speaker,
+    phrasings); an attempt picks one phrasing a turn and one value for each
+    ``{slot}``. Of equal texts of a scenario the first attempt stays, and
+    ``keep`` texts for each scenario.
     """
-    rows = templates.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
-    text = F.col("template")
-    for name, values in slots.items():
-        at = F.pmod(F.xxhash64("scenario", "attempt", F.lit(name), F.lit(seed)), F.lit(len(values))).cast("int")
-        text = F.replace(text, F.lit("{" + name + "}"), F.get(F.array(*map(F.lit, values)), at))
-    made = rows.withColumn("text", text).groupBy("scenario", "text").agg(F.min("attempt").alias("attempt"))
-    w = Window.partitionBy("scenario").orderBy("attempt")
-    return made.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= keep).drop("n")
+    key = lambda what: (F.col("scenario"), F.col("attempt").cast("string"), F.lit(what), F.lit(str(seed)))
+    choose = lambda xs, what: F.get(F.array(*map(F.lit, xs)), pick(len(xs), *key(what)).cast("int"))
+    text = F.lit(None).cast("string")
+    for name, turns in families:
+        lines = [F.concat(F.lit(f"{who}: "), choose(said, f"turn{i}")) for i, (who, said) in enumerate(turns)]
+        text = F.when(F.col("scenario") == name, F.concat_ws(" ", *lines)).otherwise(text)
+    rows = attempts.withColumn("text", text)
+    for slot, values in pools.items():
+        rows = rows.withColumn("text", F.replace(F.col("text"), F.lit("{" + slot + "}"), choose(values, slot)))
+    made = rows.filter("text is not null").groupBy("scenario", "text").agg(F.min("attempt").alias("attempt"))
+    w = Window.partitionBy("scenario").orderBy("attempt")  # the distinct texts of a family, which its templates bound
+    return made.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= keep).select("scenario", "attempt", "text")

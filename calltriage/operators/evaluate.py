@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch_path
+
 CONFIGS = ("text_only", "signatures_only", "fusion_notlow", "fusion_high")
 
 
@@ -38,32 +43,58 @@ def class_metrics(rows: DataFrame, *by: str) -> DataFrame:
     return c.select(*by, (tp + fn + fp + tn).alias("n"), z(tp + tn, tp + fn + fp + tn).alias("accuracy"), p, r, z(2 * p * r, p + r).alias("f1"))
 
 
+def running_sums(rows: DataFrame, order: Column, values: dict[str, str], *by: str) -> DataFrame:
+    """Adds running sums along ``order`` and totals, both of ``by``'s groups: {column: name} gives name and name_all.
+
+    Rows are dealt out by ranges of the order and summed range by range; then
+    each range starts from the sum of those before it. No task has all rows of
+    a group. Rows of equal order must not matter to each other.
+    """
+    path = scratch_path(rows.sparkSession, "ranges")
+    # written out, as another run of the same plan may cut the ranges elsewhere
+    ranged = rows.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, *by, order).withColumn("part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    ranged = rows.sparkSession.read.schema(ranged.schema).parquet(path)
+    inside = Window.partitionBy(*by, "part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = ranged.withColumns({name: F.sum(c).over(inside) for c, name in values.items()})
+    # one row for each range and group
+    totals = ranged.groupBy(*by, "part").agg(*[F.sum(c).alias(name) for c, name in values.items()])
+    group = Window.partitionBy(*by)
+    before = group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[F.col(c).alias(f"by_{c}") for c in (*by, "part")], *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in values.values()], *[F.sum(n).over(group).alias(f"{n}_all") for n in values.values()])
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"by_{c}")) for c in (*by, "part")])
+    d = d.join(totals, on)
+    return d.select(*rows.columns, *[(F.col(n) + F.col(f"{n}_before")).alias(n) for n in values.values()], *[f"{n}_all" for n in values.values()])
+
+
 def roc_curve(scored: DataFrame, *by: str) -> DataFrame:
-    """(score, fpr, tpr) at each distinct score, highest first, counting that score as positive.
+    """(score, fpr, tpr) from (inf, 0, 0) on, then at each distinct score, highest first, counting that score as positive.
 
-    Rows are first counted by score, so the running sums go over distinct
-    scores only.
+    Rows are first counted by score; the running sums go over distinct scores,
+    in ranges.
     """
-    w = Window.partitionBy(*by)
-    run = w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    return _points(scored, *by).select(*by, "score", "fpr", "tpr").unionByName(_origin(scored, *by))
+
+
+def _points(scored: DataFrame, *by: str) -> DataFrame:
     c = scored.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    c = c.withColumns({"cp": F.sum("p").over(run), "cn": F.sum("n").over(run), "tp": F.sum("p").over(w), "tn": F.sum("n").over(w)})
-    return c.select(*by, "score", F.try_divide("cn", "tn").alias("fpr"), F.try_divide("cp", "tp").alias("tpr"))
+    c = running_sums(c, F.desc("score"), {"p": "cp", "n": "cn"}, *by)
+    rate = lambda x, y: F.try_divide(F.col(x), F.col(y))
+    before = [rate("before_n", "cn_all").alias("fpr_before"), rate("before_p", "cp_all").alias("tpr_before")]
+    c = c.withColumns({"before_p": F.col("cp") - F.col("p"), "before_n": F.col("cn") - F.col("n")})
+    return c.select(*by, "score", rate("cn", "cn_all").alias("fpr"), rate("cp", "cp_all").alias("tpr"), *before)
 
 
 def roc_auc(scored: DataFrame, *by: str) -> DataFrame:
     """Area under the curve by trapezoids; null if a class is missing."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    c = roc_curve(scored, *by).withColumns({"f0": F.coalesce(F.lag("fpr").over(w), F.lit(0.0)), "t0": F.coalesce(F.lag("tpr").over(w), F.lit(0.0))})
-    area = F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2)
-    return c.groupBy(*by).agg(area.alias("auc"))
+    area = F.sum((F.col("fpr") - F.col("fpr_before")) * (F.col("tpr") + F.col("tpr_before")) / 2)
+    return _points(scored, *by).groupBy(*by).agg(area.alias("auc"))
 
 
 def eer(scored: DataFrame, *by: str) -> DataFrame:
     """Equal error rate: the first point where the two rates differ least."""
-    c = roc_curve(scored, *by).unionByName(_origin(scored, *by))
     gap = F.abs(1 - F.col("tpr") - F.col("fpr"))
-    best = c.groupBy(*by).agg(F.min_by(F.struct("fpr", "tpr"), F.struct(F.round(gap, 12), -F.col("score"))).alias("b"))
+    best = roc_curve(scored, *by).groupBy(*by).agg(F.min_by(F.struct("fpr", "tpr"), F.struct(F.round(gap, 12), -F.col("score"))).alias("b"))
     return best.select(*by, ((F.col("b.fpr") + 1 - F.col("b.tpr")) / 2).alias("eer"))
 
 
@@ -74,13 +105,13 @@ def _origin(scored: DataFrame, *by: str) -> DataFrame:
 def latency_stats(runs: DataFrame, ms: str) -> DataFrame:
     """n, median, p95 (the sorted value at floor(.95 n)), min, max, mean.
 
-    Counted by value first; the running count goes over distinct values.
+    Counted by value first; the running count goes over distinct values, in ranges.
     """
-    c = runs.groupBy(F.col(ms).alias("ms")).agg(F.count("*").alias("c"))
-    w = Window.orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumns({"upto": F.sum("c").over(w), "n": F.sum("c").over(Window.partitionBy())})
-    at = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
+    c = running_sums(runs.groupBy(F.col(ms).alias("ms")).agg(F.count("*").alias("c")), F.asc("ms"), {"c": "upto"})
+    n = F.col("upto_all")
+    at = F.least(n - 1, F.floor(n * 0.95))
     p95 = F.min(F.when(F.col("upto") > at, F.col("ms")))
-    lo, hi = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    lo, hi = F.floor((n - 1) / 2), F.floor(n / 2)
     median = (F.min(F.when(F.col("upto") > lo, F.col("ms"))) + F.min(F.when(F.col("upto") > hi, F.col("ms")))) / 2
-    return c.agg(F.max("n").alias("n"), F.round(median, 3).alias("median"), F.round(p95, 3).alias("p95"), F.round(F.min("ms"), 3).alias("min"), F.round(F.max("ms"), 3).alias("max"), F.round(F.sum(F.col("ms") * F.col("c")) / F.max("n"), 3).alias("mean"))
+    mean = F.sum(F.col("ms") * F.col("c")) / F.max(n)
+    return c.agg(F.max(n).alias("n"), F.round(median, 3).alias("median"), F.round(p95, 3).alias("p95"), F.round(F.min("ms"), 3).alias("min"), F.round(F.max("ms"), 3).alias("max"), F.round(mean, 3).alias("mean"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +14,17 @@ from ..config import Settings
 def rolling_transcript(chunks: DataFrame, session: str, seq: str, chunk: str, s: Settings = Settings()) -> DataFrame:
     """The last characters of each session's text so far, at each chunk.
 
-    Chunks are trimmed and not empty, so half as many rows as characters are enough.
+    As if each chunk were added after a space and the whole stripped: white
+    space at a chunk's end goes, and blank or null chunks add nothing. Chunks
+    that add something add two characters at least, so the frame holds half as
+    many of them as characters.
     """
-    w = Window.partitionBy(session).orderBy(seq).rowsBetween(-(s.rolling_chars // 2), 0)
-    return chunks.withColumn("transcript", F.right(F.array_join(F.collect_list(chunk).over(w), " "), F.lit(s.rolling_chars)))
+    said = F.regexp_replace(F.col(chunk), r"(?U)\s+$", "")
+    w = Window.partitionBy(session)
+    d = chunks.withColumn("__said", F.when(said != "", said))
+    d = d.withColumn("__k", F.count("__said").over(w.orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)))
+    joined = F.array_join(F.collect_list("__said").over(w.orderBy("__k").rangeBetween(-(s.rolling_chars // 2), 0)), " ")
+    return d.withColumn("transcript", F.right(F.regexp_replace(joined, r"(?U)^\s+", ""), F.lit(s.rolling_chars))).drop("__said", "__k")
 
 
 def final_transcript(chunks: DataFrame, session: str, seq: str, chunk: str) -> DataFrame:
@@ -59,6 +69,26 @@ def evict(sessions: DataFrame, last_seen: str, session: str, s: Settings = Setti
     return sessions.orderBy(F.desc(last_seen), session).limit(s.max_sessions)
 
 
-def throttle(rows: DataFrame, session: str, ts: str, seq: str, text: str, every: str = "2500 milliseconds") -> DataFrame:
-    """The last text of each session in each interval of the time grid."""
-    return rows.groupBy(session, F.window(ts, every).alias("w")).agg(F.max_by(text, F.struct(ts, seq)).alias(text)).select(session, F.col("w.start").alias("start"), text)
+def throttle(rows: DataFrame, session: str, ts: str, seq: str, every_ms: int = 2500) -> DataFrame:
+    """The rows (session, seq, ts) that are sent: a session's first, then each that comes ``every_ms`` or more after the last one sent.
+
+    What is sent next follows from what was sent before, so a session's rows
+    are streamed in order through one task, which holds only the last time.
+    Rows without a time are not sent.
+    """
+    narrow = rows.select(F.col(session).alias("session"), F.col(seq).alias("seq"), F.col(ts).alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+    narrow = narrow.repartition("session").sortWithinPartitions("session", "at", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = (), 0
+        for batch in batches:
+            who, at = batch.column("session").to_pylist(), batch.column("at").to_pylist()
+            sent = []
+            for s, t in zip(who, at, strict=True):
+                sent.append(t is not None and (key != (s,) or t >= last + 1000 * every_ms))
+                if sent[-1]:
+                    key, last = (s,), t
+            yield batch.filter(pa.array(sent, pa.bool_()))
+
+    sent = narrow.mapInArrow(run, narrow.schema)
+    return sent.select(F.col("session").alias(session), F.col("seq").alias(seq), F.col("ts").alias(ts))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +22,14 @@ class Rule:
     severity: int
     patterns: tuple[str, ...]
     advice: str
+    #: Lower-case ASCII strings of which every match holds one; texts without any are not searched. None: all are.
+    anchors: tuple[str, ...] = ()
 
 
 # What counts as a secret, and what turns a request into its opposite.
+NO_PLACE = r"(?!\s*(?:code|location))"
 SECRET = (
-    r"(?:otp|one[- ]time password|pin(?!\s*(?:code|location))|cvv|card number|expiry date|"
+    rf"(?:otp|one[- ]time password|pin{NO_PLACE}|cvv|card number|expiry date|"
     r"verification code|security code|(?:\d{1,2}|two|three|four|five|six)[- ]?digit code)"
 )
 NEGATIONS = ("not", "never", "don't", "doesn't", "won't", "wouldn't", "need to", "needed to", "needs to", "no need to")
@@ -33,18 +38,18 @@ REQUEST = r"\b(?:share|tell me|read (?:me|out)|give me|send me|provide|confirm)\
 
 # Rule ids, scam types, severities and patterns.
 RULES = (
-    Rule("otp_pin_cvv_request", "bank_fraud", 3, (NO_NEGATION + REQUEST + r"[^.?!\n]{0,25}\b" + SECRET + r"\b", r"\bwhat(?:'s| is)\s+(?:the|your)\s+" + SECRET + r"\b", r"\botp\b[^.?!\n]{0,20}\bread it\b"), "Someone wanted a one-time code, PIN or card secret, which no bank asks for by phone."),
-    Rule("digital_arrest_or_warrant_threat", "govt_impersonation", 3, (r"\bdigital arrest\b", r"\barrest warrant\b", r"\bfir (?:has been|is|has|being) registered\b", r"\bunder arrest\b", r"\bstay on (?:the )?(?:video )?call\b"), "Arrest was threatened over the phone; officers do not do that."),
-    Rule("remote_access_app_request", "tech_support", 2, (r"\b(?:download|install|open)\b[^.?!\n]{0,25}\b(?:anydesk|teamviewer|quicksupport)\b", r"\b(?:anydesk|teamviewer|quicksupport)\b", r"\bremote access\b[^.?!\n]{0,20}\b(?:app|screen)\b"), "A remote-control app was suggested, which would open your device to the caller."),
-    Rule("upi_collect_qr_trick", "refund_scam", 3, (r"\bcollect request\b", r"\bscan (?:this|the|my)?\s*qr code\b", r"\benter your (?:upi )?pin\b[^.?!\n]{0,30}\b(?:receive|refund|get)\b", r"\bfor receiving\b[^.?!\n]{0,20}\bpin\b", r"\breverse qr\b"), "Receiving money never needs a PIN or a scanned code; that sends money."),
-    Rule("secrecy_demand", "unknown_scam", 2, (r"\bdo(?:n't| not) (?:tell|inform)\b[^.?!\n]{0,25}\b(?:anyone|family|bank|police)\b", r"\bnot even your family\b", r"\bkeep this (?:call|conversation)? ?confidential\b", r"\btelling anybody\b"), "Secrecy was demanded, a way to keep you from asking for help."),
-    Rule("urgency_deadline", "unknown_scam", 1, (r"\b(?:within|in the next)\s+(?:ten|10|five|5|one|1|two|2|sixty|60|thirty|30)\s+(?:minutes?|hours?|seconds?)\b", r"\bexpires? in\s+(?:sixty|60|thirty|30)\s+seconds\b", r"\blast warning\b", r"\btoday only\b", r"\bevery minute of delay\b"), "A short deadline was set to hurry you."),
-    Rule("prize_lottery_fee", "prize_scam", 2, (r"\b(?:lottery|lucky draw|kbc|jackpot)\b[^.?!\n]{0,40}\b(?:won|winner)\b", r"\b(?:processing fee|government tax|clearance fee)\b[^.?!\n]{0,25}\b(?:prize|winner|winning|release)\b", r"\bwon\b[^.?!\n]{0,25}\b(?:lakh|crore)\b"), "A prize was promised against a fee; real prizes cost nothing."),
-    Rule("kyc_expiry_threat", "bank_fraud", 2, (r"\bkyc\b[^.?!\n]{0,20}\b(?:expired|expire|incomplete|update)\b", r"\baccount\b[^.?!\n]{0,25}\b(?:blocked|suspended|frozen)\b[^.?!\n]{0,25}\b(?:today|kyc|rbi)\b"), "An account was said to be blocked over missing papers; a branch handles that."),
-    Rule("safe_account_rbi_transfer", "govt_impersonation", 3, (r"\bsafe account\b", r"\b(?:rbi|reserve bank)\b[^.?!\n]{0,30}\b(?:transfer|audit|verification)\b", r"\bfunds? must be audited\b", r"\bsecure government account\b"), "You were told to move money to keep it safe; no bank asks for that."),
-    Rule("loan_app_photo_threat", "loan_scam", 3, (r"\b(?:morph(?:ed)?|edited|shameful)\b[^.?!\n]{0,20}\bphotos?\b", r"\bcontact list\b[^.?!\n]{0,20}\b(?:access|gallery)\b", r"\bsend (?:your|the)?\s*photos?\b[^.?!\n]{0,25}\b(?:contacts|family|everyone)\b"), "Pictures were used as a threat over a loan; that is blackmail."),
-    Rule("army_marketplace_claim", "marketplace_scam", 2, (r"\b(?:army|crpf|jawan|commanding officer)\b[^.?!\n]{0,40}\b(?:transfer|posted|buy|pay|qr)\b", r"\barmy (?:canteen|id)\b"), "A buyer claimed to be a soldier with an unusual way to pay."),
-    Rule("investment_guaranteed_return", "investment_scam", 2, (r"\bguaranteed\b[^.?!\n]{0,20}\b(?:return|profit|income)\b", r"\bdouble your money\b", r"\brisk[- ]?free\b[^.?!\n]{0,20}\b(?:profit|return)\b", r"\b\d{1,3}\s?%\s?(?:return|profit)\b[^.?!\n]{0,20}\b(?:month|monthly|week|guaranteed)\b"), "Certain high returns were promised; no investment has them."),
+    Rule("otp_pin_cvv_request", "bank_fraud", 3, (NO_NEGATION + REQUEST + r"[^.?!\n]{0,25}\b" + SECRET + r"\b", r"\bwhat(?:'s| is)\s+(?:the|your)\s+" + SECRET + r"\b", r"\botp\b[^.?!\n]{0,20}\bread it\b"), "Someone wanted a one-time code, PIN or card secret, which no bank asks for by phone.", ("otp", "time password", "pin", "cvv", "card number", "expiry date", "verification code", "security code", "digit code")),
+    Rule("digital_arrest_or_warrant_threat", "govt_impersonation", 3, (r"\bdigital arrest\b", r"\barrest warrant\b", r"\bfir (?:has been|is|has|being) registered\b", r"\bunder arrest\b", r"\bstay on (?:the )?(?:video )?call\b"), "Arrest was threatened over the phone; officers do not do that.", ("arrest", " registered", "stay on ")),
+    Rule("remote_access_app_request", "tech_support", 2, (r"\b(?:download|install|open)\b[^.?!\n]{0,25}\b(?:anydesk|teamviewer|quicksupport)\b", r"\b(?:anydesk|teamviewer|quicksupport)\b", r"\bremote access\b[^.?!\n]{0,20}\b(?:app|screen)\b"), "A remote-control app was suggested, which would open your device to the caller.", ("anydesk", "teamviewer", "quicksupport", "remote access")),
+    Rule("upi_collect_qr_trick", "refund_scam", 3, (r"\bcollect request\b", r"\bscan (?:this|the|my)?\s*qr code\b", r"\benter your (?:upi )?pin\b[^.?!\n]{0,30}\b(?:receive|refund|get)\b", r"\bfor receiving\b[^.?!\n]{0,20}\bpin\b", r"\breverse qr\b"), "Receiving money never needs a PIN or a scanned code; that sends money.", ("collect request", "qr code", "enter your ", "for receiving", "reverse qr")),
+    Rule("secrecy_demand", "unknown_scam", 2, (r"\bdo(?:n't| not) (?:tell|inform)\b[^.?!\n]{0,25}\b(?:anyone|family|bank|police)\b", r"\bnot even your family\b", r"\bkeep this (?:call|conversation)? ?confidential\b", r"\btelling anybody\b"), "Secrecy was demanded, a way to keep you from asking for help.", (" tell", " inform", "not even your", "keep this ", "telling anybody")),
+    Rule("urgency_deadline", "unknown_scam", 1, (r"\b(?:within|in the next)\s+(?:ten|10|five|5|one|1|two|2|sixty|60|thirty|30)\s+(?:minutes?|hours?|seconds?)\b", r"\bexpires? in\s+(?:sixty|60|thirty|30)\s+seconds\b", r"\blast warning\b", r"\btoday only\b", r"\bevery minute of delay\b"), "A short deadline was set to hurry you.", ("within", "in the next", "expire", "last warning", "today only", "minute of delay")),
+    Rule("prize_lottery_fee", "prize_scam", 2, (r"\b(?:lottery|lucky draw|kbc|jackpot)\b[^.?!\n]{0,40}\b(?:won|winner)\b", r"\b(?:processing fee|government tax|clearance fee)\b[^.?!\n]{0,25}\b(?:prize|winner|winning|release)\b", r"\bwon\b[^.?!\n]{0,25}\b(?:lakh|crore)\b"), "A prize was promised against a fee; real prizes cost nothing.", ("lottery", "lucky draw", "kbc", "jackpot", "processing fee", "government tax", "clearance fee", "lakh", "crore")),
+    Rule("kyc_expiry_threat", "bank_fraud", 2, (r"\bkyc\b[^.?!\n]{0,20}\b(?:expired|expire|incomplete|update)\b", r"\baccount\b[^.?!\n]{0,25}\b(?:blocked|suspended|frozen)\b[^.?!\n]{0,25}\b(?:today|kyc|rbi)\b"), "An account was said to be blocked over missing papers; a branch handles that.", ("kyc", "account")),
+    Rule("safe_account_rbi_transfer", "govt_impersonation", 3, (r"\bsafe account\b", r"\b(?:rbi|reserve bank)\b[^.?!\n]{0,30}\b(?:transfer|audit|verification)\b", r"\bfunds? must be audited\b", r"\bsecure government account\b"), "You were told to move money to keep it safe; no bank asks for that.", ("safe account", "rbi", "reserve bank", "must be audited", "secure government account")),
+    Rule("loan_app_photo_threat", "loan_scam", 3, (r"\b(?:morph(?:ed)?|edited|shameful)\b[^.?!\n]{0,20}\bphotos?\b", r"\bcontact list\b[^.?!\n]{0,20}\b(?:access|gallery)\b", r"\bsend (?:your|the)?\s*photos?\b[^.?!\n]{0,25}\b(?:contacts|family|everyone)\b"), "Pictures were used as a threat over a loan; that is blackmail.", ("photo", "contact list")),
+    Rule("army_marketplace_claim", "marketplace_scam", 2, (r"\b(?:army|crpf|jawan|commanding officer)\b[^.?!\n]{0,40}\b(?:transfer|posted|buy|pay|qr)\b", r"\barmy (?:canteen|id)\b"), "A buyer claimed to be a soldier with an unusual way to pay.", ("army", "crpf", "jawan", "commanding officer")),
+    Rule("investment_guaranteed_return", "investment_scam", 2, (r"\bguaranteed\b[^.?!\n]{0,20}\b(?:return|profit|income)\b", r"\bdouble your money\b", r"\brisk[- ]?free\b[^.?!\n]{0,20}\b(?:profit|return)\b", r"\b\d{1,3}\s?%\s?(?:return|profit)\b[^.?!\n]{0,20}\b(?:month|monthly|week|guaranteed)\b"), "Certain high returns were promised; no investment has them.", ("guaranteed", "double your money", "risk", "return", "profit")),
 )
 
 
@@ -56,16 +61,28 @@ def register(rules: tuple[Rule, ...], rule: Rule, spark) -> tuple[Rule, ...]:
     return (*rules, rule)
 
 
-def flag(text: Column, rule: Rule) -> Column:
-    """True if any pattern of the rule occurs; null or empty text: false."""
-    hit = F.lit(False)
-    for p in rule.patterns:
-        hit = hit | text.rlike(FLAGS + p)
+def folded(text: Column) -> Column:
+    """In lower case, with the letters that Unicode folds to ASCII ones as these."""
+    return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
+
+
+def flag(text: Column, rule: Rule, low: Column | None = None) -> Column:
+    """True if any pattern of the rule occurs; null or empty text: false. ``low`` is the ``folded`` text."""
+    hit = reduce(or_, [text.rlike(FLAGS + p) for p in rule.patterns])
+    if rule.anchors:  # patterns are only tried where an anchor stands
+        low = folded(text) if low is None else low
+        hit = F.when(reduce(or_, [F.contains(low, F.lit(a)) for a in rule.anchors]), hit)
     return F.coalesce(hit, F.lit(False))
 
 
+def without(rule: Rule, *parts: str) -> Rule:
+    """The rule with parts of its patterns left out, such as a guard."""
+    return replace(rule, patterns=tuple(reduce(lambda p, x: p.replace(x, ""), parts, p) for p in rule.patterns))
+
+
 def with_flags(calls: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
-    return calls.withColumns({f"sig_{r.id}": flag(F.col(text), r) for r in rules})
+    d = calls.withColumn("__low", folded(F.col(text)))
+    return d.withColumns({f"sig_{r.id}": flag(F.col(text), r, F.col("__low")) for r in rules}).drop("__low")
 
 
 def snippets(text: Column, rule: Rule) -> Column:

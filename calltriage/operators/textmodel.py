@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import logging
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.risk import sigmoid
 
+LOG = logging.getLogger(__name__)
+FAMILIES = ("word", "char")
+#: Terms of each family that a model learns from.
+FAMILY_TERMS = 30_000
 GRID = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
 
 
@@ -35,10 +46,16 @@ def _run_of(n: int):
     return lambda i: F.col("t").substr(i, F.lit(n))
 
 
-def vocabulary(terms: DataFrame, min_df: int = 2, size: int = 30_000) -> DataFrame:
-    """(term, df, total): terms of min_df documents or more, the most frequent ones."""
-    v = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    return v.filter(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(size)
+def two_families(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(family, id, term, tf) of word grams and of character runs."""
+    families = (("word", word_ngrams), ("char", char_ngrams))
+    return reduce(DataFrame.unionByName, [make(docs, id_col, text).select(F.lit(name).alias("family"), id_col, "term", "tf") for name, make in families])
+
+
+def vocabulary(terms: DataFrame, min_df: int = 2, size: int = FAMILY_TERMS) -> DataFrame:
+    """(family, term, df, total): of each family, the most frequent terms of min_df documents or more, ``size`` at most."""
+    v = terms.groupBy("family", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
+    return reduce(DataFrame.unionByName, [v.filter(F.col("family") == f).orderBy(F.desc("total"), "term").limit(size) for f in FAMILIES])
 
 
 def tf_sublinear(tf: Column) -> Column:
@@ -50,27 +67,37 @@ def idf_smooth(df: Column, n: Column) -> Column:
 
 
 def tfidf(terms: DataFrame, vocab: DataFrame, n_docs: int, id_col: str) -> DataFrame:
-    """(id, term, w): each document's weights have length one. The vocabulary is bounded by its size."""
-    w = terms.join(F.broadcast(vocab.select("term", "df")), "term").withColumn("w", tf_sublinear(F.col("tf")) * idf_smooth(F.col("df"), F.lit(n_docs)))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return w.select(id_col, "term", (F.col("w") / norm).alias("w"))
+    """(family, id, term, w): a document's weights have length one in each family. The vocabulary is bounded by its size."""
+    known = F.broadcast(vocab.select("family", "term", "df"))
+    w = terms.join(known, ["family", "term"]).withColumn("w", tf_sublinear(F.col("tf")) * idf_smooth(F.col("df"), F.lit(n_docs)))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col, "family")))
+    return w.select("family", id_col, "term", (F.col("w") / norm).alias("w"))
 
 
 def logreg_score(docs: DataFrame, weights: DataFrame, coefficients: DataFrame, intercept: float, id_col: str, text: str) -> DataFrame:
     """(id, prob): null for blank texts; texts without a known term keep the intercept."""
-    z = weights.join(F.broadcast(coefficients), "term").groupBy(id_col).agg(F.sum(F.col("w") * F.col("coef")).alias("z"))
+    z = weights.join(F.broadcast(coefficients), ["family", "term"]).groupBy(id_col).agg(F.sum(F.col("w") * F.col("coef")).alias("z"))
     p = sigmoid(F.coalesce("z", F.lit(0.0)) + intercept)
     return docs.select(id_col, text).join(z, id_col, "left").select(id_col, F.when(F.trim(text) != "", p).alias("prob"))
 
 
+def places(vocab: DataFrame) -> DataFrame:
+    """(family, term, i): the vocabulary, words first, by falling frequency. It is bounded by its size."""
+    return vocab.withColumn("i", F.row_number().over(Window.orderBy(F.desc("family"), F.desc("total"), "term")) - 1).select("family", "term", "i")
+
+
+@F.udf(VectorUDT(), useArrow=True)
+def _sparse(size, at, values):
+    return SparseVector(size, at, values)
+
+
 def as_vectors(weights: DataFrame, vocab: DataFrame, labels: DataFrame, id_col: str, size: int) -> DataFrame:
     """(id, label, weight, features) for Spark ML; weights balance the classes. A row without a known term has an empty vector."""
-    place = vocab.withColumn("i", F.row_number().over(Window.orderBy(F.desc("total"), "term")) - 1)  # a bounded vocabulary
-    make = F.udf(lambda xs: SparseVector(size, sorted((x["i"], x["w"]) for x in xs or [])), VectorUDT())
-    rows = weights.join(F.broadcast(place.select("term", "i")), "term").groupBy(id_col).agg(F.collect_list(F.struct("i", "w")).alias("xs"))
-    totals = labels.groupBy("label").agg(F.count("*").alias("c")).withColumn("n", F.sum("c").over(Window.partitionBy()))
+    rows = weights.join(F.broadcast(places(vocab)), ["family", "term"]).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("xs"))
+    totals = labels.groupBy("label").agg(F.count("*").alias("c")).withColumn("n", F.sum("c").over(Window.partitionBy()))  # a row for each label
     balanced = labels.join(F.broadcast(totals), "label").withColumn("weight", F.col("n") / (2 * F.col("c")))
-    return balanced.join(rows, id_col, "left").select(id_col, F.col("label").cast("double").alias("label"), "weight", make("xs").alias("features"))
+    d = balanced.join(rows, id_col, "left").select(id_col, F.col("label").cast("double").alias("label"), "weight", F.coalesce("xs", F.array().cast("array<struct<i:int,w:double>>")).alias("xs"))
+    return d.select(id_col, "label", "weight", _sparse(F.lit(size), F.col("xs.i"), F.col("xs.w")).alias("features"))
 
 
 def fit_logreg(train: DataFrame, c: float, max_iter: int = 2000):
@@ -79,6 +106,37 @@ def fit_logreg(train: DataFrame, c: float, max_iter: int = 2000):
     return LogisticRegression(regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=max_iter).fit(train)
 
 
+def model_table(vocab: DataFrame, n_docs: int, model, c: float) -> DataFrame:
+    """(kind, family, term, idf, value): a fitted model as a table.
+
+    kind ``term`` has idf and coefficient of each term; ``intercept`` and
+    ``best_c`` are one row each.
+    """
+    spark = vocab.sparkSession
+    coefficients = spark.createDataFrame(pd.DataFrame({"i": np.arange(model.coefficients.size, dtype=np.int32), "value": model.coefficients.toArray()}))
+    terms = vocab.join(F.broadcast(places(vocab)), ["family", "term"]).join(F.broadcast(coefficients), "i")
+    terms = terms.select(F.lit("term").alias("kind"), "family", "term", idf_smooth(F.col("df"), F.lit(n_docs)).alias("idf"), "value")
+    scalars = spark.createDataFrame([("intercept", float(model.intercept)), ("best_c", float(c))], "kind string, value double")
+    none = F.lit(None).cast("string")
+    return terms.unionByName(scalars.select("kind", none.alias("family"), none.alias("term"), F.lit(None).cast("double").alias("idf"), "value"))
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, float, float | None] | None:
+    """(terms, intercept, best C or None) of a written model; None if there is none that can be read.
+
+    A table without kinds is taken as coefficients alone, with intercept 0.
+    """
+    try:
+        t = spark.read.parquet(path)
+        if "kind" not in t.columns:
+            return t.select("family", "term", F.lit(None).cast("double").alias("idf"), F.col("coef").alias("coef")), 0.0, None
+        scalars = {r["kind"]: r["value"] for r in t.filter("kind <> 'term'").select("kind", "value").collect()}  # two rows
+        return t.filter("kind = 'term'").select("family", "term", "idf", F.col("value").alias("coef")), scalars["intercept"], scalars.get("best_c")
+    except (AnalysisException, KeyError, Py4JJavaError) as e:
+        LOG.warning("no model at %s: %s", path, e)
+        return None
+
+
 def tune_c(train: DataFrame, val: DataFrame, grid=GRID) -> list[tuple[float, float]]:
     """(c, F1 on the validation rows) for each strength, in order; the best is the first maximum."""
     from .evaluate import class_metrics

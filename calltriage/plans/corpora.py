@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import corpus, normalize
+from ..operators.templates import FAMILIES, POOLS
 from ..sources import files
 from . import fixtures as fx
 
@@ -112,12 +113,22 @@ def valid_transcript(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", (F.length("text") >= 1).alias("valid"), (F.trim("text") != "").alias("scored"))
 
 
-@query(f"WITH {CORPUS_SQL} SELECT id, source, text, label, scam_type, origin FROM corpus")
+_SLUGS = [x.slug for x in corpus.SOURCES]
+_NO_TAG = [i for i, x in enumerate(corpus.SOURCES) if x.tag is None]
+_ORIGIN_SQL = " ".join(f"WHEN {i} THEN '{x.origin}'" for i, x in enumerate(corpus.SOURCES))
+
+
+@query(f"""WITH {RAW_SQL}, s AS (SELECT * REPLACE (CASE WHEN doc_id % {len(_SLUGS)} IN ({', '.join(map(str, _NO_TAG))}) THEN NULL ELSE raw END AS raw) FROM raws)
+SELECT ({_SLUGS})[doc_id % {len(_SLUGS)} + 1] || '-' || CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END || '-' || doc_id AS id, ({_SLUGS})[doc_id % {len(_SLUGS)} + 1] AS source,
+  {_SPEAKERS.format(t='dialogue')} AS text, label, {_TYPE_SQL} AS scam_type, CASE doc_id % {len(_SLUGS)} {_ORIGIN_SQL} END AS origin FROM s""")
 def source_adapt(spark, sf_dir):
-    """One adapter per source, pooled: here a source is a value of the column."""
-    r = raws(spark, sf_dir).withColumn("row", F.col("doc_id"))
-    made = corpus.adapt(r, "all", "synthetic", "dialogue", "label", "train", F.col("row"), "raw")
-    return made.withColumn("source", F.concat(F.lit("src"), (F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 20).cast("string"))).withColumn("id", F.concat_ws("-", "source", F.lit("train"), F.regexp_extract("id", r"(\d+)$", 1)))
+    """Five sources, each with columns of its own and one it doesn't need, pooled in the common schema."""
+    made = []
+    for i, x in enumerate(corpus.SOURCES):
+        mine = raws(spark, sf_dir).filter(F.col("doc_id") % len(corpus.SOURCES) == i)
+        own = mine.select("doc_id", F.col("dialogue").alias(x.text), F.col("label").cast("string").alias(x.label), *([F.col("raw").alias(x.tag)] if x.tag else []), F.lit("calm").alias("personality"))
+        made.append(corpus.adapt(own, x, F.when(F.col("doc_id") % 2 == 0, "train").otherwise("test"), F.col("doc_id")))
+    return corpus.pool(made).drop("source_rank")
 
 
 def _jsonl(spark, sf_dir):
@@ -163,9 +174,10 @@ def stratified_split_manual(spark, sf_dir):
     return _split_records(spark, sf_dir).groupBy("label", "source", "split").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {SPLIT_SQL} SELECT id, split, md5(id || '|42') AS place FROM splits")
 def seeded_shuffle(spark, sf_dir):
-    return _split_records(spark, sf_dir).orderBy("split", F.xxhash64("id", F.lit(42))).select("id", "split")
+    """Splits in the order of a seeded hash, as they are written; ``place`` is what they are ordered by."""
+    return corpus.shuffled(_split_records(spark, sf_dir).select("id", "split"), "split", "id")
 
 
 @query(f"WITH {SPLIT_SQL} SELECT split, count(*) AS n FROM splits GROUP BY split")
@@ -193,11 +205,22 @@ def length_stats(spark, sf_dir):
     return corpus.length_stats(_split_records(spark, sf_dir))
 
 
-@query()
+_DEDUP_SQL = "deduped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS dr FROM corpus) WHERE dr = 1)"
+DEDUP_SPLIT_SQL = SPLIT_SQL.replace(", ranked AS (", f", {_DEDUP_SQL}, ranked AS (").replace("AS n FROM corpus)", "AS n FROM deduped)")
+
+
+@query(f"""WITH {DEDUP_SPLIT_SQL}, words AS (SELECT split, len(regexp_extract_all(text, '\\S+')) AS w FROM splits), sizes AS (SELECT (SELECT count(*) FROM corpus) AS p, (SELECT count(*) FROM splits) AS k)
+SELECT split, 'rows' AS facet, NULL::VARCHAR AS value, count(*)::DOUBLE AS n FROM splits GROUP BY ALL UNION ALL SELECT split, 'label', label::VARCHAR, count(*) FROM splits GROUP BY ALL
+UNION ALL SELECT split, 'source', source, count(*) FROM splits GROUP BY ALL UNION ALL SELECT split, 'scam_type', scam_type, count(*) FROM splits GROUP BY ALL
+UNION ALL SELECT split, 'words', 'mean', round_even(avg(w), 2) FROM words GROUP BY split UNION ALL SELECT split, 'words', 'median', median(w) FROM words GROUP BY split
+UNION ALL SELECT '_meta', 'corpus', v, n FROM (SELECT unnest(['pooled', 'dropped', 'seed', 'train', 'val']) AS v, unnest([p, p - k, 42, 0.8::DOUBLE, 0.1::DOUBLE]) AS n FROM sizes)""")
 def write_stats(spark, sf_dir):
+    """The statistics document of a corpus, written and read back."""
     path = files.scratch_path(spark, "stats")
-    files.write_report({"counts": corpus.counts(_split_records(spark, sf_dir))}, path)
-    return spark.read.json(f"{path}/counts")
+    pooled = records(spark, sf_dir)
+    splits = corpus.stratified_split(corpus.dedup_keep_first(pooled, "text", "doc_id"), ["label", "source"], "doc_id")
+    files.write_report({"stats": corpus.statistics(splits, pooled, "text")}, path)
+    return spark.read.schema("split string, facet string, value string, n double").json(f"{path}/stats")
 
 
 @query(f"WITH {CORPUS_SQL} SELECT 'missing_field' AS rule, 0::BIGINT AS n UNION ALL SELECT 'label_range', 0 UNION ALL SELECT 'blank_text', count(*) FROM corpus WHERE trim(text) = ''")
@@ -205,21 +228,26 @@ def schema_sanity(spark, sf_dir):
     return corpus.violations(records(spark, sf_dir)).select("rule", F.col("n").cast("long").alias("n"))
 
 
-@query(f"WITH {SPLIT_SQL} SELECT split, count(*) AS n FROM splits WHERE source = 'src7' AND split <> 'heldout' GROUP BY split")
+@query(f"WITH {CORPUS_SQL}, held AS (SELECT * FROM corpus WHERE source = 'src7'), rest AS (SELECT * FROM corpus WHERE source <> 'src7') SELECT 'source' AS rule, count(*) AS n FROM rest WHERE source IN (SELECT source FROM held) UNION ALL SELECT 'text', count(*) FROM rest WHERE text IN (SELECT text FROM held)")
 def heldout_leak_check(spark, sf_dir):
-    """Rows of a source that is to be held out."""
-    return _split_records(spark, sf_dir).filter((F.col("source") == "src7") & (F.col("split") != "heldout")).groupBy("split").agg(F.count("*").alias("n"))
+    """One source is held out, the others are split: rows of that source among them raise, rows with its texts are counted."""
+    r = records(spark, sf_dir)
+    held, rest = r.filter("source = 'src7'"), r.filter("source <> 'src7'")
+    return corpus.require(corpus.leaks(corpus.stratified_split(rest, ["label", "source"], "doc_id"), held), "source")
 
 
-@query(f"WITH {CORPUS_SQL} SELECT label, count(*) AS n, count(*) - count(DISTINCT id) AS repeated FROM corpus GROUP BY label")
+@query(f"""WITH f AS (SELECT doc_id, doc_id % {len(FAMILIES)} AS k FROM documents), labels_(k, label) AS (VALUES {', '.join(f'({i}, {x.label})' for i, x in enumerate(FAMILIES))})
+SELECT 'repeated_id' AS rule, count(*) - count(DISTINCT doc_id) AS n FROM f UNION ALL SELECT 'mixed_label', 0 UNION ALL SELECT 'uneven', abs(count(*) FILTER (label = 1) - count(*) FILTER (label = 0)) FROM f JOIN labels_ USING (k)""")
 def scenario_asserts(spark, sf_dir):
-    return records(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("id")).alias("repeated"))
+    """Repeated ids or families with both labels raise; an uneven number of labels is counted."""
+    return corpus.require(corpus.scenario_violations(_scenarios(spark, sf_dir), "doc_id", "scenario", "label"), "repeated_id", "mixed_label")
 
 
-@query("SELECT doc_id, 0 AS source_rank FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 1 FROM documents WHERE lang = 'fr'")
+@query("SELECT doc_id, (CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END)::INT AS source_rank FROM documents")
 def pool_union(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents")
-    return corpus.pool([d.filter("lang = 'en'"), d.filter("lang = 'fr'")]).select("doc_id", "source_rank")
+    known = ("en", "fr", "de")
+    return corpus.pool([*[d.filter(F.col("lang") == x) for x in known], d.filter(~F.coalesce(F.col("lang").isin(*known), F.lit(False)))]).select("doc_id", "source_rank")
 
 
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
@@ -293,33 +321,56 @@ def densest_dir(spark, sf_dir):
     return files.densest_folder(_paths(spark, sf_dir))
 
 
-@query(f"WITH {_PATHS_SQL} SELECT path FROM paths WHERE doc_id % 6 <> 0")
+@query(f"WITH {_PATHS_SQL}, k AS (SELECT path FROM paths WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT path, (SELECT count(*) FROM paths) - (SELECT count(*) FROM k) AS dropped FROM k")
 def drop_missing_files(spark, sf_dir):
+    """A label's document counts as a file that exists."""
     p = _paths(spark, sf_dir)
-    return files.existing(p, p.filter("doc_id % 6 <> 0")).select("path")
+    kept, dropped = files.existing(p, p.join(fx.table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi"))
+    return kept.select("path", F.lit(dropped).alias("dropped"))
 
 
-@query()
+@query("SELECT DISTINCT 'lang=' || lang || '/source=' || source AS folder FROM documents")
 def discover_files(spark, sf_dir):
-    """How many of the table's files are found below the folder, and their largest name."""
-    found = files.list_files(spark, sf_dir, "*.parquet")
-    return found.agg(F.count("*").alias("n_files"), F.max(F.regexp_extract("path", r"([^/]*)$", 1)).alias("last"))
-
-
-_SLOTS = {"name": ["Asha", "Ravi", "Meera", "John"], "bank": ["North Bank", "River Bank", "City Bank"], "sum": ["500", "2000", "9000"]}
-
-
-@query()
+    """Folders found by the files in them, at any depth below a root: here the documents' ids by language and source."""
+    path = files.scratch_path(spark, "tree")
+    d = fx.table(spark, sf_dir, "documents").select("lang", "source", F.col("doc_id").cast("string").alias("value"))
+    d.repartition("lang", "source").write.partitionBy("lang", "source").text(path)
+    return files.marked_folders(spark, path, "part-*.txt").select(F.regexp_extract("folder", "(lang=.*)$", 1).alias("folder"))
+
+
+def _scenarios(spark, sf_dir):
+    """(doc_id, scenario, attempt, label): a document stands for an attempt at a family."""
+    k = F.col("doc_id") % len(FAMILIES)
+    pick = lambda xs: F.get(F.array(*map(F.lit, xs)), k.cast("int"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", pick([f.name for f in FAMILIES]).alias("scenario"), F.floor(F.col("doc_id") / len(FAMILIES)).alias("attempt"), pick([f.label for f in FAMILIES]).alias("label"))
+
+
+def _template_sql() -> str:
+    """The same choices as SQL."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    pick = lambda xs, what: f"([{', '.join(map(quoted, xs))}])[CAST('0x' || substring(md5(scenario || '|' || attempt || '|{what}|13'), 1, 8) AS BIGINT) % {len(xs)} + 1]"
+    lines = [f"WHEN {quoted(f.name)} THEN " + " || ' ' || ".join(f"'{who}: ' || {pick(said, f'turn{i}')}" for i, (who, said) in enumerate(f.turns)) for f in FAMILIES]
+    text = f"CASE scenario {' '.join(lines)} END"
+    steps = [f"t0 AS (SELECT scenario, attempt, {text} AS text FROM s)"]
+    for i, (slot, values) in enumerate(POOLS.items()):
+        steps.append(f"t{i + 1} AS (SELECT scenario, attempt, replace(text, '{{{slot}}}', {pick(values, slot)}) AS text FROM t{i})")
+    return f"""WITH s AS (SELECT ([{', '.join(quoted(f.name) for f in FAMILIES)}])[doc_id % {len(FAMILIES)} + 1] AS scenario, doc_id // {len(FAMILIES)} AS attempt FROM documents), {', '.join(steps)},
+d AS (SELECT scenario, text, min(attempt) AS attempt FROM t{len(POOLS)} GROUP BY ALL) SELECT scenario, attempt, text FROM (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY attempt) AS r FROM d) WHERE r <= 20"""
+
+
+@query(_template_sql())
 def template_expand(spark, sf_dir):
-    """A scenario for each source and language of the documents, filled by hashed choices."""
-    t = fx.table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", "lang").alias("scenario")).distinct()
-    t = t.withColumn("template", F.lit("Caller: Hello {name}, this is {bank}. Receiver: Yes? Caller: About the {sum}."))
-    return corpus.expand_templates(t, _SLOTS, attempts=60, keep=20).select("scenario", "text")
+    """Made-up calls of all families; 20 for each is the operator's feature."""
+    return corpus.expand_templates(_scenarios(spark, sf_dir), [(f.name, list(f.turns)) for f in FAMILIES], POOLS, keep=20)
 
 
-@query("SELECT source || '-' || lang AS scenario, count(*) AS n FROM documents GROUP BY ALL")
+@query(f"""WITH c(k, scenario, scam_type, label, turns) AS (VALUES {', '.join(f"({i}, '{f.name}', '{f.scam_type}', {f.label}, {len(f.turns)})" for i, f in enumerate(FAMILIES))})
+SELECT scenario, scam_type, label, turns, count(doc_id) AS attempts FROM c LEFT JOIN documents ON doc_id % {len(FAMILIES)} = k GROUP BY ALL""")
 def scenario_catalog(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").groupBy(F.concat_ws("-", "source", "lang").alias("scenario")).agg(F.count("*").alias("n"))
+    """The families, and how many attempts the table holds for each."""
+    catalog = spark.createDataFrame([(f.name, f.scam_type, f.label, len(f.turns)) for f in FAMILIES], "scenario string, scam_type string, label int, turns int")
+    n = _scenarios(spark, sf_dir).groupBy("scenario").agg(F.count("*").alias("attempts"))
+    return catalog.join(n, "scenario", "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)))
 
 
 @query("SELECT user_id, min(event_id) AS first_event FROM events GROUP BY user_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, sessions
@@ -124,12 +126,14 @@ def _curve_input(spark, sf_dir):
 
 
 CURVE_SQL = f"""{fx.CALLS_SQL}, c AS (SELECT text_score AS score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM calls WHERE text_score IS NOT NULL GROUP BY 1),
-curve AS (SELECT score, sum(n) OVER (ORDER BY score DESC) / sum(n) OVER () AS fpr, sum(p) OVER (ORDER BY score DESC) / sum(p) OVER () AS tpr FROM c)"""
+curve AS (SELECT score, sum(n) OVER (ORDER BY score DESC) / sum(n) OVER () AS fpr, sum(p) OVER (ORDER BY score DESC) / sum(p) OVER () AS tpr FROM c UNION ALL SELECT 'inf'::DOUBLE, 0, 0)"""
 
 
-@query(f"WITH {CURVE_SQL} SELECT round(score, 6) AS score, round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM curve")
+@query(f"WITH {CURVE_SQL} SELECT CASE WHEN score < 2 THEN round(score, 6) ELSE 2 END AS score, round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM curve")
 def roc_curve(spark, sf_dir):
-    return evaluate.roc_curve(_curve_input(spark, sf_dir)).select(*[F.round(c, 9).alias(c) for c in ("score", "fpr", "tpr")])
+    """The first point's score, which is infinite, is shown as 2."""
+    c = evaluate.roc_curve(_curve_input(spark, sf_dir)).withColumn("score", F.when(F.col("score") < 2, F.col("score")).otherwise(2.0))
+    return c.select(*[F.round(c, 9).alias(c) for c in ("score", "fpr", "tpr")])
 
 
 @query(f"WITH {fx.CALLS_SQL} SELECT round(avg(CASE WHEN p.text_score > n.text_score THEN 1.0 WHEN p.text_score = n.text_score THEN 0.5 ELSE 0 END), 9) AS auc FROM calls p, calls n WHERE p.label = 1 AND n.label = 0 AND p.text_score IS NOT NULL AND n.text_score IS NOT NULL")
@@ -137,7 +141,7 @@ def roc_auc(spark, sf_dir):
     return evaluate.roc_auc(_curve_input(spark, sf_dir)).select(F.round("auc", 9).alias("auc"))
 
 
-EER_SQL = f"{CURVE_SQL}, pts AS (SELECT * FROM curve UNION ALL SELECT 'inf'::DOUBLE, 0, 0), best AS (SELECT (fpr + 1 - tpr) / 2 AS eer FROM pts ORDER BY round(abs(1 - tpr - fpr), 12), score DESC LIMIT 1)"
+EER_SQL = f"{CURVE_SQL}, best AS (SELECT (fpr + 1 - tpr) / 2 AS eer FROM curve ORDER BY round(abs(1 - tpr - fpr), 12), score DESC LIMIT 1)"
 
 
 @query(f"WITH {EER_SQL} SELECT round(eer, 9) AS eer FROM best")
@@ -145,11 +149,17 @@ def eer(spark, sf_dir):
     return evaluate.eer(_curve_input(spark, sf_dir)).select(F.round("eer", 9).alias("eer"))
 
 
-@query(f"WITH {EER_SQL} SELECT round(eer, 9) AS eer, (SELECT round(avg(CASE WHEN (text_score >= 0.5) = (label = 1) THEN 1 ELSE 0 END), 9) FROM calls WHERE text_score IS NOT NULL) AS accuracy, (SELECT count(text_score) FROM calls) AS n FROM best")
+_AUC_SQL = "SELECT round(avg(CASE WHEN p.text_score > n.text_score THEN 1.0 WHEN p.text_score = n.text_score THEN 0.5 ELSE 0 END), 9) AS auc FROM calls p, calls n WHERE p.label = 1 AND n.label = 0 AND p.text_score IS NOT NULL AND n.text_score IS NOT NULL"
+
+
+@query(f"WITH {EER_SQL} SELECT round(eer, 9) AS eer, ({_AUC_SQL}) AS auc, (SELECT round(avg(CASE WHEN (text_score >= 0.5) = (label = 1) THEN 1 ELSE 0 END), 9) FROM calls WHERE text_score IS NOT NULL) AS accuracy, (SELECT count(text_score) FROM calls) AS n FROM best")
 def audio_eval(spark, sf_dir):
+    """A voice split's four figures, from one row each; an undefined AUC counts as 0.5."""
     s = _curve_input(spark, sf_dir)
     m = evaluate.class_metrics(s.withColumn("predicted", F.col("score") >= 0.5))
-    return evaluate.eer(s).crossJoin(m).select(F.round("eer", 9).alias("eer"), F.round("accuracy", 9).alias("accuracy"), "n")  # one row each
+    one = [evaluate.eer(s).select("eer"), evaluate.roc_auc(s).select(F.coalesce("auc", F.lit(0.5)).alias("auc")), m.select("accuracy", "n")]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one)
+    return rows.agg(*[F.round(F.max(c), 9).alias(c) for c in ("eer", "auc", "accuracy")], F.max("n").alias("n"))
 
 
 @query(f"WITH {fx.CALLS_SQL} SELECT count(*) AS n, sum((text_score >= 0.5)::INT)::BIGINT AS flagged, round(sum((text_score >= 0.5)::INT) / count(*), 9) AS recall FROM calls WHERE label = 1 AND text_score IS NOT NULL")
@@ -164,31 +174,56 @@ def best_checkpoint(spark, sf_dir):
     return fx.table(spark, sf_dir, "events").agg(F.min_by("event_id", F.struct(F.round("value"), -F.col("event_id"))).alias("event_id"))
 
 
-@query()
+_THRESHOLDS = (("text_score", 0.5), ("signature_severity", 2.0), ("risk_high", 0.65), ("risk_suspicious", 0.35))
+
+
+@query(f"""WITH {PRED_SQL}, parts AS (
+  {" UNION ALL ".join(f"SELECT 'thresholds' AS part, '{k}' AS name, NULL::BIGINT AS call_id, {v}::DOUBLE AS value" for k, v in _THRESHOLDS)}
+  UNION ALL SELECT 'summary', config || '.' || what, NULL, v FROM (UNPIVOT (SELECT config, tp::DOUBLE AS tp, fn::DOUBLE AS fn, fp::DOUBLE AS fp, tn::DOUBLE AS tn FROM conf) ON tp, fn, fp, tn INTO NAME what VALUE v)
+  UNION ALL SELECT 'records', config, call_id, CASE WHEN (label = 1) = predicted THEN 1 ELSE 0 END FROM rows_) SELECT * FROM parts""")
 def write_eval_report(spark, sf_dir):
+    """Thresholds, summary and records, written as tables of one report and read back as (part, name, call_id, value)."""
     path = files.scratch_path(spark, "report")
     r = rows(spark, sf_dir)
-    files.write_report({"summary": evaluate.confusion(r, "config"), "records": r}, path)
-    return spark.read.json(f"{path}/summary")
+    correct = ((F.col("label") == 1) == F.col("predicted")).cast("double")
+    thresholds = spark.createDataFrame(list(_THRESHOLDS), "name string, value double")
+    files.write_report({"thresholds": thresholds, "summary": evaluate.confusion(r, "config"), "records": r.select("call_id", "config", "label", "predicted", correct.alias("correct"))}, path)
+    read = lambda part: spark.read.json(f"{path}/{part}")
+    none = F.lit(None).cast("long").alias("call_id")
+    summary = read("summary").select("config", *[F.col(c).cast("double").alias(c) for c in ("tp", "fn", "fp", "tn")]).unpivot("config", ["tp", "fn", "fp", "tn"], "what", "value")
+    parts = [
+        read("thresholds").select(F.lit("thresholds").alias("part"), "name", none, "value"),
+        summary.select(F.lit("summary").alias("part"), F.concat_ws(".", "config", "what").alias("name"), none, "value"),
+        read("records").select(F.lit("records").alias("part"), F.col("config").alias("name"), "call_id", F.col("correct").alias("value")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@query()
+_FIGURES = ("accuracy", "precision", "recall", "f1")
+
+
+@query(f"WITH {PRED_SQL}, m AS ({_metrics_sql('rows_', 'config')}), l AS (UNPIVOT m ON {', '.join(_FIGURES)} INTO NAME metric VALUE value) SELECT run, config AS split, metric, value FROM l, (VALUES ('first'), ('second')) r(run)")
 def write_metrics(spark, sf_dir):
+    """All figures of two runs, one appended to the other."""
     path = files.scratch_path(spark, "metrics")
-    m = evaluate.class_metrics(rows(spark, sf_dir), "config").select(F.col("config").alias("split"), F.lit("f1").alias("metric"), F.col("f1").alias("value"))
+    m = _rounded(evaluate.class_metrics(rows(spark, sf_dir), "config"), "config").unpivot("config", list(_FIGURES), "metric", "value").withColumnRenamed("config", "split")
     for run in ("first", "second"):
         files.append_metrics(m, run, path)
     return spark.read.parquet(path)
 
 
-@query(f"WITH {PRED_SQL}, base(config, known) AS (VALUES ('text_only', 0.5)) SELECT config, tp, round(known::DOUBLE, 6) AS known FROM conf LEFT JOIN base USING (config)")
+@query(f"WITH {PRED_SQL}, probe AS (SELECT sum((text_score >= 0.5)::INT)::BIGINT AS flagged, count(*) AS n FROM calls WHERE label = 1 AND text_score IS NOT NULL) SELECT config, tp, flagged, round(flagged / n, 9) AS recall, NULL::DOUBLE AS other FROM conf, probe")
 def baseline_context(spark, sf_dir):
-    """Known figures beside the summary; what isn't known is null."""
-    known = spark.createDataFrame([("text_only", 0.5)], "config string, known double")
-    return evaluate.confusion(rows(spark, sf_dir), "config").join(F.broadcast(known), "config", "left").select("config", "tp", "known")
+    """A run's committed probe figures, read from its JSON document, beside the summary; fields that it lacks are null."""
+    path = files.scratch_path(spark, "baseline")
+    probe = probe_heldout(spark, sf_dir)
+    files.write_document(probe.select(F.struct(F.col("flagged"), "n", "recall").alias("probe")), path)
+    known = files.read_baseline(spark, path, "probe", {"flagged": "long", "recall": "double", "other": "double"})
+    summary = evaluate.confusion(rows(spark, sf_dir), "config")
+    return summary.join(F.broadcast(known), F.lit(True), "left").select("config", "tp", "flagged", "recall", "other")  # one row
 
 
-@query(f"WITH {fx.CHUNKS_SQL} SELECT session_id, seq, right(string_agg(chunk, ' ') OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN 1500 PRECEDING AND CURRENT ROW), 3000) AS transcript FROM chunks")
+@query(f"WITH {fx.TEXTS_SQL} SELECT session_id, seq, transcript FROM texts")
 def rolling_transcript(spark, sf_dir):
     return sessions.rolling_transcript(fx.chunks(spark, sf_dir), "session_id", "seq", "chunk").select("session_id", "seq", "transcript")
 
@@ -204,17 +239,24 @@ def session_evict(spark, sf_dir):
     return sessions.evict(s, "last_seen", "session_id")
 
 
-LEVELS_SQL = f"""RECURSIVE {fx.CHUNKS_SQL}, o AS (SELECT session_id, seq, risk_score AS x, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS r FROM chunks),
+def levels_sql(ctes: str, table: str, score: str) -> str:
+    """CTEs that end with lv(session_id, seq, r, level), the level folded over the rows of a table."""
+    up_high, up_susp, down_low, down_susp = "0.65::DOUBLE + 0.05::DOUBLE", "0.35::DOUBLE + 0.05::DOUBLE", "0.35::DOUBLE - 0.05::DOUBLE", "0.65::DOUBLE - 0.05::DOUBLE"
+    from_low = f"CASE WHEN x >= {up_high} THEN 'high' WHEN x >= {up_susp} THEN 'suspicious' ELSE 'low' END"
+    return f"""RECURSIVE {ctes}, o AS (SELECT session_id, seq, {score} AS x, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS r FROM {table}),
 lv(session_id, seq, r, level) AS (
-  SELECT session_id, seq, r, CASE WHEN x >= 0.65::DOUBLE + 0.05::DOUBLE THEN 'high' WHEN x >= 0.35::DOUBLE + 0.05::DOUBLE THEN 'suspicious' ELSE 'low' END FROM o WHERE r = 1
+  SELECT session_id, seq, r, {from_low} FROM o WHERE r = 1
   UNION ALL
   SELECT o.session_id, o.seq, o.r, CASE lv.level
-    WHEN 'low' THEN CASE WHEN x >= 0.65::DOUBLE + 0.05::DOUBLE THEN 'high' WHEN x >= 0.35::DOUBLE + 0.05::DOUBLE THEN 'suspicious' ELSE 'low' END
-    WHEN 'suspicious' THEN CASE WHEN x >= 0.65::DOUBLE + 0.05::DOUBLE THEN 'high' WHEN x <= 0.35::DOUBLE - 0.05::DOUBLE THEN 'low' ELSE 'suspicious' END
-    ELSE CASE WHEN x <= 0.35::DOUBLE - 0.05::DOUBLE THEN 'low' WHEN x <= 0.65::DOUBLE - 0.05::DOUBLE THEN 'suspicious' ELSE 'high' END END
+    WHEN 'low' THEN {from_low}
+    WHEN 'suspicious' THEN CASE WHEN x >= {up_high} THEN 'high' WHEN x <= {down_low} THEN 'low' ELSE 'suspicious' END
+    ELSE CASE WHEN x <= {down_low} THEN 'low' WHEN x <= {down_susp} THEN 'suspicious' ELSE 'high' END END
   FROM lv JOIN o ON o.session_id = lv.session_id AND o.r = lv.r + 1)"""
 
 
+LEVELS_SQL = levels_sql(fx.CHUNKS_SQL, "chunks", "risk_score")
+
+
 def levels(spark, sf_dir):
     return sessions.hysteresis(fx.chunks(spark, sf_dir), "session_id", "seq", "risk_score")
 
@@ -247,6 +289,12 @@ def interim_delta(spark, sf_dir):
     return t.withColumn("prev", F.lag("cur").over(w)).select("conv_id", "turn", sessions.interim_delta(F.col("cur"), F.col("prev")).alias("delta"))
 
 
-@query(f"WITH {fx.CHUNKS_SQL} SELECT session_id, time_bucket(INTERVAL 2500 MILLISECONDS, ts, TIMESTAMP '1970-01-01') AS start, arg_max(chunk, seq) AS chunk FROM chunks GROUP BY ALL")
+@query("""WITH RECURSIVE e AS (SELECT user_id AS session_id, event_id AS seq, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+sent(session_id, seq, ts, r, last, flushed) AS (
+  SELECT session_id, seq, ts, r, ts, true FROM e WHERE r = 1
+  UNION ALL
+  SELECT e.session_id, e.seq, e.ts, e.r, CASE WHEN e.ts >= s.last + INTERVAL 30 MINUTE THEN e.ts ELSE s.last END, e.ts >= s.last + INTERVAL 30 MINUTE FROM sent s JOIN e ON e.session_id = s.session_id AND e.r = s.r + 1)
+SELECT session_id, seq, ts FROM sent WHERE flushed""")
 def interim_throttle(spark, sf_dir):
-    return sessions.throttle(fx.chunks(spark, sf_dir), "session_id", "ts", "seq", "chunk")
+    """Half an hour after the last flush, as the table's events lie that far apart."""
+    return sessions.throttle(fx.chunks(spark, sf_dir), "session_id", "ts", "seq", 30 * 60 * 1000)

@@ -26,18 +26,25 @@ TEMPLATES = (
 )
 SCAMS = 12
 K = len(TEMPLATES)
+SPOKEN, BLANK = 53, 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table that is read in fewer tasks than there are cores, dealt out anew; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(call_id, text, label, scam_type, source, lang, text_score, audio_score)."""
     k = F.col("doc_id") % K
     sentence = F.get(F.array(*map(F.lit, TEMPLATES)), k.cast("int"))
     label = F.when(k < SCAMS, 1).otherwise(0)
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("call_id"),
         F.concat(F.lit("Caller: "), sentence, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"),
         label.alias("label"),
@@ -49,11 +56,17 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def as_chunks(events: DataFrame) -> DataFrame:
+    """(session_id, seq, ts, chunk, risk_score) of events, batch or stream; one chunk in SPOKEN says a sentence, one in BLANK is blank."""
+    e = F.col("event_id")
+    sentence = F.get(F.array(*map(F.lit, TEMPLATES)), F.floor(e / SPOKEN).cast("int") % K)
+    plain = F.concat(F.col("event_type"), F.lit(" number "), e.cast("string"), F.when(e % SPOKEN == 0, F.concat(F.lit(" "), sentence)).otherwise(""), F.lit(" "))
+    chunk = F.when(e % BLANK == 0, "  ").otherwise(plain)
+    return events.select(F.col("user_id").alias("session_id"), e.alias("seq"), "ts", chunk.alias("chunk"), ((e * 37 % 101) / 100.0).alias("risk_score"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(session_id, seq, ts, chunk, risk_score) of the events."""
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), "ts", F.concat(F.col("event_type"), F.lit(" number "), F.col("event_id").cast("string")).alias("chunk"), ((F.col("event_id") * 37 % 101) / 100.0).alias("risk_score")
-    )
+    return as_chunks(table(spark, sf_dir, "events"))
 
 
 _VALUES = ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(TEMPLATES))
@@ -67,8 +80,15 @@ calls AS (
     CASE WHEN doc_id % 3 <> 0 THEN (doc_id * 53 % 101) / 100.0::DOUBLE END AS audio_score
   FROM documents JOIN templates ON doc_id % {K} = k)
 """
-CHUNKS_SQL = """
+CHUNKS_SQL = f"""
+sentences(k, t) AS (VALUES {_VALUES}),
 chunks AS (
-  SELECT user_id AS session_id, event_id AS seq, ts, event_type || ' number ' || event_id AS chunk,
-    (event_id * 37 % 101) / 100.0::DOUBLE AS risk_score FROM events)
+  SELECT user_id AS session_id, event_id AS seq, ts,
+    CASE WHEN event_id % {BLANK} = 0 THEN '  ' ELSE event_type || ' number ' || event_id || CASE WHEN event_id % {SPOKEN} = 0 THEN ' ' || t ELSE '' END || ' ' END AS chunk,
+    (event_id * 37 % 101) / 100.0::DOUBLE AS risk_score FROM events JOIN sentences ON (event_id // {SPOKEN}) % {K} = k)
+"""
+#: The rolling text at each chunk, as the state has it.
+TEXTS_SQL = f"""{CHUNKS_SQL},
+said AS (SELECT session_id, seq, nullif(rtrim(chunk), '') AS s, count(nullif(rtrim(chunk), '')) OVER (PARTITION BY session_id ORDER BY seq) AS n FROM chunks),
+texts AS (SELECT session_id, seq, right(coalesce(string_agg(s, ' ') OVER (PARTITION BY session_id ORDER BY n RANGE BETWEEN 1500 PRECEDING AND CURRENT ROW), ''), 3000) AS transcript FROM said)
 """

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..operators import audio, textmodel
+from ..operators import audio, evaluate, scorers, textmodel
 from ..sources import files
 from ..streaming import sessions as live
 from . import fixtures as fx
+from .evaluation import levels_sql
+from .scoring import SCORED_TEXTS_SQL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-LIMIT = 300  # of the queries that have SQL
-FAMILY_TERMS = 30_000  # of each family of terms that the models learn from
-
 
 def query(sql=None, name=None):
     def put(f):
@@ -32,130 +32,137 @@ def turns(spark, sf_dir):
 
 
 # Words are matched without look-arounds, so both engines split alike on letters of any language.
-TURNS_SQL = r"""turns AS (SELECT conv_id * 1000 + turn AS id, coalesce(text, '') AS text, CAST(role = 'assistant' AS INT) AS label FROM conversations),
-toks AS (SELECT id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 1) AS w FROM turns),
+TURNS_SQL = rf"""turns AS (SELECT conv_id * 1000 + turn AS id, coalesce(text, '') AS text, CAST(role = 'assistant' AS INT) AS label FROM conversations),
+toks AS (SELECT id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 1) AS w FROM turns),
 grams AS (SELECT id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM toks),
-terms AS (SELECT id, term, count(*) AS tf FROM grams GROUP BY ALL),
-vocab AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM terms GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 300),
-raw AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM turns)) / (1 + df)) + 1) AS w FROM terms JOIN vocab USING (term)),
-tfidf AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw)"""
+sizes AS (SELECT unnest([3, 4, 5]) AS n),
+runs AS (SELECT id, substring(t, i, n) AS term FROM (SELECT id, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM (SELECT id, lower(text) AS t FROM turns), sizes WHERE length(t) >= n)),
+terms AS (SELECT 'word' AS family, id, term, count(*) AS tf FROM grams GROUP BY ALL UNION ALL SELECT 'char', id, term, count(*) FROM runs GROUP BY ALL),
+vocab AS (SELECT family, term, df, total FROM (
+  SELECT *, row_number() OVER (PARTITION BY family ORDER BY total DESC, term) AS r FROM (SELECT family, term, count(*) AS df, sum(tf)::BIGINT AS total FROM terms GROUP BY ALL HAVING count(*) >= 2)) WHERE r <= {textmodel.FAMILY_TERMS}),
+raw AS (SELECT family, id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM turns)) / (1 + df)) + 1) AS w FROM terms JOIN vocab USING (family, term)),
+tfidf AS (SELECT family, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id, family)) AS w FROM raw)"""
 
 
 def terms(spark, sf_dir):
-    return textmodel.word_ngrams(turns(spark, sf_dir), "id", "text")
+    """The terms of both families, written out, as vocabulary and weights both read them."""
+    path = files.scratch_path(spark, "terms")
+    textmodel.two_families(turns(spark, sf_dir), "id", "text").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def vocabulary(spark, terms_):
+    """The vocabulary of both families, written out."""
+    path = files.scratch_path(spark, "vocabulary")
+    textmodel.vocabulary(terms_).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def weights(spark, sf_dir):
     t = terms(spark, sf_dir)
-    v = textmodel.vocabulary(t, 2, LIMIT)
+    v = vocabulary(spark, t)
     return textmodel.tfidf(t, v, turns(spark, sf_dir).count(), "id"), v
 
 
-@query(f"WITH {TURNS_SQL} SELECT * FROM terms")
+@query(f"WITH {TURNS_SQL} SELECT id, term, tf FROM terms WHERE family = 'word'")
 def word_ngrams(spark, sf_dir):
-    return terms(spark, sf_dir)
+    return textmodel.word_ngrams(turns(spark, sf_dir), "id", "text")
 
 
-@query("""WITH t AS (SELECT conv_id * 1000 + turn AS id, lower(text) AS t FROM conversations), n AS (SELECT unnest([3, 4, 5]) AS n),
-g AS (SELECT id, substring(t, i, n) AS term FROM (SELECT id, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM t, n WHERE length(t) >= n))
-SELECT id, count(*) AS distinct_terms, sum(tf)::BIGINT AS total FROM (SELECT id, term, count(*) AS tf FROM g GROUP BY ALL) GROUP BY id""")
+@query(f"WITH {TURNS_SQL} SELECT id, term, tf FROM terms WHERE family = 'char'")
 def char_ngrams(spark, sf_dir):
-    g = textmodel.char_ngrams(turns(spark, sf_dir), "id", "text")
-    return g.groupBy("id").agg(F.count("*").alias("distinct_terms"), F.sum("tf").alias("total"))
+    return textmodel.char_ngrams(turns(spark, sf_dir), "id", "text")
 
 
 @query(f"WITH {TURNS_SQL} SELECT * FROM vocab")
 def vocab_select(spark, sf_dir):
-    return textmodel.vocabulary(terms(spark, sf_dir), 2, LIMIT)
+    return textmodel.vocabulary(terms(spark, sf_dir))
 
 
-@query(f"WITH {TURNS_SQL} SELECT id, term, round(1 + ln(tf), 9) AS w FROM terms")
+@query(f"WITH {TURNS_SQL} SELECT family, id, term, round(1 + ln(tf), 9) AS w FROM terms")
 def tf_sublinear(spark, sf_dir):
-    return terms(spark, sf_dir).select("id", "term", F.round(textmodel.tf_sublinear(F.col("tf")), 9).alias("w"))
+    t = textmodel.two_families(turns(spark, sf_dir), "id", "text")
+    return t.select("family", "id", "term", F.round(textmodel.tf_sublinear(F.col("tf")), 9).alias("w"))
 
 
-@query(f"WITH {TURNS_SQL} SELECT term, round(ln((1 + (SELECT count(*) FROM turns)) / (1 + df)) + 1, 9) AS idf FROM vocab")
+@query(f"WITH {TURNS_SQL} SELECT family, term, round(ln((1 + (SELECT count(*) FROM turns)) / (1 + df)) + 1, 9) AS idf FROM vocab")
 def idf_smooth(spark, sf_dir):
     n = turns(spark, sf_dir).count()
-    return textmodel.vocabulary(terms(spark, sf_dir), 2, LIMIT).select("term", F.round(textmodel.idf_smooth(F.col("df"), F.lit(n)), 9).alias("idf"))
+    return textmodel.vocabulary(terms(spark, sf_dir)).select("family", "term", F.round(textmodel.idf_smooth(F.col("df"), F.lit(n)), 9).alias("idf"))
 
 
-@query(f"WITH {TURNS_SQL} SELECT id, term, round(w, 6) AS w FROM tfidf")
+@query(f"WITH {TURNS_SQL} SELECT family, id, term, round(w, 6) AS w FROM tfidf")
 def tfidf_l2(spark, sf_dir):
-    return weights(spark, sf_dir)[0].select("id", "term", F.round("w", 6).alias("w"))
-
-
-def _families(spark, sf_dir):
-    """(family, terms, vocabulary) of words and of characters; a term begins with its family."""
-    t = turns(spark, sf_dir)
-    for family, made in (("word", textmodel.word_ngrams(t, "id", "text")), ("char", textmodel.char_ngrams(t, "id", "text"))):
-        made = made.withColumn("term", F.concat(F.lit(f"{family}:"), "term"))
-        yield family, made, textmodel.vocabulary(made, 2, FAMILY_TERMS)
+    return weights(spark, sf_dir)[0].select("family", "id", "term", F.round("w", 6).alias("w"))
 
 
 def _vectors(spark, sf_dir):
-    """Vectors of both families, each normalised by itself."""
-    t = turns(spark, sf_dir)
-    n, found = t.count(), list(_families(spark, sf_dir))
-    w = [textmodel.tfidf(terms, vocab, n, "id") for _, terms, vocab in found]
-    return textmodel.as_vectors(w[0].unionByName(w[1]), found[0][2].unionByName(found[1][2]), t.select("id", "label"), "id", 2 * FAMILY_TERMS)
+    """(vectors of both families as written out, the vocabulary); a fifth of the turns is for validation, a fifth for the test."""
+    t, path = turns(spark, sf_dir), files.scratch_path(spark, "vectors")
+    w, v = weights(spark, sf_dir)
+    part = F.pmod(F.xxhash64("id", F.lit(42)), F.lit(5))
+    d = textmodel.as_vectors(w, v, t.select("id", "label"), "id", 2 * textmodel.FAMILY_TERMS)
+    d.withColumn("split", F.when(part == 0, "val").when(part == 1, "test").otherwise("train")).write.parquet(path)
+    return spark.read.parquet(path), v
 
 
 @query()
 def logreg_fit(spark, sf_dir):
-    """Accuracy of the fitted model on its own rows."""
-    d = _vectors(spark, sf_dir).cache()
-    m = textmodel.fit_logreg(d, 1.0, 50)
-    return m.transform(d).agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+    """Metrics of the fitted model on the rows that it learned from and on those that it did not."""
+    d, _ = _vectors(spark, sf_dir)
+    m = textmodel.fit_logreg(d.filter("split = 'train'"), 1.0)
+    scored = m.transform(d).select("split", "label", (F.col("prediction") == 1).alias("predicted"), vector_to_array("probability")[1].alias("score"))
+    return evaluate.class_metrics(scored, "split").join(evaluate.roc_auc(scored, "split"), "split")
 
 
 @query()
 def logreg_tune_c(spark, sf_dir):
     """F1 on held-out turns for each strength, and the first best."""
-    d = _vectors(spark, sf_dir).cache()
-    val = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
-    found = textmodel.tune_c(d.filter(~val), d.filter(val))
+    d, _ = _vectors(spark, sf_dir)
+    found = textmodel.tune_c(d.filter("split = 'train'"), d.filter("split = 'val'"))
     best = max(found, key=lambda x: x[1])[0]
     return spark.createDataFrame([(c, f, c == best) for c, f in found], "c double, f1 double, best boolean")
 
 
+@query()
+def model_persist(spark, sf_dir):
+    """A fitted model as a table, loaded again: terms with idf and coefficient, intercept and best C beside them."""
+    d, v = _vectors(spark, sf_dir)
+    path, c = files.scratch_path(spark, "model"), 1.0
+    textmodel.model_table(v, d.count(), textmodel.fit_logreg(d.filter("split = 'train'"), c), c).write.parquet(path)
+    found, intercept, best = textmodel.load_model(spark, path)
+    return found.withColumns({"intercept": F.lit(intercept), "best_c": F.lit(best)})
+
+
 _COEF = "((ascii(substring(term, 1, 1)) * 31 + length(term) * 17) % 41 - 20) / 10.0"
 
 
-def _coefficients(spark, sf_dir):
-    v = textmodel.vocabulary(terms(spark, sf_dir), 2, LIMIT)
-    return v.select("term", F.expr(f"cast({_COEF} as double)").alias("coef"))
+def _coefficients(v):
+    return v.select("family", "term", F.expr(f"cast({_COEF} as double)").alias("coef"))
 
 
-COEF_SQL = f"{TURNS_SQL}, coefs AS (SELECT term, CAST((ascii(substring(term, 1, 1)) * 31 + length(term) * 17) % 41 - 20 AS DOUBLE) / 10.0::DOUBLE AS coef FROM vocab)"
+COEF_SQL = f"{TURNS_SQL}, coefs AS (SELECT family, term, CAST((ascii(substring(term, 1, 1)) * 31 + length(term) * 17) % 41 - 20 AS DOUBLE) / 10.0::DOUBLE AS coef FROM vocab)"
 
 
-@query(f"WITH {COEF_SQL} SELECT t.id, CASE WHEN trim(any_value(text)) <> '' THEN round(1 / (1 + exp(-(coalesce(sum(w * coef), 0) - 0.5::DOUBLE))), 6) END AS prob FROM turns t LEFT JOIN (SELECT id, w, coef FROM tfidf JOIN coefs USING (term)) x USING (id) GROUP BY t.id")
+@query(f"WITH {COEF_SQL} SELECT t.id, CASE WHEN trim(any_value(text)) <> '' THEN round(1 / (1 + exp(-(coalesce(sum(w * coef), 0) - 0.5::DOUBLE))), 6) END AS prob FROM turns t LEFT JOIN (SELECT id, w, coef FROM tfidf JOIN coefs USING (family, term)) x USING (id) GROUP BY t.id")
 def logreg_score(spark, sf_dir):
-    s = textmodel.logreg_score(turns(spark, sf_dir), weights(spark, sf_dir)[0], _coefficients(spark, sf_dir), -0.5, "id", "text")
+    w, v = weights(spark, sf_dir)
+    s = textmodel.logreg_score(turns(spark, sf_dir), w, _coefficients(v), -0.5, "id", "text")
     return s.select("id", F.round("prob", 6).alias("prob"))
 
 
-@query(f"WITH {COEF_SQL} (SELECT 'high' AS side, term, coef FROM coefs ORDER BY coef DESC, term LIMIT 25) UNION ALL (SELECT 'low', term, coef FROM coefs ORDER BY coef, term LIMIT 25)")
+@query(f"WITH {COEF_SQL} (SELECT 'high' AS side, term, coef FROM coefs WHERE family = 'word' ORDER BY coef DESC, term LIMIT 25) UNION ALL (SELECT 'low', term, coef FROM coefs WHERE family = 'word' ORDER BY coef, term LIMIT 25)")
 def top_features(spark, sf_dir):
-    c = _coefficients(spark, sf_dir)
+    """The words with the highest and lowest coefficients; their number is the operator's feature."""
+    c = _coefficients(vocabulary(spark, terms(spark, sf_dir))).filter("family = 'word'")
     high = c.orderBy(F.desc("coef"), "term").limit(25).select(F.lit("high").alias("side"), "term", "coef")
     return high.unionByName(c.orderBy("coef", "term").limit(25).select(F.lit("low").alias("side"), "term", "coef"))
 
 
-@query()
-def model_persist(spark, sf_dir):
-    """Coefficients of both families written as a table and read back."""
-    path = files.scratch_path(spark, "model")
-    (words, chars) = [v.select(F.lit(family).alias("family"), F.expr(f"substring(term, {len(family) + 2})").alias("term")) for family, _, v in _families(spark, sf_dir)]
-    words.unionByName(chars).withColumn("coef", F.expr(f"cast({_COEF} as double)")).write.parquet(path)
-    return spark.read.parquet(path)
-
-
-@query(f"WITH {TURNS_SQL} SELECT CASE WHEN term LIKE '% %' THEN 'pair' ELSE 'word' END AS family, count(*) AS n FROM vocab GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM vocab")
+@query(f"WITH {TURNS_SQL} SELECT family, count(*) AS n FROM vocab GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM vocab")
 def feature_dims(spark, sf_dir):
-    v = textmodel.vocabulary(terms(spark, sf_dir), 2, LIMIT)
-    return v.rollup(F.when(F.contains("term", F.lit(" ")), "pair").otherwise("word").alias("family")).agg(F.count("*").alias("n")).select(F.coalesce("family", F.lit("total")).alias("family"), "n")
+    v = textmodel.vocabulary(terms(spark, sf_dir))
+    return v.rollup("family").agg(F.count("*").alias("n")).select(F.coalesce("family", F.lit("total")).alias("family"), "n")
 
 
 def _tokens(spark, sf_dir):
@@ -199,61 +206,81 @@ def fit_window(spark, sf_dir):
     return m.select("vec_id", F.size("m").alias("n"), F.round(F.aggregate("m", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query()
+@query("""WITH w AS (SELECT vec_id, embedding AS e, len(embedding) AS n, CAST('0x' || substring(md5(vec_id || '|1|42'), 1, 8) AS BIGINT) % greatest(len(embedding) - 19, 1) AS s FROM embeddings)
+SELECT vec_id, s AS start, round(list_sum(list_transform(e[s + 1:s + 20], lambda x: x::DOUBLE)), 4) AS total, 20 AS n FROM w""")
 def random_crop(spark, sf_dir):
-    m = _waves(spark, sf_dir).select("vec_id", audio.random_crop(F.col("samples"), F.col("vec_id"), 1, 20).alias("m"))
-    return m.select("vec_id", F.size("m").alias("n"))
+    m = _waves(spark, sf_dir).select("vec_id", audio.crop_start(F.size("samples"), F.col("vec_id"), 1, 20).alias("start"), audio.random_crop(F.col("samples"), F.col("vec_id"), 1, 20).alias("m"))
+    return m.select("vec_id", "start", F.round(F.aggregate("m", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size("m").alias("n"))
 
 
-@query()
+@query("""WITH p AS (SELECT vec_id, embedding AS e, len(embedding) AS n, round_even(len(embedding) / 16000.0 * 11025, 0)::INT AS m FROM embeddings),
+q AS (SELECT vec_id, e, n, m, k * n / m AS x FROM (SELECT *, unnest(range(0, m)) AS k FROM p)),
+v AS (SELECT vec_id, m, e[floor(x)::INT + 1]::DOUBLE AS a, e[least(floor(x)::INT + 2, n)]::DOUBLE AS b, x - floor(x) AS f FROM q)
+SELECT vec_id, any_value(m) AS n, round(sum(a + (b - a) * f), 4) AS total FROM v GROUP BY vec_id""")
 def resample_linear(spark, sf_dir):
-    m = _waves(spark, sf_dir).select("vec_id", audio.resample_linear(16_000, 8_000)("samples").alias("m"))
-    return m.select("vec_id", F.size("m").alias("n"))
+    m = _waves(spark, sf_dir).select("vec_id", audio.resample_linear(F.col("samples"), 16_000, 11_025).alias("m"))
+    return m.select("vec_id", F.size("m").alias("n"), F.round(F.aggregate("m", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+def _mean_logits(x):
+    """Stands for a voice model: a logit for each row of a batch."""
+    return 3 * x.astype(float).mean(axis=1)
 
 
-@query("SELECT vec_id, CASE WHEN vec_id % 10 <> 3 THEN round(list_avg(list_transform(embedding, lambda x: x::DOUBLE)), 4) END AS score FROM embeddings")
+_MEAN = "list_avg(list_transform(embedding || list_transform(range(0, greatest(80 - len(embedding), 0)), lambda i: 0::FLOAT), lambda x: x::DOUBLE))"
+
+
+@query(f"SELECT vec_id, CASE WHEN vec_id % 10 <> 3 THEN round(1 / (1 + exp(-3 * {_MEAN})), 4) END AS score FROM embeddings")
 def audio_score(spark, sf_dir):
-    """A pluggable scorer; rows it fails on get null."""
-    scorer = audio.guarded_scorer(lambda x: float(x.astype(float).mean()))
+    """A batch model's logits as probabilities; rows without samples get null."""
+    model = scorers.AudioScorer("mean", _mean_logits, 80)
     w = _waves(spark, sf_dir)
-    return w.select("vec_id", F.round(scorer(F.when(F.col("vec_id") % 10 != 3, F.col("samples"))), 4).alias("score"))
+    return w.select("vec_id", F.round(model.column(F.when(F.col("vec_id") % 10 != 3, F.col("samples"))), 4).alias("score"))
 
 
-@query("SELECT vec_id, CASE WHEN embedding[1] >= 0 THEN 1.0::DOUBLE END AS score FROM embeddings")
+@query("SELECT vec_id, CASE WHEN embedding[1] >= 0 THEN 0.5::DOUBLE END AS score FROM embeddings")
 def null_on_failure(spark, sf_dir):
-    """A scorer that raises for some rows."""
+    """A model that raises for some rows: the others of their batches are scored."""
 
     def picky(x):
-        if x[0] < 0:
+        if (x[:, 0] < 0).any():
             raise ValueError("not for me")
-        return 1.0
+        return 0 * x[:, 0]
 
-    return _waves(spark, sf_dir).select("vec_id", audio.guarded_scorer(picky)("samples").alias("score"))
+    return _waves(spark, sf_dir).select("vec_id", scorers.AudioScorer("picky", picky, 80).column(F.col("samples")).alias("score"))
 
 
-QUERIES["register_audio_scorer"], SQL["register_audio_scorer"] = QUERIES["audio_score"], SQL["audio_score"]
+@query(f"SELECT vec_id, 'mean,first' AS loaded, round(greatest(1 / (1 + exp(-3 * {_MEAN})), 1 / (1 + exp(-embedding[1]::DOUBLE))), 4) AS score FROM embeddings")
+def register_audio_scorer(spark, sf_dir):
+    """The highest of all registered voice models; one of them has no model."""
+    known = scorers.Registry().register(scorers.AudioScorer("mean", _mean_logits, 80)).register(scorers.AudioScorer("absent")).register(scorers.AudioScorer("first", lambda x: x[:, 0], 80))
+    return _waves(spark, sf_dir).select("vec_id", F.lit(",".join(known.loaded())).alias("loaded"), F.round(known.ensemble(F.col("samples")), 4).alias("score"))
 
 
-@query("SELECT conv_id * 1000 + turn AS id, length(text) / 1000.0::DOUBLE AS score FROM conversations")
+@query("""SELECT conv_id * 1000 + turn AS id, CASE WHEN trim(text) <> '' THEN round(greatest(length(text) / (length(text) + 100.0::DOUBLE), CASE WHEN starts_with(lower(text), 'a') THEN 0.9::DOUBLE ELSE 0 END), 9) END AS score,
+  'length,start' AS loaded FROM conversations""")
 def register_text_scorer(spark, sf_dir):
-    """A scorer is a function of columns."""
-    scorers = {"length": lambda t: F.length(t) / 1000.0}
-    return turns(spark, sf_dir).select("id", scorers["length"](F.col("text")).alias("score"))
-
-
-def _streamed(spark, sf_dir):
-    out, state = files.scratch_path(spark, "stream-out"), files.scratch_path(spark, "stream-state")
-    live.run_once(live.score_stream(live.read_chunks(spark, sf_dir)), out, state)
-    return spark.read.schema(live.OUTPUT).parquet(out)
+    """The highest of all registered text scorers; one of them has no model."""
+    known = scorers.Registry().register(scorers.TextScorer("length", lambda t: F.length(t) / (F.length(t) + 100.0))).register(scorers.TextScorer("absent"))
+    known.register(scorers.TextScorer("start", lambda t: F.when(F.startswith(F.lower(t), F.lit("a")), 0.9).otherwise(0.0)))
+    return turns(spark, sf_dir).select("id", F.round(known.ensemble(F.col("text")), 9).alias("score"), F.lit(",".join(known.loaded())).alias("loaded"))
 
 
-@query("SELECT event_id AS seq, user_id AS session_id, event_type || ' number ' || event_id AS chunk FROM events")
+@query(f"WITH {fx.CHUNKS_SQL} SELECT seq, session_id, chunk FROM chunks")
 def chunk_stream(spark, sf_dir):
     out, state = files.scratch_path(spark, "chunks-out"), files.scratch_path(spark, "chunks-state")
-    live.run_once(live.read_chunks(spark, sf_dir).select("seq", "session_id", "chunk"), out, state)
+    live.run_once(fx.as_chunks(live.read_events(spark, sf_dir)).select("seq", "session_id", "chunk"), out, state)
     return spark.read.parquet(out)
 
 
-@query()
+def _length_score(text):
+    """Stands for a text model."""
+    return F.length(text) / 6000.0
+
+
+@query(f"""WITH {levels_sql(SCORED_TEXTS_SQL, 'scored_texts', 'risk_score')}, d AS (SELECT *, lag(level) OVER (PARTITION BY session_id ORDER BY seq) AS was FROM lv)
+SELECT session_id, seq, n_chars, n_hits, hit_ids, round(risk_score, 9) AS risk_score, level, level = 'high' AND coalesce(was, 'low') <> 'high' AS alert, false AS late FROM d JOIN scored_texts USING (session_id, seq)""")
 def score_stream(spark, sf_dir):
-    return _streamed(spark, sf_dir)
+    """The events as live chunks: the rolling text is scored at each chunk, the level follows the scores."""
+    chunks = fx.as_chunks(live.read_events(spark, sf_dir)).select("session_id", "seq", "ts", "chunk")
+    return live.score_stream(chunks, files.scratch_path(spark, "stream"), _length_score).withColumn("risk_score", F.round("risk_score", 9))

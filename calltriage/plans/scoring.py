@@ -25,11 +25,13 @@ def query(sql: str | None = None, name: str | None = None):
 
 def _bare(pattern: str) -> str:
     """A pattern without look-arounds, for texts in which what they forbid is masked."""
-    return pattern.replace(signatures.NO_NEGATION, "").replace(r"pin(?!\s*(?:code|location))", "pin").replace("'", "''")
+    return pattern.replace(signatures.NO_NEGATION, "").replace(signatures.NO_PLACE, "").replace("'", "''")
 
 
 _CUES = "|".join(n.replace("'", "''") for n in signatures.NEGATIONS)
-_MASKED = rf"""regexp_replace(regexp_replace(text, '(?i)({_CUES}) ({signatures.REQUEST[2:]})', '\1_\2', 'g'), '(?i)\bpin(\s*(?:code|location))', 'p_n\1', 'g')"""
+_NO_NEGATED = rf"""regexp_replace({{}}, '(?i)({_CUES}) ({signatures.REQUEST[2:]})', '\1_\2', 'g')"""
+_NO_PLACES = r"""regexp_replace({}, '(?i)\bpin(\s*(?:code|location))', 'p_n\1', 'g')"""
+_MASKED = _NO_PLACES.format(_NO_NEGATED.format("text"))
 _FLAGS = ", ".join("({}) AS sig_{}".format(" OR ".join(f"regexp_matches(m, '(?i){_bare(p)}')" for p in r.patterns), r.id) for r in signatures.RULES)
 FLAGS_SQL = f"{fx.CALLS_SQL}, masked AS (SELECT *, {_MASKED} AS m FROM calls), flags AS (SELECT * EXCLUDE (m), {_FLAGS} FROM masked)"
 _RULES = ", ".join("({}, '{}', '{}', {}, '{}')".format(i, r.id, r.scam_type, r.severity, r.advice.replace("'", "''")) for i, r in enumerate(signatures.RULES))
@@ -48,6 +50,15 @@ fused AS (
 scored AS (SELECT *, CASE WHEN risk >= 0.65::DOUBLE THEN 'high' WHEN risk >= 0.35::DOUBLE THEN 'suspicious' ELSE 'low' END AS level FROM fused)"""
 
 
+_SUM = " + ".join(f"sig_{r.id}::INT * {dict([(1, 0.12), (2, 0.22), (3, 0.35)])[r.severity]}::DOUBLE" for r in signatures.RULES)
+_IDS = ", ".join(f"CASE WHEN sig_{r.id} THEN '{r.id}' END" for r in signatures.RULES)
+#: Rolling texts with hits, and fused with a text score of length / 6000.
+SCORED_TEXTS_SQL = f"""{fx.TEXTS_SQL}, masked AS (SELECT session_id, seq, transcript, {_NO_PLACES.format(_NO_NEGATED.format('transcript'))} AS m FROM texts),
+flags AS (SELECT session_id, seq, transcript, {_FLAGS} FROM masked),
+scored_texts AS (SELECT session_id, seq, length(transcript)::INT AS n_chars, ({' + '.join(f'sig_{r.id}::INT' for r in signatures.RULES)})::INT AS n_hits, array_to_string(list_filter([{_IDS}], lambda x: x IS NOT NULL), ',') AS hit_ids,
+  1 - (1 - length(transcript) / 6000.0::DOUBLE) * (1 - least({_SUM}, 1.0::DOUBLE) * 0.85::DOUBLE) AS risk_score FROM flags)"""
+
+
 def scored(spark, sf_dir):
     """Calls with hits, sums, risk and level: what every score query starts from."""
     c = signatures.summary(signatures.with_hits(fx.calls(spark, sf_dir)))
@@ -69,18 +80,28 @@ def sig_flags(spark, sf_dir):
     return signatures.with_flags(fx.calls(spark, sf_dir)).select("call_id", *[f"sig_{r.id}" for r in signatures.RULES])
 
 
-@query(f"WITH {FLAGS_SQL} SELECT call_id, sig_otp_pin_cvv_request AS asked FROM flags WHERE call_id % {fx.K} IN (0, 12)")
+_OTP = " OR ".join(f"regexp_matches(u, '(?i){_bare(p)}')" for p in signatures.RULES[0].patterns)
+
+
+def _guard_sql(mask: str) -> str:
+    return f"WITH {FLAGS_SQL}, raw AS (SELECT call_id, {mask.format('text')} AS u FROM calls) SELECT call_id, sig_otp_pin_cvv_request AS asked, {_OTP} AS unguarded FROM flags JOIN raw USING (call_id)"
+
+
+def _guarded(spark, sf_dir, guard):
+    rule = signatures.RULES[0]
+    return fx.calls(spark, sf_dir).select("call_id", signatures.flag(F.col("text"), rule).alias("asked"), signatures.flag(F.col("text"), signatures.without(rule, guard)).alias("unguarded"))
+
+
+@query(_guard_sql(_NO_PLACES))
 def sig_negation_guard(spark, sf_dir):
-    """A request and the same words after a negation."""
-    c = fx.calls(spark, sf_dir).filter((F.col("call_id") % fx.K).isin(0, 12))
-    return c.select("call_id", signatures.flag(F.col("text"), signatures.RULES[0]).alias("asked"))
+    """The rule for all calls, beside the rule that minds no negation."""
+    return _guarded(spark, sf_dir, signatures.NO_NEGATION)
 
 
-@query(f"WITH {FLAGS_SQL} SELECT call_id, sig_otp_pin_cvv_request AS asked FROM flags WHERE call_id % {fx.K} = 13")
+@query(_guard_sql(_NO_NEGATED))
 def sig_pin_guard(spark, sf_dir):
-    """A pin on a map is no secret."""
-    c = fx.calls(spark, sf_dir).filter(F.col("call_id") % fx.K == 13)
-    return c.select("call_id", signatures.flag(F.col("text"), signatures.RULES[0]).alias("asked"))
+    """The rule for all calls, beside the rule that takes a pin on a map for a secret."""
+    return _guarded(spark, sf_dir, signatures.NO_PLACE)
 
 
 @query()
@@ -117,9 +138,9 @@ def register_signature(spark, sf_dir):
     return signatures.with_flags(fx.calls(spark, sf_dir), rules[-1:]).select("call_id", "sig_meal")
 
 
-@query(f"WITH {HITS_SQL} SELECT call_id, round(risk, 6) AS risk FROM fused")
+@query(f"WITH {HITS_SQL} SELECT call_id, round(risk, 12) AS risk FROM fused")
 def noisy_or(spark, sf_dir):
-    return scored(spark, sf_dir).select("call_id", F.round("risk", 6).alias("risk"))
+    return scored(spark, sf_dir).select("call_id", F.round("risk", 12).alias("risk"))
 
 
 @query("SELECT doc_id AS call_id, CASE WHEN doc_id % 7 <> 0 THEN least(greatest((doc_id % 5) - 2.5::DOUBLE, 0), 1) END AS clamped FROM documents")
@@ -150,7 +171,7 @@ EXPLAIN_SQL = f"""{HITS_SQL},
 ranked AS (SELECT call_id, advice, row_number() OVER (PARTITION BY call_id ORDER BY severity DESC, pos) AS r FROM hits),
 listed AS (SELECT call_id, string_agg('- ' || advice, chr(10) ORDER BY r) FILTER (r <= 5) AS lines FROM ranked GROUP BY call_id),
 explained AS (
-  SELECT s.call_id, level, round(risk, 6) AS risk, n_hits, CASE
+  SELECT s.call_id, level, round(risk, 12) AS risk, n_hits, CASE
     WHEN level = 'low' THEN '{explain.LOW}'
     WHEN n_hits > 0 THEN 'This call shows ' || CASE WHEN level = 'high' THEN 'strong scam signs' ELSE 'some suspicious signs' END || ': '
       || CASE WHEN n_hits = 1 THEN '1 scam sign' ELSE n_hits || ' scam signs' END || ' in what was said.' || chr(10) || lines
@@ -166,7 +187,7 @@ explained AS (
 
 def _explained(spark, sf_dir):
     args = (F.col("hits"), F.col("text_score"), F.col("audio_score"))
-    return scored(spark, sf_dir).select("call_id", "level", F.round("risk", 6).alias("risk"), F.col("n_hits"), explain.explanation(F.col("level"), *args).alias("explanation"), explain.reasons(*args).alias("reasons"))
+    return scored(spark, sf_dir).select("call_id", "level", F.round("risk", 12).alias("risk"), F.col("n_hits"), explain.explanation(F.col("level"), *args).alias("explanation"), explain.reasons(*args).alias("reasons"))
 
 
 @query(f"WITH {EXPLAIN_SQL} SELECT call_id, explanation FROM explained")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CALLS = "id string, source string, text string, label int, scam_type string, origin string"
 # Folder names of genuine and of made voices.
@@ -14,8 +16,12 @@ FAKE_FOLDERS = ("fake", "spoof", "spoofed", "deepfake")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    """A new path in the folder that driver and executors share; a local session may do without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -39,6 +45,22 @@ def write_report(tables: dict[str, DataFrame], path: str) -> None:
         df.write.json(f"{path}/{name}")
 
 
+def write_document(document: DataFrame, path: str) -> None:
+    """A few rows as one JSON file."""
+    document.coalesce(1).write.json(path)
+
+
+def read_baseline(spark: SparkSession, path: str, block: str, fields: dict[str, str]) -> DataFrame:
+    """One row with the fields (name: type) of a block of a JSON document; nulls if file, block or field is missing."""
+    schema = T.StructType([T.StructField(block, T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in fields.items())))])
+    try:
+        found = spark.read.schema(schema).option("multiLine", True).json(path).limit(1)
+        found.isEmpty()
+    except AnalysisException:
+        found = spark.createDataFrame([], schema)
+    return found.agg(*[F.first(f"{block}.{k}").alias(k) for k in fields])
+
+
 def append_metrics(metrics: DataFrame, run: str, path: str) -> None:
     """(run, split, metric, value) rows, added to what is there."""
     metrics.select(F.lit(run).alias("run"), "split", "metric", "value").write.mode("append").parquet(path)
@@ -84,10 +106,18 @@ def densest_folder(files: DataFrame) -> DataFrame:
     return rows.filter(F.col("stem").rlike(r"^\d+$")).groupBy("folder").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "folder").limit(1)
 
 
-def existing(items: DataFrame, files: DataFrame) -> DataFrame:
-    """The items whose file exists."""
-    return items.join(files.select("path").distinct(), "path", "left_semi")
+def marked_folders(spark: SparkSession, root: str, marker: str) -> DataFrame:
+    """(folder) of all folders below ``root`` that hold a file whose name fits the marker; raises if there is none."""
+    folders = list_files(spark, root, marker).select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).distinct()
+    if folders.isEmpty():
+        raise FileNotFoundError(f"no file like {marker} below {root}")
+    return folders
 
 
-def missing(items: DataFrame, files: DataFrame) -> DataFrame:
-    return items.join(files.select("path").distinct(), "path", "left_anti")
+def existing(items: DataFrame, files: DataFrame) -> tuple[DataFrame, int]:
+    """(the items whose file exists, how many were dropped); raises if none is left."""
+    there = files.select("path").distinct()
+    dropped, kept = items.join(there, "path", "left_anti").count(), items.join(there, "path", "left_semi")
+    if kept.isEmpty():
+        raise FileNotFoundError("none of the items' files exists")
+    return kept, dropped

@@ -1,19 +1,29 @@
-"""Live sessions as Structured Streaming: rolling text, scores, level and alerts."""
+"""Live sessions as Structured Streaming.
+
+Two queries follow one another. The first keeps each session's rolling text as
+state and emits it at every chunk; rules and fusion score it as columns, and
+only the scores are written. The second keeps each session's level as state and
+emits levels and alerts.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import Settings
+from ..functions import risk
+from ..operators import signatures
 
 DAY_MS = 24 * 3600 * 1000
-CHUNKS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-OUTPUT = "session_id long, seq long, risk_score double, level string, alert boolean, n_chars int, late boolean"
-STATE = "transcript string, level string, seq long"
+EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+TEXTS = "session_id long, seq long, ts timestamp, transcript string, late boolean"
+SCORES = "session_id long, seq long, ts timestamp, n_chars int, n_hits int, hit_ids string, risk_score double, late boolean"
+LEVELS = "session_id long, seq long, n_chars int, n_hits int, hit_ids string, risk_score double, level string, alert boolean, late boolean"
 
 
 def next_level(level: str, score: float, s: Settings = Settings()) -> str:
@@ -33,40 +43,87 @@ def next_transcript(transcript: str, chunk: str, s: Settings = Settings()) -> st
     return f"{transcript} {chunk}".strip()[-s.rolling_chars :]
 
 
-def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Chunks of one session in a micro-batch, in order; repeated or late ones are reported with the level as it stands."""
+def _keep(state: GroupState, values: tuple, rows: pd.DataFrame) -> None:
+    """Sessions that nobody continues for a day of event time are forgotten."""
+    state.update(values)
+    state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + DAY_MS)
+
+
+def _texts(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A session's chunks of a micro-batch, in order, with its text so far; repeated or late ones with the text as it stands."""
     if state.hasTimedOut:
         state.remove()
         return
-    transcript, level, last = state.get if state.exists else ("", "low", -1)
-    rows = []
-    chunks = pd.concat(list(batches)).sort_values("seq")
-    for r in chunks.itertuples():
-        if r.seq <= last:
-            rows.append((key[0], r.seq, r.risk_score, level, False, len(transcript), True))
-            continue
-        transcript, was, level, last = next_transcript(transcript, r.chunk), level, next_level(level, r.risk_score), r.seq
-        rows.append((key[0], r.seq, r.risk_score, level, level == "high" and was != "high", len(transcript), False))
-    state.update((transcript, level, last))
-    # sessions that nobody continues for a day of event time are forgotten
-    until = max(int(chunks["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + DAY_MS
-    state.setTimeoutTimestamp(until)
-    yield pd.DataFrame(rows, columns=["session_id", "seq", "risk_score", "level", "alert", "n_chars", "late"])
-
-
-def score_stream(chunks: DataFrame) -> DataFrame:
-    """A stream of (session_id, seq, ts, chunk, risk_score) with level and alerts."""
-    return chunks.withWatermark("ts", "1 day").groupBy("session_id").applyInPandasWithState(_follow, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def read_chunks(spark: SparkSession, folder: str, glob: str = "events.parquet") -> DataFrame:
-    """The events as a stream of chunks."""
+    transcript, last = state.get if state.exists else ("", -1)
+    chunks = pd.concat(list(batches)).sort_values("seq", kind="stable")
+    texts, late = [], []
+    for seq, chunk in zip(chunks["seq"], chunks["chunk"], strict=True):
+        late.append(seq <= last)
+        if not late[-1]:
+            transcript, last = next_transcript(transcript, chunk or ""), seq
+        texts.append(transcript)
+    _keep(state, (transcript, int(last)), chunks)
+    yield pd.DataFrame({"session_id": key[0], "seq": chunks["seq"].to_numpy(), "ts": chunks["ts"].to_numpy(), "transcript": texts, "late": late})
+
+
+def _levels(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A session's scores of a micro-batch, in order, with its level; late ones with the level as it stands."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    level, last = state.get if state.exists else ("low", -1)
+    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+    levels, alerts, late = [], [], []
+    for seq, score, was_late in zip(rows["seq"], rows["risk_score"], rows["late"], strict=True):
+        late.append(bool(was_late) or seq <= last)
+        was = level
+        if not late[-1]:
+            level, last = next_level(level, score), seq
+        levels.append(level)
+        alerts.append(level == "high" and was != "high")
+    _keep(state, (level, int(last)), rows)
+    yield rows.drop(columns="ts").assign(level=levels, alert=alerts, late=late)[[c.split()[0] for c in LEVELS.split(", ")]]
+
+
+def rolling_texts(chunks: DataFrame) -> DataFrame:
+    """A stream of (session_id, seq, ts, chunk) with the session's rolling text at each chunk."""
+    return chunks.withWatermark("ts", "1 day").groupBy("session_id").applyInPandasWithState(_texts, TEXTS, "transcript string, seq long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def score_texts(texts: DataFrame, text_score: Callable[[Column], Column] | None = None, rules=signatures.RULES) -> DataFrame:
+    """Rolling texts, batch or stream, scored by rules and a text scorer (none: that signal is missing); the texts are left out."""
+    d = signatures.summary(signatures.with_hits(texts, rules, "transcript"))
+    own = text_score(F.col("transcript")) if text_score else F.lit(None).cast("double")
+    d = d.withColumn("risk_score", risk.noisy_or(own, F.col("hits.severity"), F.lit(None).cast("double")))
+    return d.select("session_id", "seq", "ts", F.length("transcript").alias("n_chars"), F.col("n_hits").cast("int").alias("n_hits"), "hit_ids", "risk_score", "late")
+
+
+def follow_levels(scores: DataFrame) -> DataFrame:
+    """A stream of scores with levels and alerts."""
+    return scores.withWatermark("ts", "1 day").groupBy("session_id").applyInPandasWithState(_levels, LEVELS, "level string, seq long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def read_events(spark: SparkSession, folder: str, glob: str = "events.parquet") -> DataFrame:
+    """The events as a stream."""
     # a glob of the whole path finds a single file and a folder of part files
-    events = spark.readStream.schema(CHUNKS).parquet(f"{folder.rstrip('/')}/{glob[:-1]}[{glob[-1]}]")
-    return events.selectExpr("user_id as session_id", "event_id as seq", "ts", "concat(event_type, ' number ', event_id) as chunk", "(event_id * 37 % 101) / 100.0D as risk_score")
+    return spark.readStream.schema(EVENTS).parquet(f"{folder.rstrip('/')}/{glob[:-1]}[{glob[-1]}]")
 
 
 def run_once(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Everything there is now, written as Parquet; a later call goes on where this one stopped."""
     q = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
     q.awaitTermination()
+
+
+def score_stream(chunks: DataFrame, out: str, text_score: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Scores, levels and alerts of all chunks there are now, read back from ``out``, where a later call goes on.
+
+    Chunks that come with a smaller seq than their session has seen are
+    reported as late, with the text and level as they stand; Spark drops those
+    older than the watermark of a day.
+    """
+    spark = chunks.sparkSession
+    run_once(score_texts(rolling_texts(chunks), text_score), f"{out}/scores", f"{out}/scores-state")
+    scores = spark.readStream.schema(SCORES).parquet(f"{out}/scores")
+    run_once(follow_levels(scores), f"{out}/levels", f"{out}/levels-state")
+    return spark.read.schema(LEVELS).parquet(f"{out}/levels")

@@ -1,15 +1,20 @@
 """Golden cases and properties of the call operators."""
 
+import math
 import random
 import re
+from dataclasses import replace
+from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from calltriage.config import Settings
 from calltriage.functions import risk
-from calltriage.operators import audio, corpus, evaluate, explain, normalize, sessions, signatures, textmodel
+from calltriage.operators import audio, corpus, evaluate, explain, normalize, scorers, sessions, signatures, textmodel
 from calltriage.plans import fixtures as fx, models
+from calltriage.sources import files
 from calltriage.streaming import sessions as live
 
 from .conftest import SF
@@ -76,13 +81,40 @@ def test_hysteresis_window_equals_fold(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    out = str(tmp_path / "out")
-    live.run_once(live.score_stream(live.read_chunks(spark, SF)), out, str(tmp_path / "state"))
-    got = {(r.session_id, r.seq): (r.level, r.alert) for r in spark.read.parquet(out).collect()}
-    batch = sessions.hysteresis(fx.chunks(spark, SF), "session_id", "seq", "risk_score")
+    """Texts, scores, levels and alerts as the batch operators have them; rules are found across chunks."""
+    got = {(r.session_id, r.seq): r for r in live.score_stream(fx.as_chunks(live.read_events(spark, SF)), str(tmp_path / "out"), models._length_score).collect()}
+    texts = sessions.rolling_transcript(fx.chunks(spark, SF), "session_id", "seq", "chunk").withColumn("late", F.lit(False))
+    scores = live.score_texts(texts, models._length_score)
+    batch = sessions.hysteresis(scores, "session_id", "seq", "risk_score")
     alerts = {(r.session_id, r.seq) for r in sessions.escalations(batch, "session_id", "seq").collect()}
-    want = {(r.session_id, r.seq): (r.level, (r.session_id, r.seq) in alerts) for r in batch.collect()}
-    assert got == want
+    rows = batch.collect()
+    assert len(rows) == len(got) == spark.read.parquet(f"{SF}/events.parquet").count()
+    for r in rows:
+        g = got[r.session_id, r.seq]
+        assert (g.n_chars, g.hit_ids, g.level, g.alert, g.late) == (r.n_chars, r.hit_ids, r.level, (r.session_id, r.seq) in alerts, False)
+        assert g.risk_score == pytest.approx(r.risk_score, abs=1e-12)
+    assert len({r.level for r in rows}) == 3 and alerts
+
+
+def test_a_phrase_across_chunks_raises_the_level(spark, tmp_path):
+    parts = ["hello, there is an arrest", "warrant and you must share", "", None, "your otp, stay on the", "call", "bye"]
+    events = [(i, datetime(2024, 1, 1, 0, i), 7, c) for i, c in enumerate(parts)]
+    spark.createDataFrame(events, "seq long, ts timestamp, session_id long, chunk string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("seq long, ts timestamp, session_id long, chunk string").parquet(str(tmp_path / "in"))
+    got = live.score_stream(stream, str(tmp_path / "out")).orderBy("seq").collect()
+    assert [r.n_hits for r in got] == [0, 1, 1, 1, 2, 2, 2]
+    assert [r.level for r in got] == ["low"] * 4 + ["suspicious"] * 3 and not any(r.alert for r in got)
+
+
+def test_rolling_text_equals_the_fold(spark):
+    rng = random.Random(8)
+    rows = [(s, i, rng.choice(["", "  ", None, " a", "b ", "word\n", "two  words", "é"])) for s in range(6) for i in range(50)]
+    s = Settings().override(rolling_chars=20)
+    got = {(r.s, r.i): r.transcript for r in sessions.rolling_transcript(spark.createDataFrame(rows, "s long, i long, c string"), "s", "i", "c", s).collect()}
+    text = {}
+    for k, i, c in rows:
+        text[k] = live.next_transcript(text.get(k, ""), c or "", s)
+        assert got[k, i].strip() == text[k].strip()
 
 
 def test_split_sizes_and_dedup(spark):
@@ -116,30 +148,151 @@ def test_settings():
 
 
 def test_rows_without_terms_stay(spark):
-    w = spark.createDataFrame([(1, "a", 1.0)], "id long, term string, w double")
-    v = spark.createDataFrame([("a", 2, 3)], "term string, df long, total long")
+    w = spark.createDataFrame([("word", 1, "a", 1.0)], "family string, id long, term string, w double")
+    v = spark.createDataFrame([("word", "a", 2, 3), ("char", "abc", 2, 9)], "family string, term string, df long, total long")
     rows = textmodel.as_vectors(w, v, spark.createDataFrame([(1, 0), (2, 1)], "id long, label int"), "id", 5).collect()
-    assert {r.id: (r.features.size, r.features.numNonzeros()) for r in rows} == {1: (5, 1), 2: (5, 0)}
+    assert {r.id: (r.features.size, list(r.features.indices)) for r in rows} == {1: (5, [0]), 2: (5, [])}
 
 
 def test_models_learn_from_all_turns_and_both_families(spark):
-    d = models._vectors(spark, SF).cache()
-    assert d.count() == models.turns(spark, SF).count()
-    assert d.first().features.size == 60_000
+    d, _ = models._vectors(spark, SF)
     x = [r.features for r in d.collect()]
+    assert len(x) == models.turns(spark, SF).count() and x[0].size == 60_000
     assert sum(v.numNonzeros() for v in x) > 0 and max(v.norm(2) for v in x) > 1.4  # each family has length one
-    n = {r.family: r["count"] for r in models.QUERIES["model_persist"](spark, SF).groupBy("family").count().collect()}
-    assert set(n) == {"word", "char"} and n["char"] > 300 and n["word"] > 300
+    rows = models.QUERIES["model_persist"](spark, SF).collect()
+    n = {f: sum(r.family == f for r in rows) for f in ("word", "char")}
+    assert n["char"] > 300 and n["word"] > 300 and {r.best_c for r in rows} == {1.0} and all(r.idf >= 1 for r in rows)
+
+
+def test_logistic_fit_equals_a_numeric_optimum(spark):
+    rng = np.random.default_rng(3)
+    x = rng.random((120, 4)) * (rng.random((120, 4)) < 0.6)
+    y = (x @ [2, -1, 0.5, 0] + rng.normal(0, 0.4, 120) > 0.4).astype(int)
+    rows = [("word", i, f"t{j}", float(v)) for i, r in enumerate(x) for j, v in enumerate(r) if v]
+    vocab = spark.createDataFrame([("word", f"t{j}", 9, 100 - j) for j in range(4)], "family string, term string, df long, total long")
+    d = textmodel.as_vectors(spark.createDataFrame(rows, "family string, id long, term string, w double"), vocab, spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "id long, label int"), "id", 4)
+    m = textmodel.fit_logreg(d, 1.0)
+    weight, b, z = np.where(y == 1, 60 / y.sum(), 60 / (120 - y.sum())), np.zeros(5), np.c_[x, np.ones(120)]
+    for _ in range(50):  # Newton's method on the same loss
+        p = 1 / (1 + np.exp(-z @ b))
+        g = z.T @ (weight * (p - y)) + np.r_[b[:4], 0]
+        b -= np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([1, 1, 1, 1, 0]), g)
+    assert np.allclose([*m.coefficients, m.intercept], b, atol=1e-3)
+
+
+def test_models_that_cannot_be_read(spark, tmp_path):
+    assert textmodel.load_model(spark, str(tmp_path / "none")) is None
+    spark.range(1).write.parquet(str(tmp_path / "bad"))
+    assert textmodel.load_model(spark, str(tmp_path / "bad")) is None
+    spark.createDataFrame([("word", "a", 0.5)], "family string, term string, coef double").write.parquet(str(tmp_path / "plain"))
+    terms, intercept, best = textmodel.load_model(spark, str(tmp_path / "plain"))
+    assert (terms.first().coef, intercept, best) == (0.5, 0.0, None)
+
+
+def test_scorers(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, []), (4, [-1.0, 0.0])], "id long, x array<float>")
+
+    def picky(x):
+        if (x[:, 0] < 0).any():
+            raise ValueError("not for me")
+        return x[:, 0]
+
+    r = scorers.Registry().register(scorers.AudioScorer("none")).register(scorers.AudioScorer("picky", picky, 3))
+    got = {r.id: r.p for r in df.select("id", r.ensemble(F.col("x")).alias("p")).collect()}
+    assert got[1] == pytest.approx(1 / (1 + math.exp(-1))) and got[2] is got[3] is got[4] is None
+    assert r.loaded() == ["picky"] and one(spark, p=scorers.Registry().ensemble(F.lit("x"))).p is None
+    with pytest.raises(ValueError):
+        r.register(scorers.AudioScorer("picky"))
+    t = scorers.TextScorer("len", lambda c: F.length(c) / 10.0)
+    assert tuple(one(spark, a=t.column(F.lit("abc")), b=t.column(F.lit(" \n")), c=t.column(F.lit(None).cast("string")))) == (0.3, None, None)
+
+
+def test_running_sums_over_ranges(spark):
+    rng = random.Random(1)
+    rows = [(g, x, rng.randrange(5)) for g in ("a", "b", None) for x in range(700)]
+    d = evaluate.running_sums(spark.createDataFrame(rows, "g string, x long, n long"), F.desc("x"), {"n": "upto"}, "g")
+    got = {(r.g, r.x): (r.upto, r.upto_all) for r in d.collect()}
+    for g in ("a", "b", None):
+        mine, total = sorted((x, n) for k, x, n in rows if k == g), 0
+        for x, n in reversed(mine):
+            total += n
+            assert got[g, x] == (total, sum(n for _, n in mine))
+
+
+def test_split_equals_ranks(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 7 > 3], None if i % 5 == 0 else i % 2) for i in range(900)] + [(5000, "c", 1), (5001, "d", 1), (5002, "d", 1)], "id long, source string, label int")
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("label", "source").orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit("|42"))), "id")
+    r, n = F.row_number().over(w), F.count("*").over(Window.partitionBy("label", "source"))
+    a, b = F.bround(n * 0.8), F.bround(n * 0.1)
+    want = {r.id: r.s for r in df.select("id", F.when(r <= a, "train").when(r <= a + b, "val").otherwise("test").alias("s")).collect()}
+    assert {r.id: r.split for r in corpus.stratified_split(df, ["label", "source"], "id").collect()} == want
+
+
+def test_checks_raise(spark):
+    v = spark.createDataFrame([("a", 0), ("b", 2)], "rule string, n long")
+    assert corpus.require(v, "a").count() == 2
+    with pytest.raises(ValueError, match="b: 2 rows"):
+        corpus.require(v)
+    p = spark.createDataFrame([("/x/a",)], "path string")
+    with pytest.raises(FileNotFoundError):
+        files.existing(p, p.limit(0))
+    assert files.existing(p, p)[1] == 0
+
+
+def test_missing_baseline_is_null(spark, tmp_path):
+    assert tuple(files.read_baseline(spark, str(tmp_path / "no"), "probe", {"n": "long"}).first()) == (None,)
+    (tmp_path / "b.json").write_text('{"other": {"n": 1}}')
+    assert tuple(files.read_baseline(spark, str(tmp_path / "b.json"), "probe", {"n": "long"}).first()) == (None,)
+    (tmp_path / "c.json").write_text('{"probe": {"n": 3}}')
+    assert tuple(files.read_baseline(spark, str(tmp_path / "c.json"), "probe", {"n": "long", "r": "double"}).first()) == (3, None)
+
+
+# Expected rule ids of texts written for the rules, as literals.
+GOLDEN = (
+    ("You are under digital arrest. Share the OTP now, do not tell anyone, you have within ten minutes.", {"otp_pin_cvv_request", "digital_arrest_or_warrant_threat", "secrecy_demand", "urgency_deadline"}),
+    ("Please install AnyDesk on the phone.", {"remote_access_app_request"}),
+    ("Accept the collect request, scan this qr code.", {"upi_collect_qr_trick"}),
+    ("Your KYC is incomplete; move the money to a safe account.", {"kyc_expiry_threat", "safe_account_rbi_transfer"}),
+    ("You are the lottery winner.", {"prize_lottery_fee"}),
+    ("We send your photos to everyone on the list.", {"loan_app_photo_threat"}),
+    ("I am in the army and pay by transfer.", {"army_marketplace_claim"}),
+    ("It is a guaranteed profit, double your money.", {"investment_guaranteed_return"}),
+    ("The bank will never ask; never share your OTP.", set()),
+    ("You do not need to share your PIN.", set()),
+    ("I can share a pin location, or send me the pin code of the area.", set()),
+    ("\u017fhare the otp", {"otp_pin_cvv_request"}),
+    ("SHARE THE \u212aYC PIN; K\u0131ndly confirm the p\u0131n", {"otp_pin_cvv_request"}),
+    ("", set()),
+    (None, set()),
+    ("Mum, dinner is at seven.", set()),
+)
+
+
+def test_golden_rule_ids(spark):
+    df = spark.createDataFrame(list(enumerate(t for t, _ in GOLDEN)), "call_id long, text string")
+    got = {r.call_id: set(r.hit_ids.split(",")) - {""} for r in signatures.summary(signatures.with_hits(df)).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(GOLDEN)}
+
+
+def test_anchors_change_nothing(spark):
+    """Every rule finds the same with and without its anchors, in the calls and in words put together at random."""
+    rng = random.Random(6)
+    words = sorted({w for r in signatures.RULES for a in r.anchors for w in a.split()} | set("share tell me the your in for a won receive won't not photos 20% month blocked today pay buy".split()))
+    texts = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(800)]
+    df = fx.calls(spark, SF).select("text").unionByName(spark.createDataFrame([(t,) for t in texts], "text string"))
+    pairs = [(signatures.flag(F.col("text"), r), signatures.flag(F.col("text"), replace(r, anchors=()))) for r in signatures.RULES]
+    r = df.agg(*[F.count_if(a != b).alias(f"d{i}") for i, (a, b) in enumerate(pairs)], *[F.count_if(a).alias(f"n{i}") for i, (a, _) in enumerate(pairs)]).first()
+    assert all(r[f"d{i}"] == 0 and r[f"n{i}"] > 0 for i in range(len(pairs)))
 
 
 def test_stream_reads_a_folder_of_parts_and_reports_late_chunks(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("event_id")))
-    sf, out, state = str(tmp_path / "sf"), str(tmp_path / "out"), str(tmp_path / "state")
+    sf, out = str(tmp_path / "sf"), str(tmp_path / "out")
     later = F.col("event_id") >= events.count() // 2
     events.filter(later).repartition(3).write.parquet(f"{sf}/events.parquet")
-    live.run_once(live.score_stream(live.read_chunks(spark, sf)), out, state)
-    assert spark.read.parquet(out).count() == events.filter(later).count() > 0
+    assert live.score_stream(fx.as_chunks(live.read_events(spark, sf)), out).count() == events.filter(later).count() > 0
     events.filter(~later).repartition(2).write.mode("append").parquet(f"{sf}/events.parquet")
-    live.run_once(live.score_stream(live.read_chunks(spark, sf)), out, state)
-    got = spark.read.parquet(out)
+    got = live.score_stream(fx.as_chunks(live.read_events(spark, sf)), out)
     assert sorted(r.seq for r in got.collect()) == sorted(r.event_id for r in events.collect()) and got.filter("late").count() > 0
