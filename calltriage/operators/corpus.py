@@ -164,9 +164,9 @@ def first_strategy(rows: DataFrame, priority: str) -> DataFrame:
     return rows.join(F.broadcast(least), F.col(priority) == F.col("__least")).drop("__least")
 
 
-def pick(n: int, *keys: Column) -> Column:
+def pick(n: Column, *keys: Column) -> Column:
     """A number below n that follows from the keys (by md5, as other engines have it)."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *keys)), 1, 8), 16, 10).cast("long") % n
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", *keys)), 1, 8), 16, 10).cast("long") % n).cast("int")
 
 
 def expand_templates(attempts: DataFrame, families: list[tuple[str, list[tuple[str, list[str]]]]], pools: dict[str, list[str]], keep: int, seed: int = 13) -> DataFrame:
@@ -177,15 +177,13 @@ def expand_templates(attempts: DataFrame, families: list[tuple[str, list[tuple[s
     ``{slot}``. Of equal texts of a scenario the first attempt stays, and
     ``keep`` texts for each scenario.
     """
-    key = lambda what: (F.col("scenario"), F.col("attempt").cast("string"), F.lit(what), F.lit(str(seed)))
-    choose = lambda xs, what: F.get(F.array(*map(F.lit, xs)), pick(len(xs), *key(what)).cast("int"))
-    text = F.lit(None).cast("string")
-    for name, turns in families:
-        lines = [F.concat(F.lit(f"{who}: "), choose(said, f"turn{i}")) for i, (who, said) in enumerate(turns)]
-        text = F.when(F.col("scenario") == name, F.concat_ws(" ", *lines)).otherwise(text)
-    rows = attempts.withColumn("text", text)
+    key = lambda what: (F.col("scenario"), F.col("attempt").cast("string"), what, F.lit(str(seed)))
+    known = attempts.sparkSession.createDataFrame(families, "scenario string, turns array<struct<who:string,said:array<string>>>")
+    turn = lambda t, i: F.concat(t["who"], F.lit(": "), F.get(t["said"], pick(F.size(t["said"]), *key(F.concat(F.lit("turn"), i.cast("string"))))))
+    rows = attempts.join(F.broadcast(known), "scenario").withColumn("text", F.array_join(F.transform("turns", turn), " "))  # the families given
     for slot, values in pools.items():
-        rows = rows.withColumn("text", F.replace(F.col("text"), F.lit("{" + slot + "}"), choose(values, slot)))
-    made = rows.filter("text is not null").groupBy("scenario", "text").agg(F.min("attempt").alias("attempt"))
+        value = F.get(F.array(*map(F.lit, values)), pick(F.lit(len(values)), *key(F.lit(slot))))
+        rows = rows.withColumn("text", F.replace(F.col("text"), F.lit("{" + slot + "}"), value))
+    made = rows.groupBy("scenario", "text").agg(F.min("attempt").alias("attempt"))
     w = Window.partitionBy("scenario").orderBy("attempt")  # the distinct texts of a family, which its templates bound
     return made.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= keep).select("scenario", "attempt", "text")
