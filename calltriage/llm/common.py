@@ -21,17 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's own setting if there is one.
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder for checkpoints: the session's own setting.
 
-    Only where ``spark.checkpoint.dir`` is unset (single-machine tests) a folder
-    under the warehouse is used.
+    Only a local session (tests) may leave ``spark.checkpoint.dir`` unset; a
+    folder under its warehouse is used then.
     """
-    sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
-    return configured or sc.getCheckpointDir()
+    if configured is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    return configured.rstrip("/")
 
 
 def scratch_table(df: DataFrame, label: str) -> DataFrame:
@@ -41,7 +42,7 @@ def scratch_table(df: DataFrame, label: str) -> DataFrame:
     the files.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path

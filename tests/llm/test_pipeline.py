@@ -82,3 +82,14 @@ def test_windows_are_full(pieces):
     for p in pieces:
         size[p.sequence_id, p.tier] += p.length
     assert all(n == tier for (_, tier), n in size.items())
+
+
+def test_stages_take_odd_rows_and_columns(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, 1.5, "a"), (1, text, 1.5, "a"), (None, text + " end", 2.5, None), (2, None, None, "b"), (3, "", None, "c"), (4, "x" * 60_000, None, "d")]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "a.b", "rid"])
+    left = {"quality_rules": 3, "minhash_near_dedup": 4, "decontaminate": 6, "secret_scan": 6}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() == left[name] and stage(spark, docs.limit(0), SF).count() == 0
+    assert len({p.doc_id for p in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()}) == 5
