@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``; further columns of any name stay, too. Null
+and empty texts go with the first stage, and stay in the others if they come to
+them. Repeated rows and ids, null ids and empty tables are allowed everywhere.
 """
 
 from __future__ import annotations
@@ -16,27 +18,28 @@ from calltriage.llm.queries import tokenizer_path
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules' policy v1."""
+    """Documents that pass the quality rules' policy v1; null and empty texts don't."""
     return quality_rules.keep(docs, "v1")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, similarity 0.8 or more."""
+    """One document of each group: five-word shingles, similarity 0.8 or more. Texts without words all stay."""
     return near_dedup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of the benchmark."""
+    """Documents that hold no window of the benchmark. Texts without words stay; an empty benchmark leaves all."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by their kind; n_chars follows the text."""
-    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """All documents, with secrets replaced by their kind; n_chars, if there is one, follows the text (null for a null text)."""
+    out = secret_scan.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of windows of up to 1024 tokens."""
+    """The pieces of windows of up to 1024 tokens. A null or empty text is one piece of one token."""
     return packing.pack(docs, tokenizer_path())
 
 
