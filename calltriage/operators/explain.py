@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 NAMED = 0.5
 SHOWN = 5
-LOW = "Nothing in this call looks like a scam so far. Stay careful if codes, remote access or money come up."
-VOICE = "- The voice sounds synthetic. Genuine automated calls can sound like that too, so this alone proves nothing."
-PHRASING = "- No listed scam phrase was found, but the wording resembles known scam calls."
-WEAK = "- No single strong sign was found; several weak ones together call for caution."
-ADVICE = "Share no codes, install no remote-control app and send no money on this call."
+LOW = "No trick heard up to now. Hang up if somebody wants codes, money or control of your device."
+VOICE = "- A computer may be speaking. Announcements do so, too, so weigh this with the rest."
+PHRASING = "- The sentences are like those of recorded scams, though none of the listed tricks is among them."
+WEAK = "- Small hints add up here; none of them says much alone."
+ADVICE = "Keep codes and money to yourself, and install nothing while you are on this call."
+#: By level: how a text with tricks begins, and one without.
+LIKELY, POSSIBLE = "Very likely a scam", "Possibly a scam"
+RISKY, CAREFUL = "Risky, although no known trick was heard", "Be careful, although no known trick was heard"
+#: What a score without tricks rests on: words and voice, voice, words, neither.
+BASES = (": words and voice.", ": the voice.", ": the words.", ": little of each.")
 
 
 def flags(text_score: Column, audio_score: Column) -> tuple[Column, Column]:
@@ -31,13 +36,13 @@ def reasons(hits: Column, text_score: Column, audio_score: Column) -> Column:
 
 
 def headline(level: Column, hits: Column, text_score: Column, audio_score: Column) -> Column:
-    """Speaks of scam signs only if there are hits."""
+    """Counts tricks only if there are hits."""
     content, voice = flags(text_score, audio_score)
-    word = F.when(level == "high", "strong scam signs").otherwise("some suspicious signs")
-    label = F.when(level == "high", "high risk").otherwise("worth caution")
-    n = F.when(F.size(hits) == 1, "1 scam sign").otherwise(F.concat(F.size(hits), F.lit(" scam signs")))
-    other = F.when(content & voice, ": wording and voice both call for caution.").when(voice, " because of the voice, not the words.").when(content, " because of how it is worded.").otherwise(" from several weak signals.")
-    return F.when(F.size(hits) > 0, F.concat(F.lit("This call shows "), word, F.lit(": "), n, F.lit(" in what was said."))).otherwise(F.concat(F.lit("This call is "), label, other))
+    high = level == "high"
+    n = F.concat(F.size(hits), F.when(F.size(hits) == 1, " known trick").otherwise(" known tricks"))
+    basis = F.when(content & voice, BASES[0]).when(voice, BASES[1]).when(content, BASES[2]).otherwise(BASES[3])
+    found = F.concat(F.when(high, LIKELY).otherwise(POSSIBLE), F.lit(": "), n, F.lit(" heard."))
+    return F.when(F.size(hits) > 0, found).otherwise(F.concat(F.when(high, RISKY).otherwise(CAREFUL), basis))
 
 
 def explanation(level: Column, hits: Column, text_score: Column, audio_score: Column) -> Column:

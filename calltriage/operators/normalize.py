@@ -70,6 +70,7 @@ def recording_suffix(path: Column) -> Column:
 SUFFIXES = (".wav", ".mp3", ".m4a", ".ogg", ".webm")
 
 
+# Verdicts and labels of the levels.
 def verdict_labels(level: Column) -> dict[str, Column]:
     """Verdict, label and one line of advice for a level."""
     pick = lambda high, mid, low: F.when(level == "high", high).when(level == "suspicious", mid).otherwise(low)

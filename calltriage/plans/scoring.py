@@ -173,13 +173,11 @@ listed AS (SELECT call_id, string_agg('- ' || advice, chr(10) ORDER BY r) FILTER
 explained AS (
   SELECT s.call_id, level, round(risk, 12) AS risk, n_hits, CASE
     WHEN level = 'low' THEN '{explain.LOW}'
-    WHEN n_hits > 0 THEN 'This call shows ' || CASE WHEN level = 'high' THEN 'strong scam signs' ELSE 'some suspicious signs' END || ': '
-      || CASE WHEN n_hits = 1 THEN '1 scam sign' ELSE n_hits || ' scam signs' END || ' in what was said.' || chr(10) || lines
+    WHEN n_hits > 0 THEN CASE WHEN level = 'high' THEN '{explain.LIKELY}' ELSE '{explain.POSSIBLE}' END || ': ' || n_hits || CASE WHEN n_hits = 1 THEN ' known trick' ELSE ' known tricks' END || ' heard.' || chr(10) || lines
       || CASE WHEN n_hits > 5 THEN chr(10) || '...and ' || (n_hits - 5) || ' more.' ELSE '' END
       || CASE WHEN {_VOICE} THEN chr(10) || '{explain.VOICE}' ELSE '' END || chr(10) || '{explain.ADVICE}'
-    ELSE 'This call is ' || CASE WHEN level = 'high' THEN 'high risk' ELSE 'worth caution' END
-      || CASE WHEN {_TEXT} AND {_VOICE} THEN ': wording and voice both call for caution.' WHEN {_VOICE} THEN ' because of the voice, not the words.'
-         WHEN {_TEXT} THEN ' because of how it is worded.' ELSE ' from several weak signals.' END
+    ELSE CASE WHEN level = 'high' THEN '{explain.RISKY}' ELSE '{explain.CAREFUL}' END
+      || CASE WHEN {_TEXT} AND {_VOICE} THEN '{explain.BASES[0]}' WHEN {_VOICE} THEN '{explain.BASES[1]}' WHEN {_TEXT} THEN '{explain.BASES[2]}' ELSE '{explain.BASES[3]}' END
       || CASE WHEN {_TEXT} THEN chr(10) || '{explain.PHRASING}' ELSE '' END || CASE WHEN {_VOICE} THEN chr(10) || '{explain.VOICE}' ELSE '' END
       || CASE WHEN NOT {_TEXT} AND NOT {_VOICE} THEN chr(10) || '{explain.WEAK}' ELSE '' END || chr(10) || '{explain.ADVICE}' END AS explanation
   FROM scored s LEFT JOIN listed USING (call_id))"""
