@@ -25,8 +25,10 @@ def turns():
     return rows
 
 
-@pytest.mark.parametrize("tokenizer", [None, public_tokenizers.path("byte_bpe_50k.json")])
-def test_windows_and_read_back(spark, tokenizer):
+@pytest.mark.parametrize(("tokenizer", "segment"), [(None, 4096), (public_tokenizers.path("byte_bpe_50k.json"), 4096), (None, 7)])
+def test_windows_and_read_back(spark, monkeypatch, tokenizer, segment):
+    """Whether a conversation is one segment or many, each turn is formatted once and each target counts once."""
+    monkeypatch.setattr(C, "SEGMENT", segment)
     df = spark.createDataFrame(turns(), "conv_id long, turn long, role string, text string").selectExpr("*", "1 as window", "'z' as loss_start")
     windows = C.format_conversations(df, tokenizer)
     got = {r.conv_id: r for r in C.read_back(windows).collect()}
@@ -42,6 +44,10 @@ def test_windows_and_read_back(spark, tokenizer):
             assert C.count_tokens([w.text], tokenizer)[0] == sum(C.count_tokens([C.render(*t)[0] for t in C.parse(w.text)], tokenizer))
         if w.conv_id == 1:
             assert C.parse(w.text)[0] == ("system", "be brief")
+            later = w.segment + w.window > 0
+            assert w.n_context >= later
+    if segment == 7:
+        assert len({w.segment for w in windows.filter("conv_id = 1").collect()}) == 9
     assert set(got) == set(want)
     for c, ts in want.items():
         ts = sorted(ts)
@@ -52,6 +58,19 @@ def test_windows_and_read_back(spark, tokenizer):
         assert g.turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in ts).encode()).hexdigest()
 
 
+def test_segments_repeat_what_windows_do(spark, monkeypatch):
+    """A later segment begins with the system turn and the turns before it, in order."""
+    monkeypatch.setattr(C, "SEGMENT", 50)
+    rows = [(9, i, "system" if i == 0 else "user", f"say {i}") for i in range(120) if i not in range(60, 100)]
+    windows = C.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    first = {w.segment: C.parse(w.text)[: w.n_context] for w in windows.collect() if w.window == 0}
+    assert first[0] == [] and set(first) == {0, 1, 2}
+    for segment, before in ((1, 49), (2, 59)):
+        turns = first[segment]
+        assert turns[0] == ("system", "say 0") and len(turns) > 5
+        assert [t for _, t in turns[1:]] == [f"say {i}" for i in range(before - len(turns) + 2, before + 1)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert C.read_back(C.format_conversations(df)).count() == 0
