@@ -42,8 +42,8 @@ COMMON_WORDS = 22
 #: A document is learned from unless crc32 of its id modulo FOLDS is HELD_OUT.
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"
-CHUNK = 2 << 20
-FLUSH = 2_000_000
+CHUNK = 1 << 20
+FLUSH = 1_500_000
 
 
 def tokens(text: str | None) -> list[bytes]:
