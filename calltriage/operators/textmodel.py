@@ -28,22 +28,28 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
 
 
+def _dealt(docs: DataFrame, id_col: str) -> DataFrame:
+    """Documents dealt out by id: their terms, many times as large, can then be counted where they are made."""
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+
+
 def word_ngrams(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, term, tf) of words and word pairs, counted in each document."""
-    d = docs.select(id_col, word_tokens(F.col(text)).alias("w"))
+    d = _dealt(docs.select(id_col, F.col(text).alias("t")), id_col).select(id_col, word_tokens(F.col("t")).alias("w"))
     pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     return d.select(id_col, F.explode(F.concat("w", pairs)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
 def char_ngrams(docs: DataFrame, id_col: str, text: str, low: int = 3, high: int = 5) -> DataFrame:
     """(id, term, tf) of character runs over the whole lower-cased text."""
-    d = docs.select(id_col, F.lower(text).alias("t"))
-    runs = [F.when(F.length("t") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - (n - 1), F.lit(1))), _run_of(n))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-    return d.select(id_col, F.explode(F.concat(*runs)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    d = _dealt(docs.select(id_col, F.col(text).alias("t")), id_col).select(id_col, F.split(F.lower("t"), "").alias("c"))
 
+    def runs(n: int) -> Column:
+        # characters are put together from an array, as a place in a string has to be counted to
+        made = F.transform(F.sequence(F.lit(0), F.greatest(F.size("c") - n, F.lit(0))), lambda i: F.concat(*[F.get("c", i + k) for k in range(n)]))
+        return F.when(F.size("c") >= n, made).otherwise(F.array().cast("array<string>"))
 
-def _run_of(n: int):
-    return lambda i: F.col("t").substr(i, F.lit(n))
+    return d.select(id_col, F.explode(F.concat(*[runs(n) for n in range(low, high + 1)])).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
 def two_families(docs: DataFrame, id_col: str, text: str) -> DataFrame:
