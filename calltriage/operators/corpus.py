@@ -88,8 +88,8 @@ def stratified_split(df: DataFrame, strata: list[str], id_col: str, seed: int =
 
 def hash_split(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     """Adds ``split`` by thresholds on a hash: no shuffle, sizes right on average."""
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1000))
-    return df.withColumn("split", F.when(u < 800, "train").when(u < 900, "val").otherwise("test"))
+    u = pick(F.lit(1000), F.col(id_col).cast("string"), F.lit(str(seed)))
+    return df.withColumn("split", F.when(u < 1000 * RATIOS[0], "train").when(u < 1000 * (RATIOS[0] + RATIOS[1]), "val").otherwise("test"))
 
 
 def shuffled(df: DataFrame, split: str, id_col: str, seed: int = 42) -> DataFrame:

@@ -174,6 +174,12 @@ def stratified_split_manual(spark, sf_dir):
     return _split_records(spark, sf_dir).groupBy("label", "source", "split").agg(F.count("*").alias("n"))
 
 
+@query("SELECT doc_id, CASE WHEN u < 800 THEN 'train' WHEN u < 900 THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, CAST('0x' || substring(md5(doc_id || '|42'), 1, 8) AS BIGINT) % 1000 AS u FROM documents)")
+def hash_split(spark, sf_dir):
+    """The split for large corpora: sizes hold on average, nothing is moved."""
+    return corpus.hash_split(fx.table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "split")
+
+
 @query(f"WITH {SPLIT_SQL} SELECT id, split, md5(id || '|42') AS place FROM splits")
 def seeded_shuffle(spark, sf_dir):
     """Splits in the order of a seeded hash, as they are written; ``place`` is what they are ordered by."""

@@ -104,7 +104,20 @@ def sig_pin_guard(spark, sf_dir):
     return _guarded(spark, sf_dir, signatures.NO_PLACE)
 
 
-@query()
+def _found_sql(pattern: str) -> str:
+    """The snippets of a pattern: matches are marked in the masked text and cut, by their places, from the text itself."""
+    upto = lambda i: f"coalesce(list_sum(list_transform(ps[1:{i}], lambda x: length(x) - 1)), 0)::BIGINT"
+    first = f"greatest({upto('i - 1')} + instr(ps[i], chr(1)) - 1 - {signatures.PAD}, 0)"
+    cut = f"regexp_replace(substring(text, {first} + 1, {upto('i')} + {signatures.PAD} - {first}), '^\\s+|\\s+$', '', 'g')"
+    parts = f"string_split(regexp_replace(m, '(?i)({_bare(pattern)})', chr(1) || '\\1' || chr(2), 'g'), chr(2))"
+    return f"list_transform([{parts}], lambda ps: list_transform(range(1, len(ps)), lambda i: {cut}))[1]"
+
+
+_SNIPPETS = " UNION ALL ".join(f"SELECT call_id, '{r.id}' AS id, {' || '.join(map(_found_sql, r.patterns))} AS l FROM masked" for r in signatures.RULES)
+SNIPPETS_SQL = f"{FLAGS_SQL}, every AS ({_SNIPPETS}), kept AS (SELECT call_id, id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:{signatures.MAX_SNIPPETS}] AS l FROM every WHERE len(l) > 0)"
+
+
+@query(f"WITH {SNIPPETS_SQL} SELECT call_id, id, array_to_string(l, ' | ') AS matches FROM kept")
 def sig_snippets(spark, sf_dir):
     d = signatures.with_hits(fx.calls(spark, sf_dir), with_snippets=True)
     return d.select("call_id", F.explode("hits").alias("h")).select("call_id", F.col("h.id").alias("id"), F.array_join("h.matches", " | ").alias("matches"))
@@ -235,7 +248,7 @@ def verdict_labels(spark, sf_dir):
     return scored(spark, sf_dir).select("call_id", v["verdict"].alias("verdict"), v["label"].alias("label"), normalize.severity_label(F.col("max_severity")).alias("severity"))
 
 
-@query()
+@query(f"WITH {SNIPPETS_SQL} SELECT call_id, id, l[1] AS snippet FROM kept")
 def first_snippet(spark, sf_dir):
     d = signatures.with_hits(fx.calls(spark, sf_dir), with_snippets=True)
     return d.select("call_id", F.explode("hits").alias("h")).select("call_id", F.col("h.id").alias("id"), F.try_element_at("h.matches", F.lit(1)).alias("snippet"))
