@@ -53,4 +53,23 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-SQL = {"op8_quality_rules": OP8, "op9_decontaminate": OP9}
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (
+  SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+wt AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS weight FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), s),
+m AS (SELECT r, doc_id, 75 + (25 * len(w) * n_docs) // n_terms AS m FROM d, s WHERE len(w) > 0),
+qt AS (SELECT i, t, count(*) AS times FROM (SELECT i, unnest(w) AS t FROM q) GROUP BY i, t),
+found AS (
+  SELECT i, r, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS score
+  FROM qt JOIN tf USING (t) JOIN wt USING (t) JOIN m USING (r) GROUP BY i, r),
+ranked AS (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM found JOIN m USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked JOIN q USING (i) WHERE rank <= 20
+"""
+
+SQL = {"op13_lexical_search": OP13, "op8_quality_rules": OP8, "op9_decontaminate": OP9}
