@@ -53,6 +53,29 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+OP12 = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, w[i:i + k - 1] AS p, count(*) AS f FROM grams GROUP BY ALL),
+c AS (SELECT lang, p, f AS a FROM f WHERE len(p) > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.p, c.a, j, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len(p))) AS j FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1:c.j] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.j + 1:len(c.p)]),
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, j) AS o FROM cuts) WHERE o = 1),
+inner_ AS (
+  SELECT lang, q[i:i + k - 1] AS p, max(a) AS longer
+  FROM (SELECT lang, p AS q, a, k, unnest(range(1, len(p) - k + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS k) WHERE len(p) > k) GROUP BY ALL),
+ranked AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank
+  FROM cut LEFT JOIN inner_ USING (lang, p) WHERE coalesce(100 * longer < 80 * a, true))
+SELECT lang, CAST(rank AS INT) AS rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 OP13 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -72,4 +95,4 @@ ranked AS (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY s
 SELECT item_id, CAST(rank AS INT) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked JOIN q USING (i) WHERE rank <= 20
 """
 
-SQL = {"op13_lexical_search": OP13, "op8_quality_rules": OP8, "op9_decontaminate": OP9}
+SQL = {"op12_collocations": OP12, "op13_lexical_search": OP13, "op8_quality_rules": OP8, "op9_decontaminate": OP9}

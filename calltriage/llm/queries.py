@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, lexical_search, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
+from . import chat_format, collocations, decontaminate, lexical_search, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -80,6 +80,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language of all documents."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best documents, of all, for every benchmark item."""
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -89,7 +94,7 @@ def queries() -> dict:
     ops = (
         op1_substring_dedup, op2_minhash_near_dedup, op3_toxicity, op4_packing, op5_lm_scoring,
         op6_quality_classifier, op7_chat_format, op8_quality_rules, op9_decontaminate, op10_secret_scan,
-        op11_token_counts, op13_lexical_search,
+        op11_token_counts, op12_collocations, op13_lexical_search,
     )
     return {f.__name__: f for f in ops}
 
