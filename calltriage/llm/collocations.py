@@ -25,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ LONGEST, LEAST = 4, 30
 #: A longer candidate with this share (of 100) of the occurrences takes a phrase's place.
 SHARE = 80
 #: Bytes of one language's texts that are counted at a time, and of all that wait in a task.
-CHUNK, WAITING = 8 << 20, 16 << 20
+CHUNK, WAITING = 4 << 20, 8 << 20
 #: Bits of a bitmap for each phrase in it, and at most.
 BITS_EACH, MAX_BITS = 32, 1 << 27
 #: Word pairs with a score of tau or more are at least ``top`` times this to the power of the number of rounds before.
@@ -95,30 +96,39 @@ def _grown(h: np.ndarray, k: int, maps: dict[tuple[str, int], Bitmap]) -> np.nda
     return wanted
 
 
-def counted(lang: str, texts: list[str], k: int, maps: dict) -> tuple[list[bytes], np.ndarray]:
+def counted(lang: str, texts: list[str], k: int, maps: dict) -> tuple[pa.Array, np.ndarray]:
     """(phrases of k words in the texts, their counts); for k = 1 also "" with the number of all words."""
     words = read(texts)
     number: dict[bytes, int] = defaultdict()
     number.default_factory = number.__len__
     end = number[b"."]
-    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    ids = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+    del words
+    names = pa.array(list(number), pa.binary()).cast(pa.string())
     if k == 1:
-        n = np.bincount(ids, minlength=1)[1:]
-        return [b"", *list(number)[1:]], np.concatenate([[n.sum()], n])
+        n = np.bincount(ids, minlength=1)
+        n[end] = 0
+        return pa.concat_arrays([pa.array([""]), names[1:]]), np.concatenate([[n.sum()], n[1:]])
     if len(ids) < k:
-        return [], np.zeros(0, np.int64)
-    h = _word_hashes(lang, list(number))[ids]
-    wanted = _grown(h, k, maps)
+        return names[:0], np.zeros(0, np.int64)
+    wanted = _grown(_word_hashes(lang, list(number))[ids], k, maps)
     for i in range(k):
         wanted &= ids[i : len(ids) - k + 1 + i] != end
     at = np.flatnonzero(wanted)
-    code, size = ids[at], len(number)
+    code, size, numbered = ids[at].astype(np.int64), len(number), []
     for i in range(1, k):
-        if i > 1:  # numbered anew, so that the next product stays below 64 bits
-            code = np.unique(code, return_inverse=True)[1]
         code = code * size + ids[at + i]
-    _, first, n = np.unique(code, return_index=True, return_counts=True)
-    return [b" ".join(words[i : i + k]) for i in at[first].tolist()], n
+        if i < k - 1:  # numbered anew, so that the next product stays below 64 bits
+            numbered.append(np.unique(code))
+            code = np.searchsorted(numbered[-1], code)
+    code, n = np.unique(code, return_counts=True)
+    parts = []
+    for shorter in [*numbered[::-1], None]:
+        code, last = np.divmod(code, size)
+        parts.append(names.take(pa.array(last)))
+        code = code if shorter is None else shorter[code]
+    parts.append(names.take(pa.array(code)))
+    return pc.binary_join_element_wise(*parts[::-1], " "), n
 
 
 def _count(docs: DataFrame, k: int, maps=None) -> DataFrame:
@@ -133,7 +143,7 @@ def _count(docs: DataFrame, k: int, maps=None) -> DataFrame:
             phrases, n = counted(lang, held.pop(lang), k, sets)
             size.pop(lang)
             for i in range(0, len(phrases), 200_000):
-                part = pa.array(phrases[i : i + 200_000], pa.binary()).cast(pa.string())
+                part = phrases[i : i + 200_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, pa.array(n[i : i + 200_000], pa.int64())], ["lang", "phrase", "f"])
 
         for batch in batches:
