@@ -40,7 +40,7 @@ SHARE = 80
 CHUNK, WAITING = 4 << 20, 8 << 20
 #: Bits of a bitmap for each phrase in it, and at most.
 BITS_EACH, MAX_BITS = 32, 1 << 27
-#: Word pairs with a score of tau or more are at least ``top`` times this to the power of the number of rounds before.
+#: ``top`` times this many word pairs reach tau in the first round, and this many times as many in each round after it.
 WIDER = 8
 #: Scores that one step of tau takes together.
 STEP = 100
@@ -280,7 +280,7 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top: i
     sent.destroy()
     often = _bitmaps(pairs, 2, {"often": every})
     total = words.filter("phrase = ''").select("lang", F.col("f").alias("n"))
-    found, wanted, todo = [], top, None
+    found, wanted, todo = [], WIDER * top, None
     while todo is None or todo:
         mine_, of = (d, pairs) if todo is None else (d.filter(F.col("lang").isin(todo)), pairs.filter(F.col("lang").isin(todo)))
         langs = total.select("lang") if todo is None else total.select("lang").filter(F.col("lang").isin(todo))

@@ -61,7 +61,7 @@ def test_equals_brute_force(spark, monkeypatch, top, bits, chunk):
 
 def test_rounds_until_settled(spark, monkeypatch):
     """Where longer candidates take the place of the best pairs, tau falls until enough survive."""
-    monkeypatch.setattr(collocations, "WIDER", 2)
+    monkeypatch.setattr(collocations, "WIDER", 1.5)
     seen, plain = [], collocations._thresholds
     monkeypatch.setattr(collocations, "_thresholds", lambda *a: seen.append(a[2]) or plain(*a))
     rng = random.Random(3)
