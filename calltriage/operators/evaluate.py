@@ -52,17 +52,17 @@ def running_sums(rows: DataFrame, order: Column, values: dict[str, str], *by: st
     """
     path = scratch_path(rows.sparkSession, "ranges")
     # written out, as another run of the same plan may cut the ranges elsewhere
-    ranged = rows.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, *by, order).withColumn("part", F.spark_partition_id())
+    ranged = rows.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, *by, order).withColumn("__part", F.spark_partition_id())
     ranged.write.parquet(path)
     ranged = rows.sparkSession.read.schema(ranged.schema).parquet(path)
-    inside = Window.partitionBy(*by, "part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     d = ranged.withColumns({name: F.sum(c).over(inside) for c, name in values.items()})
     # one row for each range and group
-    totals = ranged.groupBy(*by, "part").agg(*[F.sum(c).alias(name) for c, name in values.items()])
+    totals = ranged.groupBy(*by, "__part").agg(*[F.sum(c).alias(name) for c, name in values.items()])
     group = Window.partitionBy(*by)
-    before = group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*[F.col(c).alias(f"by_{c}") for c in (*by, "part")], *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in values.values()], *[F.sum(n).over(group).alias(f"{n}_all") for n in values.values()])
-    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"by_{c}")) for c in (*by, "part")])
+    before = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[F.col(c).alias(f"by_{c}") for c in (*by, "__part")], *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in values.values()], *[F.sum(n).over(group).alias(f"{n}_all") for n in values.values()])
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"by_{c}")) for c in (*by, "__part")])
     d = d.join(totals, on)
     return d.select(*rows.columns, *[(F.col(n) + F.col(f"{n}_before")).alias(n) for n in values.values()], *[f"{n}_all" for n in values.values()])
 
@@ -115,3 +115,15 @@ def latency_stats(runs: DataFrame, ms: str) -> DataFrame:
     median = (F.min(F.when(F.col("upto") > lo, F.col("ms"))) + F.min(F.when(F.col("upto") > hi, F.col("ms")))) / 2
     mean = F.sum(F.col("ms") * F.col("c")) / F.max(n)
     return c.agg(F.max(n).alias("n"), F.round(median, 3).alias("median"), F.round(p95, 3).alias("p95"), F.round(F.min("ms"), 3).alias("min"), F.round(F.max("ms"), 3).alias("max"), F.round(mean, 3).alias("mean"))
+
+
+def probe_figures(calls: DataFrame) -> DataFrame:
+    """n, n_flagged and recall of calls with a score ``prob``; recall is null if there are none."""
+    flagged = F.count_if(F.col("prob") >= 0.5)
+    return calls.filter(F.col("prob").isNotNull()).agg(F.count("*").alias("n"), flagged.alias("n_flagged"), F.try_divide(flagged, F.count("*")).alias("recall"))
+
+
+def probe(calls: DataFrame) -> DataFrame:
+    """Each call with a score ``prob``, whether it is flagged, and the figures of all."""
+    each = calls.filter(F.col("prob").isNotNull()).withColumn("flagged", F.col("prob") >= 0.5)
+    return each.join(F.broadcast(probe_figures(calls)), F.lit(True))  # one row

@@ -100,3 +100,10 @@ class Registry:
         """The highest score of all loaded scorers; null if none has one."""
         found = [self.scorers[n].column(signal) for n in self.loaded()]
         return F.greatest(*found) if len(found) > 1 else found[0] if found else F.lit(None).cast("double")
+
+    def select(self):
+        """The scorer to use: an ensemble if several are loaded, else the one that is; without any, one that has no scores."""
+        found = self.loaded()
+        if len(found) == 1:
+            return self.scorers[found[0]]
+        return TextScorer("ensemble", self.ensemble) if found else TextScorer("none")

@@ -5,12 +5,9 @@ from __future__ import annotations
 import logging
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,44 +84,16 @@ def logreg_score(docs: DataFrame, weights: DataFrame, coefficients: DataFrame, i
     return docs.select(id_col, text).join(z, id_col, "left").select(id_col, F.when(F.trim(text) != "", p).alias("prob"))
 
 
-def places(vocab: DataFrame) -> DataFrame:
-    """(family, term, i): the vocabulary, words first, by falling frequency. It is bounded by its size."""
-    return vocab.withColumn("i", F.row_number().over(Window.orderBy(F.desc("family"), F.desc("total"), "term")) - 1).select("family", "term", "i")
-
-
-@F.udf(VectorUDT(), useArrow=True)
-def _sparse(size, at, values):
-    return SparseVector(size, at, values)
-
-
-def as_vectors(weights: DataFrame, vocab: DataFrame, labels: DataFrame, id_col: str, size: int) -> DataFrame:
-    """(id, label, weight, features) for Spark ML; weights balance the classes. A row without a known term has an empty vector."""
-    rows = weights.join(F.broadcast(places(vocab)), ["family", "term"]).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("xs"))
-    totals = labels.groupBy("label").agg(F.count("*").alias("c")).withColumn("n", F.sum("c").over(Window.partitionBy()))  # a row for each label
-    balanced = labels.join(F.broadcast(totals), "label").withColumn("weight", F.col("n") / (2 * F.col("c")))
-    d = balanced.join(rows, id_col, "left").select(id_col, F.col("label").cast("double").alias("label"), "weight", F.coalesce("xs", F.array().cast("array<struct<i:int,w:double>>")).alias("xs"))
-    return d.select(id_col, "label", "weight", _sparse(F.lit(size), F.col("xs.i"), F.col("xs.w")).alias("features"))
-
-
-def fit_logreg(train: DataFrame, c: float, max_iter: int = 2000):
-    """L2 logistic regression; ``c`` is the inverse strength over the sum of losses."""
-    n = train.count()
-    return LogisticRegression(regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=max_iter).fit(train)
-
-
-def model_table(vocab: DataFrame, n_docs: int, model, c: float) -> DataFrame:
-    """(kind, family, term, idf, value): a fitted model as a table.
+def model_table(spark: SparkSession, vocab: pd.DataFrame, model: dict, c: float) -> DataFrame:
+    """(kind, family, term, idf, value): a fitted model as a table; ``vocab`` has the terms in the order of its coefficients.
 
     kind ``term`` has idf and coefficient of each term; ``intercept`` and
     ``best_c`` are one row each.
     """
-    spark = vocab.sparkSession
-    coefficients = spark.createDataFrame(pd.DataFrame({"i": np.arange(model.coefficients.size, dtype=np.int32), "value": model.coefficients.toArray()}))
-    terms = vocab.join(F.broadcast(places(vocab)), ["family", "term"]).join(F.broadcast(coefficients), "i")
-    terms = terms.select(F.lit("term").alias("kind"), "family", "term", idf_smooth(F.col("df"), F.lit(n_docs)).alias("idf"), "value")
-    scalars = spark.createDataFrame([("intercept", float(model.intercept)), ("best_c", float(c))], "kind string, value double")
-    none = F.lit(None).cast("string")
-    return terms.unionByName(scalars.select("kind", none.alias("family"), none.alias("term"), F.lit(None).cast("double").alias("idf"), "value"))
+    terms = pd.DataFrame({"kind": "term", "family": vocab["family"], "term": vocab["term"], "idf": vocab["idf"], "value": model["coefficients"]})
+    schema = "kind string, family string, term string, idf double, value double"
+    scalars = [("intercept", None, None, None, model["intercept"]), ("best_c", None, None, None, float(c))]
+    return spark.createDataFrame(terms, schema).unionByName(spark.createDataFrame(scalars, schema))
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, float, float | None] | None:
@@ -143,17 +112,6 @@ def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, float, float
         return None
 
 
-def tune_c(train: DataFrame, val: DataFrame, grid=GRID) -> list[tuple[float, float]]:
-    """(c, F1 on the validation rows) for each strength, in order; the best is the first maximum."""
-    from .evaluate import class_metrics
-
-    out = []
-    for c in grid:
-        scored = fit_logreg(train, c, 100).transform(val).select("label", (F.col("prediction") == 1).alias("predicted"))
-        out.append((c, class_metrics(scored).first()["f1"]))
-    return out
-
-
 def token_windows(tokens: Column, s: Settings = Settings()) -> Column:
     """Overlapping windows if a text is longer than the model takes, else the text itself."""
     n, size, step = F.size(tokens), s.window_tokens, s.window_stride

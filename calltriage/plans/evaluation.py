@@ -10,6 +10,7 @@ from ..operators import evaluate, sessions
 from ..sources import files
 from . import fixtures as fx
 from .scoring import HITS_SQL, scored
+from .textscores import COEF_SQL, scorer, scores_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -115,10 +116,14 @@ def class_metrics(spark, sf_dir):
     return _rounded(evaluate.class_metrics(rows(spark, sf_dir), "config"), "config")
 
 
-@query(f"WITH {PRED_SQL}, g AS (SELECT label, predicted, CASE WHEN source = 'src0' THEN 'synthetic' ELSE 'other' END AS part FROM rows_ WHERE config = 'text_only') {_metrics_sql('g', 'part')}")
+@query(f"""WITH {PRED_SQL}, g AS (SELECT label, predicted, text_score, CASE WHEN source = 'src0' THEN 'synthetic' ELSE 'other' END AS part FROM rows_ WHERE config = 'text_only'),
+a AS (SELECT p.part, avg(CASE WHEN p.text_score > n.text_score THEN 1.0 WHEN p.text_score = n.text_score THEN 0.5 ELSE 0 END) AS auc FROM g p JOIN g n USING (part) WHERE p.label = 1 AND n.label = 0 AND p.text_score IS NOT NULL AND n.text_score IS NOT NULL GROUP BY 1)
+SELECT m.*, round(auc, 9) AS auc FROM ({_metrics_sql('g', 'part')}) m LEFT JOIN a USING (part)""")
 def metrics_by_source_group(spark, sf_dir):
-    r = rows(spark, sf_dir, "source").filter("config = 'text_only'").withColumn("part", F.when(F.col("source") == "src0", "synthetic").otherwise("other"))
-    return _rounded(evaluate.class_metrics(r, "part"), "part")
+    """Class metrics and AUC of the generated and of all other sources; the area is that of calls with a score."""
+    r = rows(spark, sf_dir, "source", "text_score").filter("config = 'text_only'").withColumn("part", F.when(F.col("source") == "src0", "synthetic").otherwise("other"))
+    auc = evaluate.roc_auc(r.filter("text_score is not null").withColumn("score", F.col("text_score")), "part")
+    return _rounded(evaluate.class_metrics(r, "part"), "part").join(auc, "part", "left").withColumn("auc", F.round("auc", 9))
 
 
 def _curve_input(spark, sf_dir):
@@ -162,10 +167,13 @@ def audio_eval(spark, sf_dir):
     return rows.agg(*[F.round(F.max(c), 9).alias(c) for c in ("eer", "auc", "accuracy")], F.max("n").alias("n"))
 
 
-@query(f"WITH {fx.CALLS_SQL} SELECT count(*) AS n, sum((text_score >= 0.5)::INT)::BIGINT AS flagged, round(sum((text_score >= 0.5)::INT) / count(*), 9) AS recall FROM calls WHERE label = 1 AND text_score IS NOT NULL")
+@query(f"""WITH {COEF_SQL}, {fx.CALLS_SQL}, probes AS (SELECT * FROM calls WHERE label = 1), {scores_sql('probe', 'probes', 'call_id', 'word')},
+p AS (SELECT call_id, prob, prob >= 0.5 AS flagged FROM probe_scores WHERE prob IS NOT NULL)
+SELECT call_id, round(prob, 6) AS prob, flagged, (SELECT count(*) FROM p) AS n, (SELECT count(*) FROM p WHERE flagged) AS n_flagged, (SELECT round(count(*) FILTER (flagged) / count(*), 9) FROM p) AS recall FROM p""")
 def probe_heldout(spark, sf_dir):
-    p = fx.calls(spark, sf_dir).filter("label = 1 and text_score is not null").withColumn("flagged", F.col("text_score") >= 0.5)
-    return p.agg(F.count("*").alias("n"), F.count_if("flagged").alias("flagged"), F.round(F.try_divide(F.count_if("flagged"), F.count("*")), 9).alias("recall"))
+    """The held-out scam calls with the score of their text by a model of words, and how many of them it flags."""
+    p = evaluate.probe(fx.calls(spark, sf_dir).filter("label = 1").withColumn("prob", scorer(spark, sf_dir, "word").column(F.col("text"))))
+    return p.select("call_id", F.round("prob", 6).alias("prob"), "flagged", "n", "n_flagged", F.round("recall", 9).alias("recall"))
 
 
 @query("SELECT max(event_id) FILTER (e = m) AS event_id FROM (SELECT event_id, round(value) AS e, min(round(value)) OVER () AS m FROM events)")
@@ -216,8 +224,8 @@ def write_metrics(spark, sf_dir):
 def baseline_context(spark, sf_dir):
     """A run's committed probe figures, read from its JSON document, beside the summary; fields that it lacks are null."""
     path = files.scratch_path(spark, "baseline")
-    probe = probe_heldout(spark, sf_dir)
-    files.write_document(probe.select(F.struct(F.col("flagged"), "n", "recall").alias("probe")), path)
+    probe = evaluate.probe_figures(fx.calls(spark, sf_dir).filter("label = 1").withColumn("prob", F.col("text_score")))
+    files.write_document(probe.select(F.struct(F.col("n_flagged").alias("flagged"), "n", F.round("recall", 9).alias("recall")).alias("probe")), path)
     known = files.read_baseline(spark, path, "probe", {"flagged": "long", "recall": "double", "other": "double"})
     summary = evaluate.confusion(rows(spark, sf_dir), "config")
     return summary.join(F.broadcast(known), F.lit(True), "left").select("config", "tp", "flagged", "recall", "other")  # one row

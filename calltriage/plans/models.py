@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import audio, evaluate, scorers, textmodel
+from ..operators import audio, evaluate, logistic, scorers, termmodel, textmodel
 from ..sources import files
 from ..streaming import sessions as live
 from . import fixtures as fx
 from .evaluation import levels_sql
 from .scoring import SCORED_TEXTS_SQL
+from .textscores import COEF_SQL, TURNS_SQL, coefficients, scorer, turns, vocabulary
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
+
 def query(sql=None, name=None):
     def put(f):
         QUERIES[name or f.__name__] = f
@@ -25,45 +27,6 @@ def query(sql=None, name=None):
     return put
 
 
-def turns(spark, sf_dir):
-    """Turns of conversations as short texts: (id, text, label)."""
-    c = fx.table(spark, sf_dir, "conversations")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("text"), (F.col("role") == "assistant").cast("int").alias("label"))
-
-
-# Words are matched without look-arounds, so both engines split alike on letters of any language.
-TURNS_SQL = rf"""turns AS (SELECT conv_id * 1000 + turn AS id, coalesce(text, '') AS text, CAST(role = 'assistant' AS INT) AS label FROM conversations),
-toks AS (SELECT id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 1) AS w FROM turns),
-grams AS (SELECT id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM toks),
-sizes AS (SELECT unnest([3, 4, 5]) AS n),
-runs AS (SELECT id, substring(t, i, n) AS term FROM (SELECT id, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM (SELECT id, lower(text) AS t FROM turns), sizes WHERE length(t) >= n)),
-terms AS (SELECT 'word' AS family, id, term, count(*) AS tf FROM grams GROUP BY ALL UNION ALL SELECT 'char', id, term, count(*) FROM runs GROUP BY ALL),
-vocab AS (SELECT family, term, df, total FROM (
-  SELECT *, row_number() OVER (PARTITION BY family ORDER BY total DESC, term) AS r FROM (SELECT family, term, count(*) AS df, sum(tf)::BIGINT AS total FROM terms GROUP BY ALL HAVING count(*) >= 2)) WHERE r <= {textmodel.FAMILY_TERMS}),
-raw AS (SELECT family, id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM turns)) / (1 + df)) + 1) AS w FROM terms JOIN vocab USING (family, term)),
-tfidf AS (SELECT family, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id, family)) AS w FROM raw)"""
-
-
-def terms(spark, sf_dir):
-    """The terms of both families, written out, as vocabulary and weights both read them."""
-    path = files.scratch_path(spark, "terms")
-    textmodel.two_families(turns(spark, sf_dir), "id", "text").write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def vocabulary(spark, terms_):
-    """The vocabulary of both families, written out."""
-    path = files.scratch_path(spark, "vocabulary")
-    textmodel.vocabulary(terms_).write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def weights(spark, sf_dir):
-    t = terms(spark, sf_dir)
-    v = vocabulary(spark, t)
-    return textmodel.tfidf(t, v, turns(spark, sf_dir).count(), "id"), v
-
-
 @query(f"WITH {TURNS_SQL} SELECT id, term, tf FROM terms WHERE family = 'word'")
 def word_ngrams(spark, sf_dir):
     return textmodel.word_ngrams(turns(spark, sf_dir), "id", "text")
@@ -76,7 +39,7 @@ def char_ngrams(spark, sf_dir):
 
 @query(f"WITH {TURNS_SQL} SELECT * FROM vocab")
 def vocab_select(spark, sf_dir):
-    return textmodel.vocabulary(terms(spark, sf_dir))
+    return vocabulary(spark, sf_dir)
 
 
 @query(f"WITH {TURNS_SQL} SELECT family, id, term, round(1 + ln(tf), 9) AS w FROM terms")
@@ -88,80 +51,107 @@ def tf_sublinear(spark, sf_dir):
 @query(f"WITH {TURNS_SQL} SELECT family, term, round(ln((1 + (SELECT count(*) FROM turns)) / (1 + df)) + 1, 9) AS idf FROM vocab")
 def idf_smooth(spark, sf_dir):
     n = turns(spark, sf_dir).count()
-    return textmodel.vocabulary(terms(spark, sf_dir)).select("family", "term", F.round(textmodel.idf_smooth(F.col("df"), F.lit(n)), 9).alias("idf"))
+    return vocabulary(spark, sf_dir).select("family", "term", F.round(textmodel.idf_smooth(F.col("df"), F.lit(n)), 9).alias("idf"))
 
 
 @query(f"WITH {TURNS_SQL} SELECT family, id, term, round(w, 6) AS w FROM tfidf")
 def tfidf_l2(spark, sf_dir):
-    return weights(spark, sf_dir)[0].select("family", "id", "term", F.round("w", 6).alias("w"))
+    d, v = termmodel.dictionary(vocabulary(spark, sf_dir), turns(spark, sf_dir).count())
+    # the vocabulary is bounded by its size
+    names = F.broadcast(spark.createDataFrame(v[["family", "term"]].reset_index(names="i")))
+    x = termmodel.features(turns(spark, sf_dir), d, "id", "text").select("id", F.explode(F.arrays_zip("i", "w")).alias("x"))
+    return x.select("id", "x.i", "x.w").join(names, "i").select("family", "id", "term", F.round("w", 6).alias("w"))
 
 
 def _vectors(spark, sf_dir):
-    """(vectors of both families as written out, the vocabulary); a fifth of the turns is for validation, a fifth for the test."""
+    """(rows of features, label and class weight, written out; the dictionary's table); a fifth of the turns is for validation, a fifth for the test."""
     t, path = turns(spark, sf_dir), files.scratch_path(spark, "vectors")
-    w, v = weights(spark, sf_dir)
-    part = F.pmod(F.xxhash64("id", F.lit(42)), F.lit(5))
-    d = textmodel.as_vectors(w, v, t.select("id", "label"), "id", 2 * textmodel.FAMILY_TERMS)
-    d.withColumn("split", F.when(part == 0, "val").when(part == 1, "test").otherwise("train")).write.parquet(path)
+    d, v = termmodel.dictionary(vocabulary(spark, sf_dir), t.count())
+    part = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long") % 5
+    rows = termmodel.features(t, d, "id", "text").join(t.select("id", "label"), "id")
+    rows.withColumn("split", F.when(part == 0, "val").when(part == 1, "test").otherwise("train")).write.parquet(path)
     return spark.read.parquet(path), v
 
 
+def _fitted(rows, v, strengths):
+    """The models of all strengths, fitted together on the training rows, which are kept at hand meanwhile."""
+    train = logistic.balanced(rows.filter("split = 'train'")).persist()
+    models = logistic.fit(train, len(v), strengths)
+    train.unpersist()
+    return models
+
+
+def _tuned(spark, sf_dir):
+    """(all metrics on held-out turns for each strength and whether it is the first best, the models, the dictionary's table)."""
+    rows, v = _vectors(spark, sf_dir)
+    models = _fitted(rows, v, textmodel.GRID)
+    scored = logistic.scored(rows.filter("split = 'val'"), models).withColumn("predicted", F.col("score") >= 0.5)
+    log = evaluate.class_metrics(scored, "c").join(evaluate.roc_auc(scored, "c"), "c")
+    facts = spark.createDataFrame([(c, m["iterations"], m["converged"]) for c, m in models.items()], "c double, iterations int, converged boolean")
+    # a row for each strength
+    first = F.row_number().over(Window.orderBy(F.desc("f1"), "c")) == 1
+    return log.join(F.broadcast(facts), "c").withColumn("best", first), models, v
+
+
 @query()
 def logreg_fit(spark, sf_dir):
     """Metrics of the fitted model on the rows that it learned from and on those that it did not."""
-    d, _ = _vectors(spark, sf_dir)
-    m = textmodel.fit_logreg(d.filter("split = 'train'"), 1.0)
-    scored = m.transform(d).select("split", "label", (F.col("prediction") == 1).alias("predicted"), vector_to_array("probability")[1].alias("score"))
+    rows, v = _vectors(spark, sf_dir)
+    scored = logistic.scored(rows, _fitted(rows, v, (1.0,))).withColumn("predicted", F.col("score") >= 0.5)
     return evaluate.class_metrics(scored, "split").join(evaluate.roc_auc(scored, "split"), "split")
 
 
 @query()
 def logreg_tune_c(spark, sf_dir):
-    """F1 on held-out turns for each strength, and the first best."""
-    d, _ = _vectors(spark, sf_dir)
-    found = textmodel.tune_c(d.filter("split = 'train'"), d.filter("split = 'val'"))
-    best = max(found, key=lambda x: x[1])[0]
-    return spark.createDataFrame([(c, f, c == best) for c, f in found], "c double, f1 double, best boolean")
+    """The tuning log: all metrics on held-out turns for each strength, and the first with the best F1."""
+    return _tuned(spark, sf_dir)[0]
+
+
+@query("""WITH s AS (SELECT role = 'assistant' AS y, CAST('0x' || substring(md5((conv_id * 1000 + turn)::VARCHAR), 1, 8) AS BIGINT) % 5 AS part FROM conversations)
+SELECT c, n_train, n_positive, true AS stationary FROM (SELECT count(*) AS n_train, count(*) FILTER (y) AS n_positive FROM s WHERE part > 1), (SELECT unnest([0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0])::DOUBLE AS c)""")
+def logreg_optimum(spark, sf_dir):
+    """For each strength, whether the loss has no slope at the fitted coefficients: added up anew from a row for each term."""
+    rows, v = _vectors(spark, sf_dir)
+    models = _fitted(rows, v, textmodel.GRID)
+    train = logistic.balanced(rows.filter("split = 'train'"))
+    part = logistic.scored(train, models).withColumn("residual", F.col("weight") * (F.col("score") - F.col("label")))
+    at = part.select("c", "residual", F.explode(F.arrays_zip("i", "w")).alias("x"))
+    slopes = at.groupBy("c", F.col("x.i").alias("i")).agg(F.sum(F.col("residual") * F.col("x.w")).alias("slope"))
+    own = spark.createDataFrame([(c, i, float(b)) for c, m in models.items() for i, b in enumerate(m["coefficients"])], "c double, i int, b double")
+    slope = F.col("c") * F.coalesce("slope", F.lit(0.0)) + F.col("b")
+    worst = own.join(slopes, ["c", "i"], "left").groupBy("c").agg(F.max(F.abs(slope)).alias("slope"))
+    n = part.groupBy("c").agg(F.count("*").alias("n_train"), F.sum("label").alias("n_positive"), F.sum("residual").alias("free"))
+    flat = F.greatest(F.col("slope"), F.abs(F.col("c") * F.col("free"))) <= 1e-5 * F.greatest(F.lit(1.0), F.col("c") * F.col("n_train"))
+    return n.join(worst, "c").select("c", "n_train", "n_positive", flat.alias("stationary"))
 
 
 @query()
 def model_persist(spark, sf_dir):
-    """A fitted model as a table, loaded again: terms with idf and coefficient, intercept and best C beside them."""
-    d, v = _vectors(spark, sf_dir)
-    path, c = files.scratch_path(spark, "model"), 1.0
-    textmodel.model_table(v, d.count(), textmodel.fit_logreg(d.filter("split = 'train'"), c), c).write.parquet(path)
+    """The model of the best strength as a table, loaded again: terms with idf and coefficient, intercept and best C beside them."""
+    log, models, v = _tuned(spark, sf_dir)
+    best = log.filter("best").first()["c"]
+    path = files.scratch_path(spark, "model")
+    textmodel.model_table(spark, v, models[best], best).write.parquet(path)
     found, intercept, best = textmodel.load_model(spark, path)
     return found.withColumns({"intercept": F.lit(intercept), "best_c": F.lit(best)})
 
 
-_COEF = "((ascii(substring(term, 1, 1)) * 31 + length(term) * 17) % 41 - 20) / 10.0"
-
-
-def _coefficients(v):
-    return v.select("family", "term", F.expr(f"cast({_COEF} as double)").alias("coef"))
-
-
-COEF_SQL = f"{TURNS_SQL}, coefs AS (SELECT family, term, CAST((ascii(substring(term, 1, 1)) * 31 + length(term) * 17) % 41 - 20 AS DOUBLE) / 10.0::DOUBLE AS coef FROM vocab)"
-
-
 @query(f"WITH {COEF_SQL} SELECT t.id, CASE WHEN trim(any_value(text)) <> '' THEN round(1 / (1 + exp(-(coalesce(sum(w * coef), 0) - 0.5::DOUBLE))), 6) END AS prob FROM turns t LEFT JOIN (SELECT id, w, coef FROM tfidf JOIN coefs USING (family, term)) x USING (id) GROUP BY t.id")
 def logreg_score(spark, sf_dir):
-    w, v = weights(spark, sf_dir)
-    s = textmodel.logreg_score(turns(spark, sf_dir), w, _coefficients(v), -0.5, "id", "text")
-    return s.select("id", F.round("prob", 6).alias("prob"))
+    return turns(spark, sf_dir).select("id", F.round(scorer(spark, sf_dir).column(F.col("text")), 6).alias("prob"))
 
 
 @query(f"WITH {COEF_SQL} (SELECT 'high' AS side, term, coef FROM coefs WHERE family = 'word' ORDER BY coef DESC, term LIMIT 25) UNION ALL (SELECT 'low', term, coef FROM coefs WHERE family = 'word' ORDER BY coef, term LIMIT 25)")
 def top_features(spark, sf_dir):
     """The words with the highest and lowest coefficients; their number is the operator's feature."""
-    c = _coefficients(vocabulary(spark, terms(spark, sf_dir))).filter("family = 'word'")
+    c = coefficients(vocabulary(spark, sf_dir)).filter("family = 'word'")
     high = c.orderBy(F.desc("coef"), "term").limit(25).select(F.lit("high").alias("side"), "term", "coef")
     return high.unionByName(c.orderBy("coef", "term").limit(25).select(F.lit("low").alias("side"), "term", "coef"))
 
 
 @query(f"WITH {TURNS_SQL} SELECT family, count(*) AS n FROM vocab GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM vocab")
 def feature_dims(spark, sf_dir):
-    v = textmodel.vocabulary(terms(spark, sf_dir))
+    v = vocabulary(spark, sf_dir)
     return v.rollup("family").agg(F.count("*").alias("n")).select(F.coalesce("family", F.lit("total")).alias("family"), "n")
 
 
@@ -273,14 +263,9 @@ def chunk_stream(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-def _length_score(text):
-    """Stands for a text model."""
-    return F.length(text) / 6000.0
-
-
 @query(f"""WITH {levels_sql(SCORED_TEXTS_SQL, 'scored_texts', 'risk_score')}, d AS (SELECT *, lag(level) OVER (PARTITION BY session_id ORDER BY seq) AS was FROM lv)
-SELECT session_id, seq, n_chars, n_hits, hit_ids, round(risk_score, 9) AS risk_score, level, level = 'high' AND coalesce(was, 'low') <> 'high' AS alert, false AS late FROM d JOIN scored_texts USING (session_id, seq)""")
+SELECT session_id, seq, n_chars, n_hits, hit_ids, round(risk_score, 6) AS risk_score, level, level = 'high' AND coalesce(was, 'low') <> 'high' AS alert, false AS late FROM d JOIN scored_texts USING (session_id, seq)""")
 def score_stream(spark, sf_dir):
-    """The events as live chunks: the rolling text is scored at each chunk, the level follows the scores."""
+    """The events as live chunks: rules and a model of words score the rolling text at each chunk, the level follows the scores."""
     chunks = fx.as_chunks(live.read_events(spark, sf_dir)).select("session_id", "seq", "ts", "chunk")
-    return live.score_stream(chunks, files.scratch_path(spark, "stream"), _length_score).withColumn("risk_score", F.round("risk_score", 9))
+    return live.score_stream(chunks, files.scratch_path(spark, "stream"), scorer(spark, sf_dir, "word").column).withColumn("risk_score", F.round("risk_score", 6))

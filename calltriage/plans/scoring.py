@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import risk
-from ..operators import explain, normalize, signatures
+from ..operators import explain, normalize, scorers, signatures
 from . import fixtures as fx
+from . import textscores
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -52,16 +53,17 @@ scored AS (SELECT *, CASE WHEN risk >= 0.65::DOUBLE THEN 'high' WHEN risk >= 0.3
 
 _SUM = " + ".join(f"sig_{r.id}::INT * {dict([(1, 0.12), (2, 0.22), (3, 0.35)])[r.severity]}::DOUBLE" for r in signatures.RULES)
 _IDS = ", ".join(f"CASE WHEN sig_{r.id} THEN '{r.id}' END" for r in signatures.RULES)
-#: Rolling texts with hits, and fused with a text score of length / 6000.
-SCORED_TEXTS_SQL = f"""{fx.TEXTS_SQL}, masked AS (SELECT session_id, seq, transcript, {_NO_PLACES.format(_NO_NEGATED.format('transcript'))} AS m FROM texts),
+#: Rolling texts with hits, and fused with the score of a model of words.
+SCORED_TEXTS_SQL = f"""{textscores.COEF_SQL}, {fx.TEXTS_SQL}, said_texts AS (SELECT seq, transcript AS text FROM texts),
+{textscores.scores_sql('said', 'said_texts', 'seq', 'word')}, masked AS (SELECT session_id, seq, transcript, {_NO_PLACES.format(_NO_NEGATED.format('transcript'))} AS m FROM texts),
 flags AS (SELECT session_id, seq, transcript, {_FLAGS} FROM masked),
 scored_texts AS (SELECT session_id, seq, length(transcript)::INT AS n_chars, ({' + '.join(f'sig_{r.id}::INT' for r in signatures.RULES)})::INT AS n_hits, array_to_string(list_filter([{_IDS}], lambda x: x IS NOT NULL), ',') AS hit_ids,
-  1 - (1 - length(transcript) / 6000.0::DOUBLE) * (1 - least({_SUM}, 1.0::DOUBLE) * 0.85::DOUBLE) AS risk_score FROM flags)"""
+  1 - (1 - coalesce(prob, 0)) * (1 - least({_SUM}, 1.0::DOUBLE) * 0.85::DOUBLE) AS risk_score FROM flags JOIN said_scores USING (seq))"""
 
 
-def scored(spark, sf_dir):
+def scored(spark, sf_dir, calls=None):
     """Calls with hits, sums, risk and level: what every score query starts from."""
-    c = signatures.summary(signatures.with_hits(fx.calls(spark, sf_dir)))
+    c = signatures.summary(signatures.with_hits(calls or fx.calls(spark, sf_dir)))
     c = c.withColumn("risk", risk.noisy_or(F.col("text_score"), F.col("hits.severity"), F.col("audio_score")))
     return c.withColumn("level", risk.classify_level(F.col("risk")))
 
@@ -196,9 +198,9 @@ explained AS (
   FROM scored s LEFT JOIN listed USING (call_id))"""
 
 
-def _explained(spark, sf_dir):
+def _explained(spark, sf_dir, calls=None):
     args = (F.col("hits"), F.col("text_score"), F.col("audio_score"))
-    return scored(spark, sf_dir).select("call_id", "level", F.round("risk", 12).alias("risk"), F.col("n_hits"), explain.explanation(F.col("level"), *args).alias("explanation"), explain.reasons(*args).alias("reasons"))
+    return scored(spark, sf_dir, calls).select("call_id", "level", F.round("risk", 12).alias("risk"), F.col("n_hits"), explain.explanation(F.col("level"), *args).alias("explanation"), explain.reasons(*args).alias("reasons"))
 
 
 @query(f"WITH {EXPLAIN_SQL} SELECT call_id, explanation FROM explained")
@@ -209,9 +211,20 @@ def explain_calls(spark, sf_dir):
 QUERIES["explain"], SQL["explain"] = QUERIES.pop("explain_calls"), SQL.pop("explain_calls")
 
 
-@query(f"WITH {EXPLAIN_SQL} SELECT * FROM explained")
+#: The calls' texts under the term model instead of their given scores.
+MODEL_CALLS_SQL = f"{textscores.scores_sql('call', 'calls', 'call_id')}, model_calls AS (SELECT c.* REPLACE (prob AS text_score) FROM calls c JOIN call_scores USING (call_id))"
+ANALYZE_SQL = f"{textscores.COEF_SQL}, " + EXPLAIN_SQL.replace(", masked AS", f", {MODEL_CALLS_SQL}, masked AS", 1).replace("FROM calls c LEFT JOIN", "FROM model_calls c LEFT JOIN")
+
+
+def model_calls(spark, sf_dir):
+    """The calls, whose text score comes from their text."""
+    return fx.calls(spark, sf_dir).withColumn("text_score", textscores.scorer(spark, sf_dir).column(F.col("text")))
+
+
+@query(f"WITH {ANALYZE_SQL} SELECT call_id, level, round(risk, 6) AS risk, n_hits, explanation FROM explained")
 def analyze_calls(spark, sf_dir):
-    return _explained(spark, sf_dir).drop("reasons")
+    """A call's text, rules and voice fused and explained; the text score is a term model's."""
+    return _explained(spark, sf_dir, model_calls(spark, sf_dir)).drop("reasons").withColumn("risk", F.round("risk", 6))
 
 
 @query(f"""WITH {EXPLAIN_SQL} SELECT level, count(*) AS n_calls, sum(CASE WHEN level = 'low' THEN 0 ELSE
@@ -265,7 +278,19 @@ def ensemble_max(spark, sf_dir):
     return fx.calls(spark, sf_dir).select("call_id", F.greatest("text_score", "audio_score").alias("best"))
 
 
-@query(f"WITH {fx.CALLS_SQL} SELECT call_id, coalesce(audio_score, text_score) AS chosen FROM calls")
+_LOADED = {"both": ("terms", "length"), "terms_only": ("terms",), "length_only": ("length",), "none": ()}
+
+
+@query("""SELECT id, round(greatest(p, q), 9) AS "both", round(p, 9) AS terms_only, round(q, 9) AS length_only, NULL::DOUBLE AS "none" FROM (
+  SELECT conv_id * 1000 + turn AS id, CASE WHEN trim(text) <> '' THEN length(text) / (length(text) + 100.0::DOUBLE) END AS q,
+    CASE WHEN trim(text) <> '' THEN CASE WHEN contains(lower(text), 'an') THEN 0.8::DOUBLE ELSE 0.2 END END AS p FROM conversations)""")
 def scorer_select(spark, sf_dir):
-    """The first scorer that has a score."""
-    return fx.calls(spark, sf_dir).select("call_id", F.coalesce("audio_score", "text_score").alias("chosen"))
+    """The scorer that is chosen for each set of loaded ones: the ensemble of two, else the one that is there, else none."""
+    models = {"terms": lambda t: F.when(F.contains(F.lower(t), F.lit("an")), 0.8).otherwise(0.2), "length": lambda t: F.length(t) / (F.length(t) + 100.0)}
+    t = textscores.turns(spark, sf_dir)
+    for name, loaded in _LOADED.items():
+        known = scorers.Registry()
+        for k, score in models.items():
+            known.register(scorers.TextScorer(k, score if k in loaded else None))
+        t = t.withColumn(name, F.round(known.select().column(F.col("text")), 9))
+    return t.select("id", *_LOADED)

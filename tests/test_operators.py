@@ -82,9 +82,9 @@ def test_hysteresis_window_equals_fold(spark):
 
 def test_stream_equals_batch(spark, tmp_path):
     """Texts, scores, levels and alerts as the batch operators have them; rules are found across chunks."""
-    got = {(r.session_id, r.seq): r for r in live.score_stream(fx.as_chunks(live.read_events(spark, SF)), str(tmp_path / "out"), models._length_score).collect()}
+    got = {(r.session_id, r.seq): r for r in live.score_stream(fx.as_chunks(live.read_events(spark, SF)), str(tmp_path / "out"), _length_score).collect()}
     texts = sessions.rolling_transcript(fx.chunks(spark, SF), "session_id", "seq", "chunk").withColumn("late", F.lit(False))
-    scores = live.score_texts(texts, models._length_score)
+    scores = live.score_texts(texts, _length_score)
     batch = sessions.hysteresis(scores, "session_id", "seq", "risk_score")
     alerts = {(r.session_id, r.seq) for r in sessions.escalations(batch, "session_id", "seq").collect()}
     rows = batch.collect()
@@ -141,43 +141,34 @@ def test_waveforms(spark):
     assert r.short == [0, 1, 2, 3, 4, 0, 0, 0] and r.long == list(range(2, 10)) and r.same == list(range(8))
 
 
+def _length_score(text):
+    """Stands for a text model."""
+    return F.length(text) / 6000.0
+
+
 def test_settings():
     assert Settings().override(high=0.9).high == 0.9
     with pytest.raises(TypeError):
         Settings().override(unknown=1)
 
 
-def test_rows_without_terms_stay(spark):
-    w = spark.createDataFrame([("word", 1, "a", 1.0)], "family string, id long, term string, w double")
-    v = spark.createDataFrame([("word", "a", 2, 3), ("char", "abc", 2, 9)], "family string, term string, df long, total long")
-    rows = textmodel.as_vectors(w, v, spark.createDataFrame([(1, 0), (2, 1)], "id long, label int"), "id", 5).collect()
-    assert {r.id: (r.features.size, list(r.features.indices)) for r in rows} == {1: (5, [0]), 2: (5, [])}
-
-
 def test_models_learn_from_all_turns_and_both_families(spark):
-    d, _ = models._vectors(spark, SF)
-    x = [r.features for r in d.collect()]
-    assert len(x) == models.turns(spark, SF).count() and x[0].size == 60_000
-    assert sum(v.numNonzeros() for v in x) > 0 and max(v.norm(2) for v in x) > 1.4  # each family has length one
+    d, v = models._vectors(spark, SF)
+    x = d.collect()
+    assert len(x) == models.turns(spark, SF).count() and set(v["family"]) == {"word", "char"}
+    assert max(math.fsum(w * w for w in r.w) for r in x) == pytest.approx(2)  # each family has length one
+
+
+def test_tuned_strength_is_kept_with_the_model(spark):
+    log, found, v = models._tuned(spark, SF)
+    log = sorted(log.collect(), key=lambda r: r.c)
+    assert [r.c for r in log] == list(textmodel.GRID) and all(r.converged and 0 <= r.auc <= 1 for r in log)
+    best = max(log, key=lambda r: r.f1).c  # the first, if several are equal
+    assert [r.c for r in log if r.best] == [best]
     rows = models.QUERIES["model_persist"](spark, SF).collect()
     n = {f: sum(r.family == f for r in rows) for f in ("word", "char")}
-    assert n["char"] > 300 and n["word"] > 300 and {r.best_c for r in rows} == {1.0} and all(r.idf >= 1 for r in rows)
-
-
-def test_logistic_fit_equals_a_numeric_optimum(spark):
-    rng = np.random.default_rng(3)
-    x = rng.random((120, 4)) * (rng.random((120, 4)) < 0.6)
-    y = (x @ [2, -1, 0.5, 0] + rng.normal(0, 0.4, 120) > 0.4).astype(int)
-    rows = [("word", i, f"t{j}", float(v)) for i, r in enumerate(x) for j, v in enumerate(r) if v]
-    vocab = spark.createDataFrame([("word", f"t{j}", 9, 100 - j) for j in range(4)], "family string, term string, df long, total long")
-    d = textmodel.as_vectors(spark.createDataFrame(rows, "family string, id long, term string, w double"), vocab, spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "id long, label int"), "id", 4)
-    m = textmodel.fit_logreg(d, 1.0)
-    weight, b, z = np.where(y == 1, 60 / y.sum(), 60 / (120 - y.sum())), np.zeros(5), np.c_[x, np.ones(120)]
-    for _ in range(50):  # Newton's method on the same loss
-        p = 1 / (1 + np.exp(-z @ b))
-        g = z.T @ (weight * (p - y)) + np.r_[b[:4], 0]
-        b -= np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([1, 1, 1, 1, 0]), g)
-    assert np.allclose([*m.coefficients, m.intercept], b, atol=1e-3)
+    assert n["char"] > 300 and n["word"] > 300 and {r.best_c for r in rows} == {best} and all(r.idf >= 1 for r in rows)
+    assert rows[0].intercept == pytest.approx(found[best]["intercept"], abs=1e-6)
 
 
 def test_models_that_cannot_be_read(spark, tmp_path):

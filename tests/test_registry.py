@@ -10,7 +10,6 @@ from calltriage.plans import registry
 from .conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"logreg_tune_c", "logreg_fit"}
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
@@ -29,7 +28,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     got = [tuple(value(r[c]) for c in sorted(df.columns)) for r in df.collect()]
