@@ -3,11 +3,15 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import random
 import re
 import textwrap
+import time
 import urllib.parse
 import zlib
 
+import zstandard
+
 from calltriage.llm import secret_scan as S
 
 from ..conftest import SF
@@ -99,3 +103,96 @@ def test_documents_equal_plain_patterns(spark):
         assert set(base.split(",")) - {""} <= set(g.spans.split(","))
         total += len(spans)
     assert total > 0
+
+
+SECRET = f"x password={'q' * 8} {KEY} "
+FOUND = {"assign", "access"}
+
+
+def wrap(raw):
+    return f"a {base64.b64encode(raw).decode()} z"
+
+
+def test_every_kind_of_packed_data_is_read():
+    raw = SECRET.encode()
+
+    def deflated(window):
+        c = zlib.compressobj(9, zlib.DEFLATED, window)
+        return c.compress(raw) + c.flush()
+
+    kinds = [deflated(w) for w in (9, 10, 11, 12, 13, 14, 15, -15)]
+    kinds.append(lzma.compress(raw, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": 1 << 29}]))
+    kinds.append(lzma.compress(raw, format=lzma.FORMAT_ALONE))
+    kinds += [zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=w)).compress(raw) for w in (20, 30)]
+    kinds += [gzip.compress(zlib.compress(bz2.compress(raw))), b"head" + gzip.compress(raw) + b"tail", gzip.compress(raw[:20]) + gzip.compress(raw[20:])]
+    for k, packed in enumerate(kinds):
+        cut = []
+        assert {x for x, _, _ in S.find(wrap(packed), cut)[1]} == FOUND and cut == [], k
+
+
+def test_broken_streams_are_reported(spark):
+    rng = random.Random(1)
+    packed = gzip.compress(SECRET.encode() + rng.randbytes(3000))
+    cut = []
+    assert {k for k, _, _ in S.find(wrap(packed[:-100]), cut)[1]} == FOUND and len(set(cut)) == 1
+    rows = [(1, wrap(packed)), (2, wrap(packed[:-100])), (3, wrap(rng.randbytes(5000)))]
+    got = {r.doc_id: r.n_cut for r in S.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
+
+
+def test_work_grows_with_the_text():
+    def seconds(n):
+        text = wrap(b"".join(zlib.compress(b"xyz%d " % i) for i in range(n)) + zlib.compress(SECRET.encode()))
+        start = time.process_time()
+        assert {k for k, _, _ in S.find(text)[1]} == FOUND
+        return time.process_time() - start
+
+    assert seconds(2000) < 1 and seconds(16_000) < 30 * max(0.05, seconds(2000))
+
+
+LAYERS = {
+    "url": lambda t: "".join(f"%{b:02x}" for b in t.encode()),
+    "quote": urllib.parse.quote,
+    "escape": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+    "hex": lambda t: "".join(f"\\x{b:02x}" for b in t.encode()),
+    "base64": lambda t: base64.b64encode(t.encode()).decode(),
+    "urlsafe": lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="),
+    "gzip": lambda t: base64.b64encode(gzip.compress(t.encode())).decode(),
+    "zlib": lambda t: base64.b64encode(zlib.compress(t.encode(), 9)).decode(),
+    "bz2": lambda t: base64.b64encode(bz2.compress(t.encode())).decode(),
+    "xz": lambda t: base64.b64encode(lzma.compress(t.encode())).decode(),
+    "lines": lambda t: "\n".join(textwrap.wrap(base64.b64encode(t.encode()).decode(), 60)),
+}
+
+
+def peeled(text, depth):
+    """A plain recursive decoder: every way to unwrap the whole text, one layer after another."""
+    yield text
+    if not depth:
+        return
+    squeezed = re.sub(r"\s", "", text).replace("-", "+").replace("_", "/")
+    tries = [lambda: urllib.parse.unquote(text)]
+    tries.append(lambda: re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), text))
+    tries.append(lambda: re.sub(rb"\\x([0-9a-f]{2})", lambda m: bytes([int(m[1], 16)]), text.encode()).decode())
+    for unpack in (lambda b: b, gzip.decompress, zlib.decompress, bz2.decompress, lzma.decompress):
+        tries.append(lambda unpack=unpack: unpack(base64.b64decode(squeezed + "=" * (-len(squeezed) % 4), validate=True)).decode())
+    for t in tries:
+        try:
+            new = t()
+        except Exception:  # not wrapped in this way
+            continue
+        if new != text and new:
+            yield from peeled(new, depth - 1)
+
+
+def test_random_nestings_equal_a_plain_decoder():
+    rng = random.Random(11)
+    for _ in range(60):
+        names = rng.choices(list(LAYERS), k=rng.randrange(1, 5))
+        text = rng.choice(["", "é ", "\n"]) + SECRET + "0123456789abcdef" * 2
+        for n in names:
+            text = LAYERS[n](text)
+        want = {k for t in peeled(text, len(names)) for k, _, _ in S.scan(t)}
+        got = S.find(f"vor {text} nach")[1]
+        assert want and want <= {k for k, _, _ in got}, names
+        assert all(4 <= a < b <= 4 + len(text) for _, a, b in got), names
