@@ -55,6 +55,10 @@ def policy_mask(policy: str) -> int:
     return sum(1 << names.index(x) for x in POLICIES[policy])
 
 
+#: The measurements of a text, in the order of their columns.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_upper", "n_repeat_words")
+
+
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the measurements to every row of ``docs``.
 
@@ -63,12 +67,11 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n_repeat_words: the words inside 8-word windows that occur twice or more
     in the text. A null text counts as empty and measures 0 everywhere. Rows
     are independent: repeated rows and repeated ids keep one result each.
-    Columns of the input whose names clash with the measurements are replaced.
+    Columns of any name stay; those named like a measurement or ``fail_bits``
+    go on as ``<name>_input``.
     """
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_upper", "n_repeat_words")
-    keep = [c for c in docs.columns if c not in names]
-    d = docs.select(*keep, t.alias("__text"))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    d = docs.toDF(*own).withColumn("__text", F.coalesce(F.col(own[docs.columns.index(text_col)]), F.lit("")))
     d = with_words(d, "__text", "__words", SPACE_CLASS)
     d = d.withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]")))
     d = d.withColumns(
@@ -92,7 +95,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # windows start at __at: each covers the words up to the next start, the last one all of its words
     steps = F.zip_with(F.slice("__at", 1, F.greatest(F.size("__at") - 1, F.lit(0))), F.slice("__at", 2, F.greatest(F.size("__at") - 1, F.lit(0))), lambda a, b: F.least(b - a, F.lit(WINDOW)))
     covered = F.aggregate(steps, F.lit(WINDOW), lambda acc, x: acc + x)
-    return d.withColumn("n_repeat_words", F.when(F.col("__rep"), covered).otherwise(0).cast("long")).drop("__rep", "__at")
+    d = d.withColumn("n_repeat_words", F.when(F.col("__rep"), covered).otherwise(0).cast("long"))
+    return d.select(*own, *MEASURES).toDF(*[f"{c}_input" if c in (*MEASURES, "fail_bits") else c for c in docs.columns], *MEASURES)
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:

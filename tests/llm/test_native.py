@@ -78,3 +78,10 @@ def test_pipeline_stages(spark, tmp_path):
         elif name == "secret_scan":
             assert out.count() == docs.count() and all(not secret_scan.find(r.text)[0] for r in out.collect())
         docs, before = out, out.count()
+
+
+def test_ledger_keeps_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "word " * 30, 7, "x", 2), (2, None, 8, "y", 3)], "doc_id long, text string, n_words int, fail_bits string, `a.b` int")
+    rows = {r.doc_id: r for r in quality_rules.ledger(d).collect()}
+    assert (rows[1].n_words, rows[1].n_words_input, rows[1].fail_bits_input, rows[1]["a.b"]) == (30, 7, "x", 2) and rows[2].n_words == 0
+    assert quality_rules.keep(d.withColumnRenamed("n_words", "c0")).columns == ["doc_id", "text", "c0", "fail_bits", "a.b"]

@@ -1,5 +1,6 @@
 """The pipeline against a plain version of all of its stages."""
 
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -7,6 +8,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import pytest
 from calltriage.llm import queries, secret_scan
+from calltriage.llm.common import scratch_dir
 from tokenizers import Tokenizer
 
 from ..conftest import SF
@@ -56,7 +58,10 @@ def redacted(t):
 
 @pytest.fixture(scope="module")
 def pieces(spark):
-    return corpus_pipeline.run(spark, SF).collect()
+    rows = corpus_pipeline.run(spark, SF).collect()
+    folder = scratch_dir(spark).removeprefix("file:")
+    assert [x.rpartition("-")[0] for x in os.listdir(folder) if x.startswith("pipeline-")] == ["pipeline-secret_scan"]
+    return rows
 
 
 def test_pipeline_equals_plain_stages(spark, pieces):
