@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltriage.llm import decontaminate, near_dedup, packing, quality_rules, secret_scan
-from calltriage.llm.common import scratch_table, table
+from calltriage.llm.common import drop_scratch, scratch_table, table
 from calltriage.llm.queries import tokenizer_path
 
 
@@ -57,8 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies all stages to ``documents``. A stage's table is deleted once the next one stands; the last one's input stays, as the result reads it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = scratch_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop_scratch(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
