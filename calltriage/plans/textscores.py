@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import scorers, termmodel, textmodel
+from ..operators import heavyterms, scorers, termmodel, textmodel
 from ..sources import files
 from . import fixtures as fx
 
@@ -53,7 +53,7 @@ def scores_sql(made: str, source: str, key: str, family: str | None = None) -> s
 def vocabulary(spark, sf_dir):
     """The vocabulary of both families, written out; only its terms are."""
     path = files.scratch_path(spark, "vocabulary")
-    textmodel.vocabulary(textmodel.two_families(turns(spark, sf_dir), "id", "text")).write.parquet(path)
+    heavyterms.vocabulary(turns(spark, sf_dir), "text").write.parquet(path)
     return spark.read.parquet(path)
 
 

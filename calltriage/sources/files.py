@@ -25,6 +25,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes files that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines with the common schema; broken lines raise."""
     return spark.read.schema(CALLS).option("mode", "FAILFAST").json(path)
