@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audio, evaluate, logistic, scorers, termmodel, textmodel
 from ..sources import files
-from ..streaming import sessions as live
+from ..streaming import follow, sessions as live
 from . import fixtures as fx
 from .evaluation import levels_sql
 from .scoring import SCORED_TEXTS_SQL
@@ -263,9 +263,40 @@ def chunk_stream(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@query(f"""WITH {levels_sql(SCORED_TEXTS_SQL, 'scored_texts', 'risk_score')}, d AS (SELECT *, lag(level) OVER (PARTITION BY session_id ORDER BY seq) AS was FROM lv)
-SELECT session_id, seq, n_chars, n_hits, hit_ids, round(risk_score, 6) AS risk_score, level, level = 'high' AND coalesce(was, 'low') <> 'high' AS alert, false AS late FROM d JOIN scored_texts USING (session_id, seq)""")
+_STREAM_SQL = f"""WITH {levels_sql(SCORED_TEXTS_SQL, 'scored_texts', 'risk_score')}, d AS (SELECT *, lag(level) OVER (PARTITION BY session_id ORDER BY seq) AS was FROM lv)
+SELECT session_id, seq, n_chars, n_hits, hit_ids, round(risk_score, 6) AS risk_score, level, level = 'high' AND coalesce(was, 'low') <> 'high' AS alert, false AS late FROM d JOIN scored_texts USING (session_id, seq)"""
+
+
+@query(_STREAM_SQL)
 def score_stream(spark, sf_dir):
     """The events as live chunks: rules and a model of words score the rolling text at each chunk, the level follows the scores."""
     chunks = fx.as_chunks(live.read_events(spark, sf_dir)).select("session_id", "seq", "ts", "chunk")
     return live.score_stream(chunks, files.scratch_path(spark, "stream"), scorer(spark, sf_dir, "word").column).withColumn("risk_score", F.round("risk_score", 6))
+
+
+def _followed(spark, sf_dir):
+    """The folder of one run of the chained query over all events."""
+    out = files.scratch_path(spark, "follow")
+    chunks = fx.as_chunks(live.read_events(spark, sf_dir)).select("session_id", "seq", "ts", "chunk")
+    follow.run_follow(follow.follow(chunks, scorer(spark, sf_dir, "word").column), out)
+    return out
+
+
+@query(_STREAM_SQL)
+def score_stream_chained(spark, sf_dir):
+    """The same as one query with state variables that live for a limited time."""
+    return follow.written(spark, f"{_followed(spark, sf_dir)}/levels", live.LEVELS).drop("batch").withColumn("risk_score", F.round("risk_score", 6))
+
+
+@query(f"SELECT session_id, seq FROM ({_STREAM_SQL}) WHERE alert")
+def alert_on_escalation_live(spark, sf_dir):
+    """The alerts of that query, as its sink has them: each once, by batch id."""
+    return follow.written(spark, f"{_followed(spark, sf_dir)}/alerts", "session_id long, seq long").drop("batch")
+
+
+@query("SELECT user_id AS session_id, max(ts) AS last_seen FROM events GROUP BY user_id ORDER BY last_seen DESC, session_id LIMIT 500")
+def session_evict_live(spark, sf_dir):
+    """The most recently used sessions of a stream; their number is the operator's feature."""
+    out = files.scratch_path(spark, "recent")
+    follow.keep_recent(fx.as_chunks(live.read_events(spark, sf_dir)), out)
+    return follow.recent(spark, out)

@@ -90,12 +90,12 @@ def rolling_texts(chunks: DataFrame) -> DataFrame:
     return chunks.withWatermark("ts", "1 day").groupBy("session_id").applyInPandasWithState(_texts, TEXTS, "transcript string, seq long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def score_texts(texts: DataFrame, text_score: Callable[[Column], Column] | None = None, rules=signatures.RULES) -> DataFrame:
-    """Rolling texts, batch or stream, scored by rules and a text scorer (none: that signal is missing); the texts are left out."""
+def score_texts(texts: DataFrame, text_score: Callable[[Column], Column] | None = None, rules=signatures.RULES, *kept: str) -> DataFrame:
+    """Rolling texts, batch or stream, scored by rules and a text scorer (none: that signal is missing); the texts are left out, columns of ``kept`` stay."""
     d = signatures.summary(signatures.with_hits(texts, rules, "transcript"))
     own = text_score(F.col("transcript")) if text_score else F.lit(None).cast("double")
     d = d.withColumn("risk_score", risk.noisy_or(own, F.col("hits.severity"), F.lit(None).cast("double")))
-    return d.select("session_id", "seq", "ts", F.length("transcript").alias("n_chars"), F.col("n_hits").cast("int").alias("n_hits"), "hit_ids", "risk_score", "late")
+    return d.select("session_id", "seq", "ts", F.length("transcript").alias("n_chars"), F.col("n_hits").cast("int").alias("n_hits"), "hit_ids", "risk_score", "late", *kept)
 
 
 def follow_levels(scores: DataFrame) -> DataFrame:
