@@ -32,9 +32,17 @@ def test_measures(spark):
     assert a["few_words"][0] == 10 and a["repeated_windows"] == (1, 1)
 
 
+@pytest.fixture
+def no_auto_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize(("hash_set", "bytes_"), [(50_000, 1 << 26), (0, 1 << 26), (50_000, 0), (0, 0)])
-def test_contamination(spark, monkeypatch, hash_set, bytes_):
-    """Every way of looking windows up gives the same."""
+def test_contamination(spark, monkeypatch, no_auto_broadcast, hash_set, bytes_):
+    """Every way of looking windows up gives the same, the shuffled join included."""
     monkeypatch.setattr(decontaminate, "HASH_SET", hash_set)
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bytes_)
     item = "one two three four five six seven eight nine ten eleven twelve"
