@@ -68,8 +68,9 @@ def read_baseline(spark: SparkSession, path: str, block: str, fields: dict[str,
 
 
 def append_metrics(metrics: DataFrame, run: str, path: str) -> None:
-    """(run, split, metric, value) rows, added to what is there."""
-    metrics.select(F.lit(run).alias("run"), "split", "metric", "value").write.mode("append").parquet(path)
+    """(run, split, metric, value) rows, added to those of other runs; a repeated run replaces its own."""
+    rows = metrics.select(F.lit(run).alias("run"), "split", "metric", "value")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 def read_spoof_protocol(spark: SparkSession, path: str, audio_dir: str) -> DataFrame:
