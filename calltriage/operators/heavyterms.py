@@ -159,7 +159,7 @@ def vocabulary(docs: DataFrame, text: str, min_df: int = 2, size: int = textmode
     """(family, term, df, total): of each family, the most frequent terms of ``min_df`` texts or more, ``size`` at most; equal totals by term.
 
     Each row of ``docs`` is a text; null has no terms, an empty table gives no
-    rows. The documents are read twice, and twice again for each time that
+    rows. The documents are read twice, and once more for each time that
     too few survivors are in ``min_df`` texts.
     """
     spark = docs.sparkSession
