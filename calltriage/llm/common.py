@@ -117,3 +117,17 @@ def with_window_hashes(df: DataFrame, hashes: str, out: str, n: int) -> DataFram
         have, name = have + k, f"__run{have + k}"
     made = [c for c in df.columns if c.startswith("__run")]
     return df.withColumn(out, F.col(name)).drop(*made)
+
+
+def run_hash(hashes: Column, n: int) -> Column:
+    """The hash that ``with_window_hashes`` has for the first ``n`` values, as one expression."""
+
+    def power(at: int, k: int) -> Column:
+        return F.get(hashes, at) if k == 1 else F.xxhash64(power(at, k // 2), power(at + k // 2, k // 2))
+
+    have = 1 << (n.bit_length() - 1)
+    out = power(0, have)
+    while have < n:
+        k = 1 << ((n - have).bit_length() - 1)
+        out, have = F.xxhash64(out, power(have, k)), have + k
+    return out

@@ -3,8 +3,10 @@
 Test items become windows of consecutive words, and documents blocks of words,
 so that a row stays small however long a text is. The hashes of all windows of
 a block are looked up in the set of the items' hashes, which goes to all tasks;
-only windows of blocks with a hit become rows. These are joined to the items'
-windows and verified on the words themselves.
+only windows of blocks with a hit become rows. A set too large for that is
+looked up as a Bloom filter, whose size is bounded, and only windows that pass
+it go on. They are joined to the items' windows and verified on the words
+themselves.
 """
 
 from __future__ import annotations
@@ -12,18 +14,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, numbered, renamed, scratch_table, with_window_hashes, with_words
+from .common import ascii_lower, numbered, renamed, run_hash, scratch_table, with_window_hashes, with_words
 
 #: Separators of words: ASCII without digits and letters (after lower-casing).
 SEPARATOR_CLASS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 NGRAM = 10
 BLOCK = 32
-#: The set of hashes goes to all tasks up to this many; with more, all windows of documents become rows.
+#: The set of hashes goes to all tasks up to this many; with more, its Bloom filter does.
 HASH_SET = 50_000
 #: What is broadcast to a join has this many bytes at most; more is joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 #: As an estimate: what a row of a broadcast holds besides its strings.
 ROW_BYTES = 100
+#: The Bloom filter has a long for this many windows, each of which sets up to 4 of its bits.
+FILTER_KEYS = 4
+#: As an estimate: what a long of the filter takes in a broadcast. It has BROADCAST_BYTES at most; a fuller one lets more windows pass.
+FILTER_ROW_BYTES = 50
 
 
 def add_words(df: DataFrame, text_col: str, out: str) -> DataFrame:
@@ -47,13 +53,10 @@ def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str
     return b.select("gram", F.size("gram").alias("len"), "items")
 
 
-def _hashed(windows: DataFrame, lengths: list[int]) -> DataFrame:
+def _hashed(windows: DataFrame, n: int) -> DataFrame:
     """Adds ``h``, the hash that a document's window of the same words has."""
     w = windows.withColumn("hw", F.transform("gram", lambda x: F.xxhash64(x)))
-    for n in lengths:
-        w = with_window_hashes(w, "hw", f"h{n}", n)
-    h = F.coalesce(*[F.when(F.col("len") == n, F.get(f"h{n}", F.lit(0))) for n in lengths])
-    return w.select(h.alias("h"), "gram", "len", "items")
+    return w.select(F.coalesce(*[F.when(F.col("len") == k, run_hash(F.col("hw"), k)) for k in range(n, 0, -1)]).alias("h"), "gram", "len", "items")
 
 
 def _windows_of(n: int) -> Column:
@@ -86,19 +89,40 @@ def _probes(docs: DataFrame, text_col: str, lengths: list[int], known: dict[int,
     return d.select("rid", "n_words", (F.col("at") + F.col("p.k") - 1).alias("pos"), F.col("p.k").alias("k"), F.col("p.len").alias("plen"), F.col("p.h").alias("ph"), "block")
 
 
+def _bits(h: Column) -> Column:
+    """The bits of a hash in its long of the filter, from the hash's upper bits."""
+    one = lambda shift: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, shift).bitwiseAND(63).cast("int"))
+    return one(40).bitwiseOR(one(46)).bitwiseOR(one(52)).bitwiseOR(one(58))
+
+
+def _filtered(probes: DataFrame, wins: DataFrame, n_windows: int) -> DataFrame:
+    """The probes that may be one of ``wins``, with ``block`` cut to the window's words, and those of length 0.
+
+    The filter is a table of longs joined by number, so a window's row takes
+    one long from it and no document moves.
+    """
+    longs = max(1, min(-(-n_windows // FILTER_KEYS), BROADCAST_BYTES // FILTER_ROW_BYTES))
+    slot = lambda h: F.pmod(h, F.lit(longs).cast("long"))
+    f = wins.groupBy(slot(F.col("h")).alias("slot")).agg(F.bit_or(_bits(F.col("h"))).alias("bits"))
+    p = probes.join(F.broadcast(f), slot(probes.ph) == f.slot, "left")
+    p = p.filter((F.col("plen") == 0) | (F.col("bits").bitwiseAND(_bits(F.col("ph"))) == _bits(F.col("ph"))))
+    return p.withColumn("block", F.slice("block", "k", "plen")).withColumn("k", F.lit(1)).drop("slot", "bits")
+
+
 def _probed(docs: DataFrame, benchmark: DataFrame, text_col: str, n: int) -> DataFrame:
     """``_probes`` with the items of each verified window; windows without items are left out."""
-    wins = scratch_table(item_windows(benchmark, n=n), "leak-windows")
+    wins = scratch_table(_hashed(item_windows(benchmark, n=n), n), "leak-windows")
     # the lengths are n values at most
     stats = wins.groupBy("len").agg(F.count("*").alias("n"), F.sum(F.length(F.array_join("gram", " ")) + F.length(F.array_join("items", " ")) + ROW_BYTES).alias("bytes")).collect()
     lengths = sorted({r["len"] for r in stats} | {n})
-    wins = _hashed(wins, lengths)
-    known = None
-    if sum(r["n"] for r in stats) <= HASH_SET:
+    known, n_windows = None, sum(r["n"] for r in stats)
+    if n_windows <= HASH_SET:
         found = wins.select("len", "h").collect()  # HASH_SET rows at most
         known = {m: sorted({r["h"] for r in found if r["len"] == m}) for m in lengths}
     side = F.broadcast(wins) if sum(r["bytes"] for r in stats) <= BROADCAST_BYTES else wins
     p = _probes(docs, text_col, lengths, known)
+    if known is None:
+        p = _filtered(p, wins, n_windows)
     return p.join(side, (p.ph == side.h) & (p.plen == side.len) & (F.slice(p.block, p.k, p.plen) == side.gram), "left").filter("plen = 0 or items is not null")
 
 
