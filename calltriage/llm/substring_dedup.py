@@ -32,7 +32,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def units(texts: list[str | None], min_words: int = MIN_WORDS, line_words: int | None = None) -> tuple[np.ndarray, ...]:
+def units(texts: list[str | None], min_words: int = MIN_WORDS, line_words: int = 1) -> tuple[np.ndarray, ...]:
     """(text number, digest, start, end, first word, word after the last) of all units; start and end are code points."""
     raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     buf = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)
@@ -67,7 +67,7 @@ def units(texts: list[str | None], min_words: int = MIN_WORDS, line_words: int |
     fits = (a >= first_word[doc]) & (a + min_words <= stop[doc])
     doc, a, b = doc[fits], a[fits], a[fits] + min_words
     of, c, d = spans(line)
-    whole = d - c >= (min_words if line_words is None else line_words)
+    whole = d - c >= line_words
     key, at = np.unique(np.concatenate((a, c[whole])) * (len(word) + 1) + np.concatenate((b, d[whole])), return_index=True)
     doc, a, b = np.concatenate((doc, of[whole]))[at], key // (len(word) + 1), key % (len(word) + 1)
     run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word * power[: len(word)], dtype=np.uint64)))
@@ -89,7 +89,7 @@ def _again(doc: np.ndarray, digest: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return out
 
 
-def _unit_rows(docs: DataFrame, min_words: int, line_words: int | None) -> DataFrame:
+def _unit_rows(docs: DataFrame, min_words: int, line_words: int) -> DataFrame:
     """One row per unit. ``chars`` is start and end; ``words`` is first word, word after the last, and whether it is ``again``."""
     schema = "rid long, doc_id long, digest long, chars long, words long"
 
@@ -107,11 +107,10 @@ def _unit_rows(docs: DataFrame, min_words: int, line_words: int | None) -> DataF
     return docs.mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, line_words: int | None = None, rid: str | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, line_words: int = 1, rid: str | None = None) -> DataFrame:
     """One row per removed run: doc_id, start, end (code points, exclusive), n_words, n_units.
 
-    Whole lines count as units from ``line_words`` words on (as many as
-    ``min_words`` if not given; 1 is plain line dedup). Rows are ranked by id;
+    Whole lines count as units from ``line_words`` words on. Rows are ranked by id;
     of rows that share an id, each keeps what the others of that id hold. Null
     ids rank last. Null and empty texts have no units. An empty table gives no
     rows; other columns don't matter. ``rid`` names a column that tells rows
@@ -137,7 +136,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return runs.select(*(["rid"] if rid else []), ids, "start", "end", "n_words", "n_units")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, line_words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, line_words: int = 1) -> DataFrame:
     """``docs`` without their repeated runs. All rows and columns stay, whatever the columns are named."""
     own = scratch_table(numbered(docs), "substring-rows")
     i, t = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))

@@ -15,7 +15,7 @@ def test_passages_are_found_wherever_they_stand(spark):
     rows = [(i, f"{text(rng, 40)} {passage if i % 3 == 0 else ''} {text(rng, 30)}\nÜber {text(rng, 5)}") for i in range(30)]
     rows += [(100, rows[1][1]), (100, rows[1][1]), (101, None), (102, ""), (103, f"{passage}\n{passage.upper()}"), (None, passage)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as words", "2 as start").repartition(3)
-    got = S.repeated_spans(df).collect()
+    got = S.repeated_spans(df, line_words=S.MIN_WORDS).collect()
     by = {r.doc_id for r in got}
     assert by == {i for i in range(3, 30, 3)} | {100, 103, None}
     texts = dict(rows)
@@ -25,7 +25,7 @@ def test_passages_are_found_wherever_they_stand(spark):
         if r.doc_id not in (100, 103):
             assert t[r.start : r.end] in passage and r.n_words > 30
     # the earliest place stays; afterwards nothing is repeated
-    left = S.remove_repeats(df).collect()
+    left = S.remove_repeats(df, line_words=S.MIN_WORDS).collect()
     assert len(left) == len(rows) and any(r.doc_id == 0 and passage in r.text for r in left)
     assert sum(passage.lower() in (r.text or "").lower() for r in left) == 1
 
@@ -38,7 +38,7 @@ def test_units_are_hashes_of_their_words():
     rng = random.Random(4)
     long = text(rng, 200)
     texts = [f"one two\n{long}", None, "", "  É x\t", f"{text(rng, 9)} {long.upper()} end"]
-    doc, digest, a, b, w, x = S.units(texts, line_words=1)
+    doc, digest, a, b, w, x = S.units(texts)
     assert set(doc.tolist()) == {0, 3, 4} and (x - w > 0).all()
     seen = {}
     for d, h, i, j, m, n in zip(doc, digest, a, b, w, x, strict=True):
@@ -71,7 +71,7 @@ def test_removes_what_brute_force_finds(spark):
     rows = [tuple(r) for r in docs.collect()]
     want = {d: h[0] for d, h in brute(rows).items()}
     texts, got = dict(rows), {d: [False] * len(h) for d, h in want.items()}
-    for r in S.repeated_spans(docs).collect():
+    for r in S.repeated_spans(docs, line_words=S.MIN_WORDS).collect():
         at = len(words(texts[r.doc_id][: r.start]))
         assert len(words(texts[r.doc_id][r.start : r.end])) == r.n_words >= S.MIN_WORDS
         got[r.doc_id][at : at + r.n_words] = [True] * r.n_words
@@ -86,11 +86,37 @@ def test_removes_what_brute_force_finds(spark):
             at += len(run) + 1
 
 
-def test_short_lines_go_if_wanted(spark):
+def test_short_lines_go(spark):
     df = spark.createDataFrame([(1, "a b\nc d e"), (2, "x\nA  b\ny"), (3, "c d e f")], "doc_id long, text string")
-    assert S.repeated_spans(df).count() == 0
-    assert [(r.doc_id, r.start, r.end, r.n_words) for r in S.repeated_spans(df, line_words=1).collect()] == [(2, 2, 6, 2)]
-    assert [r.text for r in S.remove_repeats(df, line_words=1).orderBy("doc_id").collect()] == ["a b\nc d e", "x\n\ny", "c d e f"]
+    assert S.repeated_spans(df, line_words=3).count() == 0
+    assert [(r.doc_id, r.start, r.end, r.n_words) for r in S.repeated_spans(df).collect()] == [(2, 2, 6, 2)]
+    assert [r.text for r in S.remove_repeats(df).orderBy("doc_id").collect()] == ["a b\nc d e", "x\n\ny", "c d e f"]
+
+
+def covered(spark, docs, line_words):
+    texts = dict(tuple(r) for r in docs.collect())
+    got = {d: [False] * len(words(t)) for d, t in texts.items()}
+    for r in S.repeated_spans(docs, line_words=line_words).collect():
+        at = len(words(texts[r.doc_id][: r.start]))
+        got[r.doc_id][at : at + r.n_words] = [True] * r.n_words
+    return got
+
+
+def test_all_repeated_lines_are_covered(spark):
+    """Lines of one word and up, against plain Python; besides them, only what long units cover."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-2, "a\nB c\n\na\n a "), (-1, "b  C\nb c d\n\tA")], "doc_id long, text string"))
+    want, seen, short = covered(spark, docs, S.MIN_WORDS), set(), 0
+    for d, t in sorted(tuple(r) for r in docs.collect()):
+        at = 0
+        for line in (t or "").split("\n"):
+            w = tuple(words(line))
+            if w and w in seen:
+                want[d][at : at + len(w)] = [True] * len(w)
+                short += len(w) < S.MIN_WORDS
+            seen.add(w)
+            at += len(w)
+    assert want[-2] == [False] * 3 + [True] * 2 and want[-1] == [True] * 2 + [False] * 3 + [True] and short > 20
+    assert covered(spark, docs, 1) == want
 
 
 def test_odd_column_names(spark):
