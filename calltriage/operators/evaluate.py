@@ -127,3 +127,41 @@ def probe(calls: DataFrame) -> DataFrame:
     """Each call with a score ``prob``, whether it is flagged, and the figures of all."""
     each = calls.filter(F.col("prob").isNotNull()).withColumn("flagged", F.col("prob") >= 0.5)
     return each.join(F.broadcast(probe_figures(calls)), F.lit(True))  # one row
+
+
+#: Size of a quantile sketch.
+SKETCH = 1024
+
+
+def rank_error(k: int = SKETCH) -> float:
+    """How far, as a share of all rows, a sketch's quantile is from its rank: 99 in 100 are nearer (the published bound of KLL sketches)."""
+    return 2.296 / k**0.9723
+
+
+def sketches(rows: DataFrame, value: Column, *by: str, k: int = SKETCH) -> DataFrame:
+    """(by, n, sketch): a bounded summary of the values of each group, which can be kept and merged; nothing is sorted."""
+    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.kll_sketch_agg_double(value.cast("double"), F.lit(k)).alias("sketch"))
+
+
+def merged(kept: DataFrame, *by: str) -> DataFrame:
+    """The sketches of coarser groups, from those of finer ones; their rows aren't read again."""
+    return kept.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantiles(kept: DataFrame, quantiles: dict[str, float], *by: str) -> DataFrame:
+    """(by, n, one column for each named quantile)."""
+    return kept.select(*by, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias(name) for name, q in quantiles.items()])
+
+
+def rank_gaps(rows: DataFrame, value: Column, found: DataFrame, quantiles: dict[str, float], *by: str) -> DataFrame:
+    """(by, n, one column for each quantile): how far, as a share, the found values are from their ranks, counted exactly.
+
+    ``found`` has a row a group, of few groups.
+    """
+    r = rows.select(*by, value.cast("double").alias("__v")).filter("__v is not null").join(F.broadcast(found.select(*by, *quantiles)), [*by])
+
+    def gap(name: str, q: float) -> Column:
+        below, upto = (F.count_if(c) / F.count("*") for c in (F.col("__v") < F.col(name), F.col("__v") <= F.col(name)))
+        return F.greatest(below - q, q - upto, F.lit(0.0)).alias(name)
+
+    return r.groupBy(*by).agg(F.count("*").alias("n"), *[gap(n, q) for n, q in quantiles.items()])

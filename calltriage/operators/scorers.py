@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import logging
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .audio import fit_window
@@ -16,6 +18,19 @@ from .audio import fit_window
 LOG = logging.getLogger(__name__)
 #: Waveforms that a voice model gets at a time.
 BATCH = 64
+#: Models that a worker process keeps.
+KEPT_MODELS = 3
+_MODELS: OrderedDict = OrderedDict()
+
+
+def worker_model(key: str, load: Callable[[], Callable]) -> Callable:
+    """The model of a key, made once in a worker process and kept for its later tasks."""
+    if key not in _MODELS:
+        _MODELS[key] = load()
+    _MODELS.move_to_end(key)
+    while len(_MODELS) > KEPT_MODELS:
+        _MODELS.popitem(last=False)
+    return _MODELS[key]
 
 
 @dataclass(frozen=True)
@@ -31,21 +46,34 @@ class TextScorer:
 
     def column(self, text: Column) -> Column:
         """The score; null without a model and for blank texts."""
-        blank = F.coalesce(F.regexp_replace(text, r"(?U)\s+", "") == "", F.lit(True))
-        return F.when(~blank, self.score(text)) if self.is_loaded else F.lit(None).cast("double")
+        return F.when(self.applies(text), self.score(text)) if self.is_loaded else F.lit(None).cast("double")
+
+    def applies(self, text: Column) -> Column:
+        """Whether there is anything to score."""
+        return F.coalesce(F.regexp_replace(text, r"(?U)\s+", "") != "", F.lit(False))
 
 
 @dataclass(frozen=True)
 class AudioScorer:
-    """A voice model: ``logits`` takes a batch of equally long waveforms, one a row, and gives a logit for each."""
+    """A voice model: ``logits`` takes a batch of equally long waveforms, one a row, and gives a logit for each.
+
+    A model too large to be sent with every task is given as ``load`` instead,
+    which makes it once in each worker process.
+    """
 
     name: str
     logits: Callable[[np.ndarray], np.ndarray] | None = None
     length: int | None = None
+    load: Callable[[], Callable[[np.ndarray], np.ndarray]] | None = None
+    key: str = field(default_factory=lambda: uuid.uuid4().hex, repr=False, compare=False)
 
     @property
     def is_loaded(self) -> bool:
-        return self.logits is not None
+        return self.logits is not None or self.load is not None
+
+    def applies(self, samples: Column) -> Column:
+        """Whether there is anything to score."""
+        return F.coalesce(F.size(samples) > 0, F.lit(False))
 
     def column(self, samples: Column) -> Column:
         """The probability of a made voice; null without a model, without samples and where the model fails.
@@ -55,29 +83,30 @@ class AudioScorer:
         """
         if not self.is_loaded:
             return F.lit(None).cast("double")
-        logits = self.logits
+        given, load, key = self.logits, self.load, self.key
 
-        def tried(x: np.ndarray) -> np.ndarray:
+        def tried(logits: Callable, x: np.ndarray) -> np.ndarray:
             try:
                 return np.asarray(logits(x), np.float64).reshape(len(x))
             except Exception as e:  # a model that fails counts as a missing signal
                 if len(x) > 1:
-                    return np.concatenate([tried(x[i : i + 1]) for i in range(len(x))])
+                    return np.concatenate([tried(logits, x[i : i + 1]) for i in range(len(x))])
                 LOG.warning("voice scoring failed: %s", e)
                 return np.full(1, np.nan)
 
         @F.pandas_udf("double")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            logits = given or worker_model(key, load)
             for s in batches:
                 z = np.full(len(s), np.nan)
                 at = np.flatnonzero(s.notna())
                 for i in range(0, len(at), BATCH):
                     rows = at[i : i + BATCH]
-                    z[rows] = tried(np.stack([np.asarray(s.iloc[k], np.float32) for k in rows]))
+                    z[rows] = tried(logits, np.stack([np.asarray(s.iloc[k], np.float32) for k in rows]))
                 p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
                 yield pd.Series(p).astype(object).where(~np.isnan(z), None)
 
-        return run(F.when(F.size(samples) > 0, fit_window(samples, self.length)))
+        return run(F.when(self.applies(samples), fit_window(samples, self.length)))
 
 
 @dataclass
@@ -107,3 +136,27 @@ class Registry:
         if len(found) == 1:
             return self.scorers[found[0]]
         return TextScorer("ensemble", self.ensemble) if found else TextScorer("none")
+
+
+def with_scores(df: DataFrame, known: Registry, signal: Column, seen: Observation | None = None) -> DataFrame:
+    """Adds ``score_<name>`` for each loaded scorer.
+
+    ``seen`` is given, with the first action, ``tried_<name>`` (rows that had
+    something to score) and ``failed_<name>`` (those of them without a score).
+    Spark counts a task's rows once, whatever is repeated.
+    """
+    names = known.loaded()
+    out = df.select("*", *[known.scorers[n].column(signal).alias(f"score_{n}") for n in names])
+    if seen is None or not names:
+        return out
+    had = {n: known.scorers[n].applies(signal) for n in names}
+    return out.observe(seen, *[c for n in names for c in (F.count_if(had[n]).alias(f"tried_{n}"), F.count_if(had[n] & F.col(f"score_{n}").isNull()).alias(f"failed_{n}"))])
+
+
+def failures(df: DataFrame, known: Registry, signal: Column) -> DataFrame:
+    """(scorer, tried, failed) of all loaded scorers, in one pass over the rows."""
+    names = known.loaded()
+    had = [known.scorers[n].applies(signal).alias(f"had_{n}") for n in names]
+    rows = with_scores(df, known, signal).select(*had, *[F.col(f"score_{n}") for n in names])
+    each = F.array(*[F.struct(F.lit(n).alias("scorer"), F.count_if(f"had_{n}").alias("tried"), F.count_if(F.col(f"had_{n}") & F.col(f"score_{n}").isNull()).alias("failed")) for n in names])
+    return rows.agg(each.alias("s")).select(F.inline("s"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import corpus, normalize
+from ..operators import corpus, evaluate, normalize
 from ..operators.templates import FAMILIES, POOLS
 from ..sources import files
 from . import fixtures as fx
@@ -211,6 +211,15 @@ def length_stats(spark, sf_dir):
     return corpus.length_stats(_split_records(spark, sf_dir))
 
 
+@query(f"WITH {SPLIT_SQL} SELECT split, count(*) AS n, true AS within FROM splits GROUP BY split")
+def length_sketch(spark, sf_dir):
+    """The median length by sketches made for each source and merged by split: is its exactly counted rank within twice the bound?"""
+    s, words, q = _split_records(spark, sf_dir), normalize.word_count(F.col("text")), {"median": 0.5}
+    kept = evaluate.merged(evaluate.sketches(s, words, "split", "source"), "split")
+    gaps = evaluate.rank_gaps(s, words, evaluate.sketch_quantiles(kept, q, "split"), q, "split")
+    return gaps.select("split", "n", (F.col("median") <= 2 * evaluate.rank_error()).alias("within"))
+
+
 _DEDUP_SQL = "deduped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS dr FROM corpus) WHERE dr = 1)"
 DEDUP_SPLIT_SQL = SPLIT_SQL.replace(", ranked AS (", f", {_DEDUP_SQL}, ranked AS (").replace("AS n FROM corpus)", "AS n FROM deduped)")
 

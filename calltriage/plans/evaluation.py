@@ -97,6 +97,15 @@ def latency_stats(spark, sf_dir):
     return evaluate.latency_stats(fx.table(spark, sf_dir, "events"), "value")
 
 
+@query("SELECT event_type, count(value) AS n, true AS within FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def latency_sketch(spark, sf_dir):
+    """Median and 95th percentile by sketches: are their exactly counted ranks within twice the bound?"""
+    e, q = fx.table(spark, sf_dir, "events"), {"median": 0.5, "p95": 0.95}
+    found = evaluate.sketch_quantiles(evaluate.sketches(e, F.col("value"), "event_type"), q, "event_type")
+    gaps = evaluate.rank_gaps(e, F.col("value"), found, q, "event_type")
+    return gaps.select("event_type", "n", (F.greatest("median", "p95") <= 2 * evaluate.rank_error()).alias("within"))
+
+
 METRICS_SQL = """n, accuracy, precision, recall, f1"""
 
 

@@ -240,6 +240,19 @@ def null_on_failure(spark, sf_dir):
     return _waves(spark, sf_dir).select("vec_id", scorers.AudioScorer("picky", picky, 80).column(F.col("samples")).alias("score"))
 
 
+@query("SELECT 'picky' AS scorer, count(*) AS tried, count(*) FILTER (embedding[1] < 0) AS failed FROM embeddings WHERE len(embedding) > 0 UNION ALL SELECT 'mean', count(*), 0 FROM embeddings WHERE len(embedding) > 0")
+def scorer_failures(spark, sf_dir):
+    """How many rows each voice model was tried on, and on how many it failed; one model is made in the workers."""
+
+    def picky(x):
+        if (x[:, 0] < 0).any():
+            raise ValueError("not for me")
+        return 0 * x[:, 0]
+
+    known = scorers.Registry().register(scorers.AudioScorer("picky", picky, 80)).register(scorers.AudioScorer("mean", length=80, load=lambda: _mean_logits)).register(scorers.AudioScorer("absent"))
+    return scorers.failures(_waves(spark, sf_dir), known, F.col("samples"))
+
+
 @query(f"SELECT vec_id, 'mean,first' AS loaded, round(greatest(1 / (1 + exp(-3 * {_MEAN})), 1 / (1 + exp(-embedding[1]::DOUBLE))), 4) AS score FROM embeddings")
 def register_audio_scorer(spark, sf_dir):
     """The highest of all registered voice models; one of them has no model."""
