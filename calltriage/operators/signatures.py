@@ -63,7 +63,9 @@ def register(rules: tuple[Rule, ...], rule: Rule, spark) -> tuple[Rule, ...]:
 
 def folded(text: Column) -> Column:
     """In lower case, with the letters that Unicode folds to ASCII ones as these."""
-    return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
+    odd, plain = "\u017f\u0131\u0130\u212a", "siik"
+    # few texts have such letters, and only these are rewritten letter by letter
+    return F.lower(F.when(reduce(or_, [F.contains(text, F.lit(c)) for c in odd]), F.translate(text, odd, plain)).otherwise(text))
 
 
 def flag(text: Column, rule: Rule, low: Column | None = None) -> Column:
@@ -85,9 +87,13 @@ def with_flags(calls: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     return d.withColumns({f"sig_{r.id}": flag(F.col(text), r, F.col("__low")) for r in rules}).drop("__low")
 
 
-def snippets(text: Column, rule: Rule) -> Column:
-    """Up to three distinct matches with 15 characters around them, in pattern order."""
-    clean = F.translate(text, OPEN + CLOSE, "")
+def unmarked(text: Column) -> Column:
+    """The text without the two characters that mark matches."""
+    return F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), F.translate(text, OPEN + CLOSE, "")).otherwise(text)
+
+
+def snippets(clean: Column, rule: Rule) -> Column:
+    """Up to three distinct matches with 15 characters around them, in pattern order, of an ``unmarked`` text."""
     found = []
     for p in rule.patterns:
         parts = F.filter(F.split(F.regexp_replace(clean, FLAGS + p, f"{OPEN}$0{CLOSE}"), CLOSE), lambda x: F.contains(x, F.lit(OPEN)))
@@ -107,19 +113,22 @@ def snippets(text: Column, rule: Rule) -> Column:
 def with_hits(calls: DataFrame, rules=RULES, text: str = "text", with_snippets: bool = False) -> DataFrame:
     """Adds ``hits``: an array of structs, one for each rule that matched, in rule order."""
     d = with_flags(calls, rules, text)
+    if with_snippets:
+        d = d.withColumn("__clean", unmarked(F.col(text)))
 
     def one(i: int, r: Rule) -> Column:
         fields = [F.lit(r.id).alias("id"), F.lit(r.scam_type).alias("scam_type"), F.lit(r.severity).alias("severity"), F.lit(r.advice).alias("advice"), F.lit(i).alias("pos")]
         if with_snippets:
-            fields.append(snippets(F.col(text), r).alias("matches"))
+            fields.append(snippets(F.col("__clean"), r).alias("matches"))
         return F.when(F.col(f"sig_{r.id}"), F.struct(*fields))
 
-    return d.withColumn("hits", F.array_compact(F.array(*[one(i, r) for i, r in enumerate(rules)]))).drop(*[f"sig_{r.id}" for r in rules])
+    return d.withColumn("hits", F.array_compact(F.array(*[one(i, r) for i, r in enumerate(rules)]))).drop("__clean", *[f"sig_{r.id}" for r in rules])
 
 
 def hits_long(calls: DataFrame, id_col: str = "call_id", **kw) -> DataFrame:
     """One row per call and matched rule."""
-    return with_hits(calls, **kw).select(id_col, F.explode("hits").alias("h")).select(id_col, "h.*")
+    # for a plain explode, Spark asks for the array's size below the rules, which matches all of them once more
+    return with_hits(calls, **kw).select(id_col, F.explode_outer("hits").alias("h")).filter("h is not null").select(id_col, "h.*")
 
 
 def summary(with_hits_: DataFrame) -> DataFrame:

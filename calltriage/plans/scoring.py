@@ -121,8 +121,8 @@ SNIPPETS_SQL = f"{FLAGS_SQL}, every AS ({_SNIPPETS}), kept AS (SELECT call_id, i
 
 @query(f"WITH {SNIPPETS_SQL} SELECT call_id, id, array_to_string(l, ' | ') AS matches FROM kept")
 def sig_snippets(spark, sf_dir):
-    d = signatures.with_hits(fx.calls(spark, sf_dir), with_snippets=True)
-    return d.select("call_id", F.explode("hits").alias("h")).select("call_id", F.col("h.id").alias("id"), F.array_join("h.matches", " | ").alias("matches"))
+    d = signatures.hits_long(fx.calls(spark, sf_dir), with_snippets=True)
+    return d.select("call_id", "id", F.array_join("matches", " | ").alias("matches"))
 
 
 @query(f"WITH {HITS_SQL} SELECT call_id, id, scam_type, severity, pos FROM hits")
@@ -263,8 +263,8 @@ def verdict_labels(spark, sf_dir):
 
 @query(f"WITH {SNIPPETS_SQL} SELECT call_id, id, l[1] AS snippet FROM kept")
 def first_snippet(spark, sf_dir):
-    d = signatures.with_hits(fx.calls(spark, sf_dir), with_snippets=True)
-    return d.select("call_id", F.explode("hits").alias("h")).select("call_id", F.col("h.id").alias("id"), F.try_element_at("h.matches", F.lit(1)).alias("snippet"))
+    d = signatures.hits_long(fx.calls(spark, sf_dir), with_snippets=True)
+    return d.select("call_id", "id", F.try_element_at("matches", F.lit(1)).alias("snippet"))
 
 
 @query("SELECT doc_id AS call_id, round(1 / (1 + exp(-((doc_id % 21) - 10) / 3.0::DOUBLE)), 6) AS one, round(1 / (1 + exp(((doc_id % 5) - (doc_id % 9))::DOUBLE)), 6) AS two FROM documents")
