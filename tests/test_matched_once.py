@@ -9,7 +9,7 @@ def filters(df) -> list[str]:
     return [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x.split("(")[0]]
 
 
-@pytest.mark.parametrize("name", ["misses_except", "sig_snippets", "first_snippet", "sig_prevalence"])
+@pytest.mark.parametrize("name", ["misses_except", "sig_snippets", "first_snippet", "sig_prevalence", "sig_hits_long"])
 def test_no_filter_repeats_the_rules(spark, name):
     """A filter on what the rules found, moved below them, would match them for each of its uses."""
     found = filters(registry.queries()[name](spark, SF))
