@@ -9,7 +9,8 @@
    gives n - 1 candidates, not all pairs. The candidates of one such node are
    verified on their full sets, in blocks of bounded size: each text once,
    against that node, and those that fail against the others of their block.
-   Only what failed in groups of several blocks meets the other blocks as well.
+   Only what failed in groups of several blocks meets the other blocks as well,
+   those that failed there included.
    So every two nodes that share a bucket are either compared or already linked.
 4. Links are joined to components by spreading the smallest label.
 """
@@ -262,10 +263,13 @@ def _links(candidates: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
         parts = failed.select("hub").distinct().join(_blocks(failed, "near-failed-blocks"), "hub", "left").select("hub", F.coalesce("blocks", one).alias("parts"))
         parts = scratch_table(parts, "near-parts")
         each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        again = failed.join(parts, "hub").join(several.select("hub", "node", "blocks"), ["hub", "node"])
-        again = again.select("hub", dealt_to(F.col("parts")).alias("i"), each(F.col("blocks")).alias("j"), "node", F.lit(True).alias("checked"))
-        others = several.join(parts, "hub").join(failed.select("hub", "node"), ["hub", "node"], "left_anti")
-        others = others.select("hub", each(F.col("parts")).alias("j"), F.col("i").alias("block"), "node", F.lit(False).alias("checked")).select("hub", F.col("j").alias("i"), F.col("block").alias("j"), "node", "checked")
+        own = failed.join(parts, "hub").select("hub", "node", dealt_to(F.col("parts")).alias("part"))
+        again = own.join(several.select("hub", "node", "blocks"), ["hub", "node"])
+        again = again.select("hub", F.col("part").alias("i"), each(F.col("blocks")).alias("j"), "node", F.lit(True).alias("checked"))
+        # every part meets all nodes of a block but its own ones, so the failed ones of other parts as well
+        others = several.join(parts, "hub").join(own, ["hub", "node"], "left")
+        others = others.select("hub", each(F.col("parts")).alias("in"), F.col("i").alias("block"), "node", "part").filter("part is null or part <> in")
+        others = others.select("hub", F.col("in").alias("i"), F.col("block").alias("j"), "node", F.lit(False).alias("checked"))
         more = again.unionByName(others).withColumn("first", F.lit(False))
         links = links.unionByName(_verified(more, texts, k, percent).filter("b is not null").select("a", "b"))
     return links.distinct()

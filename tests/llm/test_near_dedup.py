@@ -102,3 +102,13 @@ def test_recall_on_documents(spark):
         sets[d] = {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
     links = [(a, b) for a in sets if a % 20 == 0 for b in sets if a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0]
     assert len(links) > 5 and all(group[a] == group[b] for a, b in links)
+
+
+def test_failed_nodes_of_different_parts_meet(spark, monkeypatch):
+    """Pairs that are like each other, but not like their hub, are found in whatever blocks and parts they fall."""
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", 100)
+    words = [[f"w{i}x{j}" for j in range(40)] for i in range(30)]
+    texts = [(0, " ".join(f"hub{j}" for j in range(40)))] + [(2 * i + 1 + e, " ".join([*w[: 40 - e], *["end"] * e])) for i, w in enumerate(words) for e in (0, 1)]
+    rows = spark.createDataFrame(texts, "node long, text string")
+    links = N._links(spark.createDataFrame([(0, n, 37) for n, _ in texts[1:]], "hub long, node long, n int"), rows, 4, 80)
+    assert {tuple(sorted((r.a, r.b))) for r in links.collect() if r.a != r.b} == {(2 * i + 1, 2 * i + 2) for i in range(30)}
