@@ -118,3 +118,14 @@ def test_fit_of_one_class_or_nothing(spark):
     m = logistic.fit(logistic.balanced(df), 1, (1.0,), max_iter=30)[1.0]
     assert m["intercept"] > 1
     assert logistic.fit(logistic.balanced(df.limit(0)), 1, (1.0,))[1.0]["converged"]
+
+
+def test_rows_are_packed_for_the_fit(spark, monkeypatch):
+    """Every step of a search reads blocks of bytes, not lists of numbers; blocks of one row and rows without terms count, too."""
+    monkeypatch.setattr(logistic, "ENTRIES", 2)
+    rows = [(1, [0, 1], [0.5, 1.0]), (0, [2], [1.0]), (0, [], []), (1, [0, 1, 2], [0.1, 0.2, 0.3])]
+    df = spark.createDataFrame(rows, "label int, i array<int>, w array<double>").withColumn("weight", F.lit(2.0)).repartition(2)
+    blocks = logistic.packed(df)
+    assert {f.dataType.simpleString() for f in blocks.schema.fields} == {"binary"} and 2 <= blocks.count() <= 4
+    loss, slope = logistic.evaluate(blocks, np.zeros((2, 4)))
+    assert loss == pytest.approx([8 * math.log(2)] * 2) and slope[1] == pytest.approx([-0.6, -1.2, 0.7, 0.0])
