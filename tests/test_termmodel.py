@@ -129,3 +129,13 @@ def test_rows_are_packed_for_the_fit(spark, monkeypatch):
     assert {f.dataType.simpleString() for f in blocks.schema.fields} == {"binary"} and 2 <= blocks.count() <= 4
     loss, slope = logistic.evaluate(blocks, np.zeros((2, 4)))
     assert loss == pytest.approx([8 * math.log(2)] * 2) and slope[1] == pytest.approx([-0.6, -1.2, 0.7, 0.0])
+
+
+def test_features_are_handed_on_in_slices(spark, monkeypatch):
+    """The terms of a batch of texts are never all in memory: each slice of few characters is a batch of its own."""
+    monkeypatch.setattr(termmodel, "FEATURES_CHUNK", 20)
+    d = termmodel.Dictionary(["word", "char"], ["pay", "the"], np.ones(2))
+    df = spark.createDataFrame([(i, "pay the fee") for i in range(30)], "id long, text string").coalesce(1)
+    out = termmodel.features(df, d, "id", "text")
+    assert [(r.id, r.i) for r in out.collect()] == [(i, [0, 1]) for i in range(30)]
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
