@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from calltriage.operators import heavyterms, textmodel
@@ -71,3 +72,9 @@ def test_only_survivors_are_counted_as_strings(spark):
         total.update({k: n for (f, k), n in plain_counts(t) if f == "word"})
     assert len(got) < len(total) / 4 and all(total[t] == n for t, n in got.items())
     assert {t for t, n in total.items() if n >= floor} <= set(got)
+
+
+def test_runs_come_length_by_length():
+    """Only the runs of one length are in memory at a time."""
+    found = list(heavyterms._runs(pa.array(["abcdef", None, "ab", "xyz"])))
+    assert [len(h) for h, *_ in found] == [5, 3, 2] and [row.tolist() for _, row, *_ in found] == [[0, 0, 0, 0, 3], [0, 0, 0], [0, 0]]
