@@ -139,3 +139,17 @@ def test_features_are_handed_on_in_slices(spark, monkeypatch):
     out = termmodel.features(df, d, "id", "text")
     assert [(r.id, r.i) for r in out.collect()] == [(i, [0, 1]) for i in range(30)]
     assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_by_tables_and_by_sorted_arrays_are_alike(monkeypatch):
+    """Runs are looked up in tables of bounded size, or else in sorted arrays; a dictionary without runs looks at no character."""
+    some = [t or "" for t in texts()]
+    runs = sorted({t[i : i + n] for t in some for n in (3, 4, 5) for i in range(0, max(0, len(t) - n + 1), 2)})
+    one, other = (termmodel.Dictionary(["char"] * len(runs), runs, np.ones(len(runs))) for _ in range(2))
+    assert one._tables()[2]
+    monkeypatch.setattr(termmodel, "TABLE", 1)
+    assert not other._tables()[2]
+    a, b = (sorted(zip(*map(list, d._runs(termmodel.pa.array(some + ["\U0010ffff" * 9]))), strict=True)) for d in (one, other))
+    assert a == b and len(a) > 300
+    monkeypatch.setattr(termmodel.pc, "utf8_length", None)
+    assert [len(x) for x in termmodel.Dictionary(["word"], ["pay"], np.ones(1))._runs(termmodel.pa.array(some))] == [0, 0]
