@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .termmodel import _slices
+
 FLAGS = "(?iuU)"
 MAX_SNIPPETS = 3
 PAD = 15
+PLACES = "array<struct<at:int,part:string>>"
 OPEN, CLOSE = "\u0001", "\u0002"
 
 
@@ -24,6 +31,8 @@ class Rule:
     advice: str
     #: Lower-case ASCII strings of which every match holds one; texts without any are not searched. None: all are.
     anchors: tuple[str, ...] = ()
+    #: No match holds one of ``. ? !`` or asks for one beside it; with anchors, only sentences that hold one are searched.
+    one_sentence: bool = False
 
 
 # What counts as a secret, and what turns a request into its opposite.
@@ -37,7 +46,7 @@ NO_NEGATION = "".join(f"(?<!{n} )" for n in NEGATIONS)
 REQUEST = r"\b(?:share|tell me|read (?:me|out)|give me|send me|provide|confirm)\b"
 
 # Rule ids, scam types, severities and patterns.
-RULES = (
+_RULES = (
     Rule("otp_pin_cvv_request", "bank_fraud", 3, (NO_NEGATION + REQUEST + r"[^.?!\n]{0,25}\b" + SECRET + r"\b", r"\bwhat(?:'s| is)\s+(?:the|your)\s+" + SECRET + r"\b", r"\botp\b[^.?!\n]{0,20}\bread it\b"), "Someone wanted a one-time code, PIN or card secret, which no bank asks for by phone.", ("otp", "time password", "pin", "cvv", "card number", "expiry date", "verification code", "security code", "digit code")),
     Rule("digital_arrest_or_warrant_threat", "govt_impersonation", 3, (r"\bdigital arrest\b", r"\barrest warrant\b", r"\bfir (?:has been|is|has|being) registered\b", r"\bunder arrest\b", r"\bstay on (?:the )?(?:video )?call\b"), "Arrest was threatened over the phone; officers do not do that.", ("arrest", " registered", "stay on ")),
     Rule("remote_access_app_request", "tech_support", 2, (r"\b(?:download|install|open)\b[^.?!\n]{0,25}\b(?:anydesk|teamviewer|quicksupport)\b", r"\b(?:anydesk|teamviewer|quicksupport)\b", r"\bremote access\b[^.?!\n]{0,20}\b(?:app|screen)\b"), "A remote-control app was suggested, which would open your device to the caller.", ("anydesk", "teamviewer", "quicksupport", "remote access")),
@@ -51,6 +60,7 @@ RULES = (
     Rule("army_marketplace_claim", "marketplace_scam", 2, (r"\b(?:army|crpf|jawan|commanding officer)\b[^.?!\n]{0,40}\b(?:transfer|posted|buy|pay|qr)\b", r"\barmy (?:canteen|id)\b"), "A buyer claimed to be a soldier with an unusual way to pay.", ("army", "crpf", "jawan", "commanding officer")),
     Rule("investment_guaranteed_return", "investment_scam", 2, (r"\bguaranteed\b[^.?!\n]{0,20}\b(?:return|profit|income)\b", r"\bdouble your money\b", r"\brisk[- ]?free\b[^.?!\n]{0,20}\b(?:profit|return)\b", r"\b\d{1,3}\s?%\s?(?:return|profit)\b[^.?!\n]{0,20}\b(?:month|monthly|week|guaranteed)\b"), "Certain high returns were promised; no investment has them.", ("guaranteed", "double your money", "risk", "return", "profit")),
 )
+RULES = tuple(replace(r, one_sentence=True) for r in _RULES)
 
 
 def register(rules: tuple[Rule, ...], rule: Rule, spark) -> tuple[Rule, ...]:
@@ -68,6 +78,45 @@ def folded(text: Column) -> Column:
     return F.lower(F.when(reduce(or_, [F.contains(text, F.lit(c)) for c in odd]), F.translate(text, odd, plain)).otherwise(text))
 
 
+def _sentence_rules(rules) -> list[Rule]:
+    return [r for r in rules if r.anchors and r.one_sentence]
+
+
+def near(text: Column, rules) -> Column:
+    """The sentences of a text that hold an anchor, and their first characters' places in the ``unmarked`` text: all that rules of one sentence have to search.
+
+    One pass looks for the anchors of all rules. It may keep a sentence without any.
+    """
+    found = {re.escape(a).replace("i", "[i\u0131\u0130]") for r in _sentence_rules(rules) for a in r.anchors}
+    pattern = f"(?i){'|'.join(sorted(found))}"
+
+    @F.arrow_udf(PLACES)
+    def run(texts: pa.Array) -> pa.Array:
+        made = [_near(texts.slice(at, n), pattern) for at, n in _slices(texts)]
+        return pa.concat_arrays(made) if made else _near(texts, pattern)
+
+    return run(F.coalesce(text, F.lit("")))
+
+
+def _near(texts: pa.StringArray, pattern: str) -> pa.ListArray:
+    split = pc.split_pattern_regex(texts, "[.?!]")
+    row, parts = np.asarray(pc.list_parent_indices(split)), pc.list_flatten(split)
+    kept = plain = parts
+    if pc.any(pc.match_substring_regex(texts, f"[{OPEN}{CLOSE}]")).as_py():
+        plain = pc.replace_substring_regex(parts, f"[{OPEN}{CLOSE}]", "")
+    hit = pc.match_substring_regex(parts, pattern)
+    if plain is not kept:
+        hit = pc.or_(hit, pc.match_substring_regex(plain, pattern))
+    hit = np.asarray(hit)
+    ends = np.cumsum(np.asarray(pc.utf8_length(plain)).astype(np.int64) + 1)
+    first = np.concatenate([[0], ends[:-1]])[: len(ends)]
+    begins = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
+    first = first - np.repeat(first[begins], np.diff(np.append(np.flatnonzero(begins), len(row))))
+    counts = np.bincount(row[hit], minlength=len(texts))
+    values = pa.StructArray.from_arrays([pa.array(first[hit].astype(np.int32)), kept.filter(pa.array(hit))], ["at", "part"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+
 def flag(text: Column, rule: Rule, low: Column | None = None) -> Column:
     """True if any pattern of the rule occurs; null or empty text: false. ``low`` is the ``folded`` text."""
     hit = reduce(or_, [text.rlike(FLAGS + p) for p in rule.patterns])
@@ -82,9 +131,19 @@ def without(rule: Rule, *parts: str) -> Rule:
     return replace(rule, patterns=tuple(reduce(lambda p, x: p.replace(x, ""), parts, p) for p in rule.patterns))
 
 
+def _flagged(calls: DataFrame, rules, text: str) -> DataFrame:
+    """Adds the flags and, if any rule is one of sentences, ``__places``."""
+    own, low, some, some_low, short = F.col(text), F.col("__low"), F.col("__some"), F.col("__some_low"), _sentence_rules(rules)
+    d = calls
+    if short:
+        d = d.withColumn("__places", near(own, rules)).withColumn("__some", F.array_join("__places.part", ".")).withColumn("__some_low", folded(some))
+    if any(r.anchors and r not in short for r in rules):
+        d = d.withColumn("__low", folded(own))
+    return d.withColumns({f"sig_{r.id}": flag(some, r, some_low) if r in short else flag(own, r, low) for r in rules}).drop("__low", "__some", "__some_low")
+
+
 def with_flags(calls: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
-    d = calls.withColumn("__low", folded(F.col(text)))
-    return d.withColumns({f"sig_{r.id}": flag(F.col(text), r, F.col("__low")) for r in rules}).drop("__low")
+    return _flagged(calls, rules, text).drop("__places")
 
 
 def unmarked(text: Column) -> Column:
@@ -92,37 +151,54 @@ def unmarked(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), F.translate(text, OPEN + CLOSE, "")).otherwise(text)
 
 
-def snippets(clean: Column, rule: Rule) -> Column:
-    """Up to three distinct matches with 15 characters around them, in pattern order, of an ``unmarked`` text."""
-    found = []
-    for p in rule.patterns:
-        parts = F.filter(F.split(F.regexp_replace(clean, FLAGS + p, f"{OPEN}$0{CLOSE}"), CLOSE), lambda x: F.contains(x, F.lit(OPEN)))
-        spans = F.aggregate(
-            parts,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("s")),
-            lambda acc, x: F.struct(
-                (acc["at"] + F.length(x) - 1).alias("at"),
-                F.concat(acc["s"], F.array(F.struct((acc["at"] + F.instr(x, OPEN) - 1).alias("a"), (acc["at"] + F.length(x) - 1).alias("b")))).alias("s"),
-            ),
-            lambda acc: acc["s"],
-        )
-        found.append(F.transform(spans, lambda s: F.regexp_replace(F.substring(clean, F.greatest(s["a"] - PAD, F.lit(0)) + 1, s["b"] + PAD - F.greatest(s["a"] - PAD, F.lit(0))), r"(?U)^\s+|\s+$", "")))
-    return F.slice(F.array_distinct(F.concat(*found)), 1, MAX_SNIPPETS)
+def whole(clean: Column) -> Column:
+    """A text as its only stretch."""
+    return F.array(F.struct(F.lit(0).alias("at"), clean.alias("part"))).cast(PLACES)
+
+
+def _spans(place: Column, pattern: str) -> Column:
+    """Start and end of each match of a pattern in a stretch, as places in the text."""
+    parts = F.filter(F.split(F.regexp_replace(place["part"], FLAGS + pattern, f"{OPEN}$0{CLOSE}"), CLOSE), lambda x: F.contains(x, F.lit(OPEN)))
+    return F.aggregate(
+        parts,
+        F.struct(place["at"].alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("s")),
+        lambda acc, x: F.struct(
+            (acc["at"] + F.length(x) - 1).alias("at"),
+            F.concat(acc["s"], F.array(F.struct((acc["at"] + F.instr(x, OPEN) - 1).alias("a"), (acc["at"] + F.length(x) - 1).alias("b")))).alias("s"),
+        ),
+        lambda acc: acc["s"],
+    )
+
+
+def snippets(clean: Column, rule: Rule, places: Column | None = None) -> Column:
+    """Up to three distinct matches with 15 characters around them, in pattern order, of an ``unmarked`` text; they are searched in ``places`` of it."""
+    places = whole(clean) if places is None else places
+
+    def found(pattern: str) -> Column:
+        return F.flatten(F.transform(places, lambda x: _spans(x, pattern)))
+
+    def cut(s: Column) -> Column:
+        first = F.greatest(s["a"] - PAD, F.lit(0))
+        return F.regexp_replace(F.substring(clean, first + 1, s["b"] + PAD - first), r"(?U)^\s+|\s+$", "")
+
+    return F.slice(F.array_distinct(F.transform(F.concat(*[found(p) for p in rule.patterns]), cut)), 1, MAX_SNIPPETS)
 
 
 def with_hits(calls: DataFrame, rules=RULES, text: str = "text", with_snippets: bool = False) -> DataFrame:
     """Adds ``hits``: an array of structs, one for each rule that matched, in rule order."""
-    d = with_flags(calls, rules, text)
+    d, short = _flagged(calls, rules, text), _sentence_rules(rules)
     if with_snippets:
         d = d.withColumn("__clean", unmarked(F.col(text)))
+        if short:
+            d = d.withColumn("__clean_places", F.transform("__places", lambda x: F.struct(x["at"].alias("at"), unmarked(x["part"]).alias("part"))))
 
     def one(i: int, r: Rule) -> Column:
         fields = [F.lit(r.id).alias("id"), F.lit(r.scam_type).alias("scam_type"), F.lit(r.severity).alias("severity"), F.lit(r.advice).alias("advice"), F.lit(i).alias("pos")]
         if with_snippets:
-            fields.append(snippets(F.col("__clean"), r).alias("matches"))
+            fields.append(snippets(F.col("__clean"), r, F.col("__clean_places") if r in short else None).alias("matches"))
         return F.when(F.col(f"sig_{r.id}"), F.struct(*fields))
 
-    return d.withColumn("hits", F.array_compact(F.array(*[one(i, r) for i, r in enumerate(rules)]))).drop("__clean", *[f"sig_{r.id}" for r in rules])
+    return d.withColumn("hits", F.array_compact(F.array(*[one(i, r) for i, r in enumerate(rules)]))).drop("__clean", "__places", "__clean_places", *[f"sig_{r.id}" for r in rules])
 
 
 def hits_long(calls: DataFrame, id_col: str = "call_id", **kw) -> DataFrame:
