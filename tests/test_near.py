@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from calltriage.operators import signatures
 from calltriage.plans import fixtures as fx
+from calltriage.plans import registry
+
+from .conftest import SF
 
 ODD = [".", "?", "!", "\n", "  ", "\u0001", "\u0002", "́", " ", "ſ", "İ", "ı", "K", "\U0001f600", "Σ", "'", " not", " pin location", " Kyc expired", " İnstall anydesK", " ſafe account"]
 
@@ -37,3 +40,9 @@ def test_only_sentences_with_an_anchor_are_searched(spark):
     d = spark.createDataFrame([(1, "Good morning. \u0001Tell me the otp! Where? At home, by the arrest."), (2, "Nothing here."), (3, None)], "i long, text string")
     got = {r["i"]: [tuple(p) for p in r["p"]] for r in d.select("i", signatures.near(F.col("text"), signatures.RULES).alias("p")).collect()}
     assert got == {1: [(13, " \u0001Tell me the otp"), (37, " At home, by the arrest")], 2: [], 3: []}
+
+
+def test_hits_are_found_in_one_pass(spark):
+    """``sig_hits_long`` looks for the anchors of all rules once a text, not once for each."""
+    plan = registry.queries()["sig_hits_long"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "RLIKE(concat(Caller" not in plan and "RLIKE(text" not in plan
