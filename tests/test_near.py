@@ -1,6 +1,7 @@
 import random
 from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
 from calltriage.operators import signatures
@@ -42,7 +43,8 @@ def test_only_sentences_with_an_anchor_are_searched(spark):
     assert got == {1: [(13, " \u0001Tell me the otp"), (37, " At home, by the arrest")], 2: [], 3: []}
 
 
-def test_hits_are_found_in_one_pass(spark):
-    """``sig_hits_long`` looks for the anchors of all rules once a text, not once for each."""
-    plan = registry.queries()["sig_hits_long"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+@pytest.mark.parametrize("name", ["sig_hits_long", "sig_prevalence"])
+def test_hits_are_found_in_one_pass(spark, name):
+    """Queries on hits look for the anchors of all rules once a text, not once for each."""
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "RLIKE(concat(Caller" not in plan and "RLIKE(text" not in plan
