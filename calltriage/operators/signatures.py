@@ -18,6 +18,8 @@ from .termmodel import _slices
 FLAGS = "(?iuU)"
 MAX_SNIPPETS = 3
 PAD = 15
+#: Characters of texts that are searched for anchors at a time.
+CHUNK = 1 << 20
 PLACES = "array<struct<at:int,part:string>>"
 OPEN, CLOSE = "\u0001", "\u0002"
 
@@ -92,7 +94,7 @@ def near(text: Column, rules) -> Column:
 
     @F.arrow_udf(PLACES)
     def run(texts: pa.Array) -> pa.Array:
-        made = [_near(texts.slice(at, n), pattern) for at, n in _slices(texts)]
+        made = [_near(texts.slice(at, n), pattern) for at, n in _slices(texts, CHUNK)]
         return pa.concat_arrays(made) if made else _near(texts, pattern)
 
     return run(F.coalesce(text, F.lit("")))
