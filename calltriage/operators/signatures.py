@@ -136,12 +136,14 @@ def without(rule: Rule, *parts: str) -> Rule:
 def _flagged(calls: DataFrame, rules, text: str) -> DataFrame:
     """Adds the flags and, if any rule is one of sentences, ``__places``."""
     own, low, some, some_low, short = F.col(text), F.col("__low"), F.col("__some"), F.col("__some_low"), _sentence_rules(rules)
-    d = calls
+    d, given = calls, own
     if short:
-        d = d.withColumn("__places", near(own, rules)).withColumn("__some", F.array_join("__places.part", ".")).withColumn("__some_low", folded(some))
+        if calls.isStreaming:  # a Python function can't take the rows of a stateful operator as they are; a generator copies them
+            d, given = d.withColumn("__given", F.explode(F.array(own))), F.col("__given")
+        d = d.withColumn("__places", near(given, rules)).withColumn("__some", F.array_join("__places.part", ".")).withColumn("__some_low", folded(some))
     if any(r.anchors and r not in short for r in rules):
         d = d.withColumn("__low", folded(own))
-    return d.withColumns({f"sig_{r.id}": flag(some, r, some_low) if r in short else flag(own, r, low) for r in rules}).drop("__low", "__some", "__some_low")
+    return d.withColumns({f"sig_{r.id}": flag(some, r, some_low) if r in short else flag(own, r, low) for r in rules}).drop("__given", "__low", "__some", "__some_low")
 
 
 def with_flags(calls: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
