@@ -1,8 +1,8 @@
 """Live sessions as one streaming query with state variables that live for a limited time, and what follows from them.
 
 ``follow`` chains two stateful operators: the first keeps each session's rolling
-text, rules and a text scorer work on it as columns, the second keeps the
-session's level. Nothing is written between them. ``keep_recent`` keeps the most
+text and emits runs of it, which rules and a text scorer work on, the second keeps
+the session's level. Nothing is written between them. ``keep_recent`` keeps the most
 recently used sessions as a bounded table, batch by batch, and says which were
 let go; ``follow`` forgets those. ``send_alerts`` sends each alert once, however
 often a batch is repeated.
@@ -22,7 +22,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import Settings
 from ..operators import sessions, signatures
+from ..operators.termmodel import TermModel
 from . import sessions as live
+from . import windows
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Sessions that nobody continues for this long start anew.
@@ -31,40 +33,33 @@ RECENT = "session_id long, last_seen timestamp"
 
 
 class Texts(StatefulProcessor):
-    """A session's chunks of a micro-batch, in order, with its text so far; late ones with the text as it stands.
+    """A session's chunks of a micro-batch, in order, as runs of its text; late ones with the text as it stands.
 
     State variables: ``text`` and ``seen``. A row with ``forget`` clears them,
     before the chunks of its batch, and gives no row.
     """
 
-    def __init__(self, idle_ms: int = IDLE_MS):
-        self.idle_ms = idle_ms
+    def __init__(self, idle_ms: int = IDLE_MS, found: tuple[str, ...] | None = None):
+        self.idle_ms, self.found = idle_ms, found
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.text = handle.getValueState("text", "transcript string", self.idle_ms)
         self.seen = handle.getValueState("seen", "seq long", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        chunks = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        chunks = live.in_order(rows)
         if chunks["forget"].any():
             self.text.clear()
             self.seen.clear()
             chunks = chunks[~chunks["forget"]]
         if not len(chunks):
             return
-        transcript = self.text.get()[0] if self.text.exists() else ""
-        last = self.seen.get()[0] if self.seen.exists() else -1
-        begins = last < 0
-        texts, late, first = [], [], []
-        for seq, chunk in zip(chunks["seq"], chunks["chunk"], strict=True):
-            late.append(bool(seq <= last))
-            first.append(begins and not late[-1])
-            if not late[-1]:
-                transcript, last, begins = live.next_transcript(transcript, chunk or ""), int(seq), False
-            texts.append(transcript)
+        text, seen = self.text.get(), self.seen.get()
+        transcript, last = text[0] if text else "", seen[0] if seen else -1
+        made, transcript, last = windows.runs(key[0], transcript, last, last < 0, chunks, self.found)
         self.text.update((transcript,))
         self.seen.update((last,))
-        yield pd.DataFrame({"session_id": key[0], "seq": chunks["seq"].to_numpy(), "ts": chunks["ts"].to_numpy(), "transcript": texts, "late": late, "first": first})
+        yield made
 
     def close(self) -> None:
         pass
@@ -83,8 +78,8 @@ class Levels(StatefulProcessor):
         self.level = handle.getValueState("level", "level string", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        scores = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        level = self.level.get()[0] if self.level.exists() else "low"
+        scores, level = live.in_order(rows), self.level.get()
+        level = level[0] if level else "low"
         levels, alerts = [], []
         for score, late, first in zip(scores["risk_score"], scores["late"], scores["first"], strict=True):
             was = level = "low" if first else level
@@ -103,18 +98,18 @@ def _stateful(rows: DataFrame, processor: StatefulProcessor, schema: str) -> Dat
     return rows.groupBy("session_id").transformWithStateInPandas(processor, schema, "Append", "ProcessingTime")
 
 
-def follow(chunks: DataFrame, text_score: Callable[[Column], Column] | None = None, forget: DataFrame | None = None, rules=signatures.RULES, idle_ms: int = IDLE_MS) -> DataFrame:
+def follow(chunks: DataFrame, text_score: TermModel | Callable[[Column], Column] | None = None, forget: DataFrame | None = None, rules=signatures.RULES, idle_ms: int = IDLE_MS) -> DataFrame:
     """A stream of (session_id, seq, ts, chunk) as a stream of scores, levels and alerts.
 
     ``forget`` is a stream of (session_id) of sessions that start anew.
     Repeated and late chunks are reported as late, whatever their age. Null
     and blank chunks add nothing to the text.
     """
-    rows = chunks.select("session_id", "seq", "ts", "chunk", F.lit(False).alias("forget"))
+    rows = chunks.select("session_id", "seq", windows.micros(F.col("ts")), "chunk", F.lit(False).alias("forget"))
     if forget is not None:
-        rows = rows.unionByName(forget.select("session_id", F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("chunk"), F.lit(True).alias("forget")))
-    texts = _stateful(rows, Texts(idle_ms), f"{live.TEXTS}, first boolean")
-    return _stateful(live.score_texts(texts, text_score, rules, "first"), Levels(idle_ms), live.LEVELS)
+        rows = rows.unionByName(forget.select("session_id", F.lit(-1).cast("long").alias("seq"), F.lit(windows.NO_TIME).alias("us"), F.lit(None).cast("string").alias("chunk"), F.lit(True).alias("forget")))
+    scores = live.score_runs(lambda found: _stateful(rows, Texts(idle_ms, found), windows.RUNS), text_score, rules, "first")
+    return _stateful(scores, Levels(idle_ms), live.LEVELS)
 
 
 def written(spark: SparkSession, folder: str, schema: str) -> DataFrame:

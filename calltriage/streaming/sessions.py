@@ -1,14 +1,15 @@
 """Live sessions as Structured Streaming.
 
 Two queries follow one another. The first keeps each session's rolling text as
-state and emits it at every chunk; rules and fusion score it as columns, and
-only the scores are written. The second keeps each session's level as state and
+state and emits runs of it (``windows``); rules, a text scorer and fusion score
+the text at each chunk, and only the scores are written. The second keeps each session's level as state and
 emits levels and alerts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import Settings
 from ..functions import risk
-from ..operators import signatures
+from ..operators import scorers, signatures
+from ..operators.termmodel import TermModel
+from . import windows
 
 DAY_MS = 24 * 3600 * 1000
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -49,21 +52,27 @@ def _keep(state: GroupState, values: tuple, rows: pd.DataFrame) -> None:
     state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + DAY_MS)
 
 
-def _texts(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A session's chunks of a micro-batch, in order, with its text so far; repeated or late ones with the text as it stands."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    transcript, last = state.get if state.exists else ("", -1)
-    chunks = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    texts, late = [], []
-    for seq, chunk in zip(chunks["seq"], chunks["chunk"], strict=True):
-        late.append(seq <= last)
-        if not late[-1]:
-            transcript, last = next_transcript(transcript, chunk or ""), seq
-        texts.append(transcript)
-    _keep(state, (transcript, int(last)), chunks)
-    yield pd.DataFrame({"session_id": key[0], "seq": chunks["seq"].to_numpy(), "ts": chunks["ts"].to_numpy(), "transcript": texts, "late": late})
+def in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A session's rows of a micro-batch by seq."""
+    rows = list(batches)
+    rows = rows[0] if len(rows) == 1 else pd.concat(rows)
+    return rows if rows["seq"].is_monotonic_increasing else rows.sort_values("seq", kind="stable")
+
+
+def _texts(found: tuple[str, ...] | None):
+    """A session's chunks of a micro-batch, in order, as runs of its text; repeated or late ones with the text as it stands."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        transcript, last = state.get if state.exists else ("", -1)
+        chunks = in_order(batches)
+        made, transcript, last = windows.runs(key[0], transcript, last, False, chunks, found)
+        _keep(state, (transcript, last), chunks)
+        yield made
+
+    return run
 
 
 def _levels(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -72,7 +81,7 @@ def _levels(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         state.remove()
         return
     level, last = state.get if state.exists else ("low", -1)
-    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+    rows = in_order(batches)
     levels, alerts, late = [], [], []
     for seq, score, was_late in zip(rows["seq"], rows["risk_score"], rows["late"], strict=True):
         late.append(bool(was_late) or seq <= last)
@@ -85,9 +94,15 @@ def _levels(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     yield rows.drop(columns="ts").assign(level=levels, alert=alerts, late=late)[[c.split()[0] for c in LEVELS.split(", ")]]
 
 
+def text_runs(chunks: DataFrame, found: tuple[str, ...] | None) -> DataFrame:
+    """A stream of (session_id, seq, ts, chunk) as runs of the sessions' texts."""
+    rows = chunks.select("session_id", "seq", "ts", "chunk", windows.micros(F.col("ts"))).withWatermark("ts", "1 day")
+    return rows.groupBy("session_id").applyInPandasWithState(_texts(found), windows.RUNS, "transcript string, seq long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def rolling_texts(chunks: DataFrame) -> DataFrame:
     """A stream of (session_id, seq, ts, chunk) with the session's rolling text at each chunk."""
-    return chunks.withWatermark("ts", "1 day").groupBy("session_id").applyInPandasWithState(_texts, TEXTS, "transcript string, seq long", "append", GroupStateTimeout.EventTimeTimeout)
+    return windows.texts(text_runs(chunks, None))
 
 
 def score_texts(texts: DataFrame, text_score: Callable[[Column], Column] | None = None, rules=signatures.RULES, *kept: str) -> DataFrame:
@@ -98,6 +113,17 @@ def score_texts(texts: DataFrame, text_score: Callable[[Column], Column] | None
     return d.select("session_id", "seq", "ts", F.length("transcript").alias("n_chars"), F.col("n_hits").cast("int").alias("n_hits"), "hit_ids", "risk_score", "late", *kept)
 
 
+def score_runs(make: Callable[[tuple[str, ...] | None], DataFrame], text_score: TermModel | Callable[[Column], Column] | None = None, rules=signatures.RULES, *kept: str) -> DataFrame:
+    """The same of runs, which ``make`` gives for the anchors to look for: windows are scored together where the scorers allow it, else each rolling text."""
+    if not windows.applies(text_score, rules):
+        if isinstance(text_score, TermModel):
+            text_score = scorers.TextScorer("terms", partial(text_score.column, SparkSession.active())).column
+        return score_texts(windows.texts(make(None), *kept), text_score, rules, *kept)
+    d = signatures.summary(windows.with_hits(windows.scored(make(windows.anchors(rules)), text_score, rules), rules))
+    d = d.withColumn("risk_score", risk.noisy_or(F.col("text_score"), F.col("hits.severity"), F.lit(None).cast("double")))
+    return d.select("session_id", "seq", windows.time(F.col("us")), "n_chars", F.col("n_hits").cast("int").alias("n_hits"), "hit_ids", "risk_score", "late", *kept)
+
+
 def follow_levels(scores: DataFrame) -> DataFrame:
     """A stream of scores with levels and alerts."""
     return scores.withWatermark("ts", "1 day").groupBy("session_id").applyInPandasWithState(_levels, LEVELS, "level string, seq long", "append", GroupStateTimeout.EventTimeTimeout)
@@ -115,7 +141,7 @@ def run_once(stream: DataFrame, out: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def score_stream(chunks: DataFrame, out: str, text_score: Callable[[Column], Column] | None = None) -> DataFrame:
+def score_stream(chunks: DataFrame, out: str, text_score: TermModel | Callable[[Column], Column] | None = None) -> DataFrame:
     """Scores, levels and alerts of all chunks there are now, read back from ``out``, where a later call goes on.
 
     Chunks that come with a smaller seq than their session has seen are
@@ -123,7 +149,7 @@ def score_stream(chunks: DataFrame, out: str, text_score: Callable[[Column], Col
     older than the watermark of a day.
     """
     spark = chunks.sparkSession
-    run_once(score_texts(rolling_texts(chunks), text_score), f"{out}/scores", f"{out}/scores-state")
+    run_once(score_runs(partial(text_runs, chunks), text_score), f"{out}/scores", f"{out}/scores-state")
     scores = spark.readStream.schema(SCORES).parquet(f"{out}/scores")
     run_once(follow_levels(scores), f"{out}/levels", f"{out}/levels-state")
     return spark.read.schema(LEVELS).parquet(f"{out}/levels")
