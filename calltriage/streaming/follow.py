@@ -88,7 +88,7 @@ class Levels(StatefulProcessor):
             levels.append(level)
             alerts.append(level == "high" and was != "high")
         self.level.update((level,))
-        yield scores.assign(level=levels, alert=alerts)[[c.split()[0] for c in live.LEVELS.split(", ")]]
+        yield live.with_levels(scores, levels, alerts, scores["late"].tolist())
 
     def close(self) -> None:
         pass

@@ -75,6 +75,11 @@ def _texts(found: tuple[str, ...] | None):
     return run
 
 
+def with_levels(rows: pd.DataFrame, levels: list[str], alerts: list[bool], late: list[bool]) -> pd.DataFrame:
+    """A session's scores with levels, made at once, as there are many short sessions."""
+    return pd.DataFrame({c: rows[c].to_numpy() for c in ("session_id", "seq", "n_chars", "n_hits", "hit_ids", "risk_score")} | {"level": levels, "alert": alerts, "late": late})
+
+
 def _levels(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """A session's scores of a micro-batch, in order, with its level; late ones with the level as it stands."""
     if state.hasTimedOut:
@@ -91,7 +96,7 @@ def _levels(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         levels.append(level)
         alerts.append(level == "high" and was != "high")
     _keep(state, (level, int(last)), rows)
-    yield rows.drop(columns="ts").assign(level=levels, alert=alerts, late=late)[[c.split()[0] for c in LEVELS.split(", ")]]
+    yield with_levels(rows, levels, alerts, late)
 
 
 def text_runs(chunks: DataFrame, found: tuple[str, ...] | None) -> DataFrame:

@@ -33,6 +33,7 @@ WINDOWS = 1 << 14
 #: Of each window: its chunk; its place in the text; its pieces, and the one it cuts; its sentences with an anchor, and those cut at its begin and end.
 LISTS = {"seq": "long", "us": "long", "late": "boolean", "first": "boolean", "a": "int", "b": "int", "p0": "int", "p1": "int", "cut": "int", "s0": "int", "s1": "int", "head": "int", "tail": "int"}
 RUNS = f"session_id long, text string, pieces array<string>, n_main int, sentences array<string>, {', '.join(f'{c} array<{t}>' for c, t in LISTS.items())}"
+COLUMNS = [c.split()[0] for c in RUNS.split(", ")]
 FLAT = "session_id long, seq long, us long, n_chars int, text_score double, mask int, late boolean, first boolean"
 NO_TIME = -(1 << 63)
 
@@ -139,7 +140,7 @@ def runs(session, transcript: str, last: int, begins: bool, chunks: pd.DataFrame
         made = {"text": "", **_run(text, windows, found)} if found is not None else {c: [] for c in ("pieces", "sentences", *LISTS)} | {"text": text, "n_main": 0, "a": [x for x, _ in windows], "b": [y for _, y in windows]}
         rows.append({"session_id": session, **made, **own})
         transcript = text[a:]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in RUNS.split(", ")]), transcript, int(last)
+    return pd.DataFrame({c: [r[c] for r in rows] for c in COLUMNS}), transcript, int(last)
 
 
 def texts(made: DataFrame, *kept: str) -> DataFrame:
